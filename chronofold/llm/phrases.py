@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, with_spans
+from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
 from chronofold.llm.shared import Scratch
 
 #: Phrases in one automaton; more go to further automata, so memory is bounded.
@@ -86,7 +86,7 @@ def judge(groups, units: Units, shard: int = SHARD) -> list[list[np.ndarray]]:
 
 
 def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, text: str = "text", key: str = "doc_id", anchor: int = 8, most: int = 20_000) -> DataFrame:
-    """Every row of ``docs`` as (doc, th, text, spans): the words that ``window``-word sequences which start anywhere else cover.
+    """Every row of ``docs`` as (doc, th, packed text, spans): the words that ``window``-word sequences which start anywhere else cover.
 
     Words are what ASCII white space separates, unchanged; sequences stay within one text; null has
     no words; all is judged on the input.  Empty table: no rows.  Fewer words than the window: no
@@ -105,8 +105,8 @@ def remove_repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for text_, spans in zip(batch.column(2), batch.column(3), strict=True):
-                words = text_.as_py().encode().split()
+            for text_, spans in zip(unpacked(batch.column(2)), batch.column(3), strict=True):
+                words = text_.as_py().split()
                 pairs = [(x["a"], x["n"]) for x in spans.as_py() or ()]
                 sizes.append(len(words))
                 if pairs:

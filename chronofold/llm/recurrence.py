@@ -22,10 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import Scratch, chunks, rows, text_of, utf8
+from chronofold.llm.shared import Scratch, chunks, text_of, utf8
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
@@ -139,16 +140,11 @@ def runs(values: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tup
     return hashes[(least[at] & _LOW).astype(np.int64)], at, size
 
 
-def blocks(column, kind: str, window: int) -> Iterator[tuple[Block, int, int, int]]:
-    """(block, first row, rows, unit of the row's text at which the block begins).
-
-    A text of very many units comes in overlapping blocks, so that no window is lost and memory is bounded.
-    """
+def blocks(column, kind: str) -> Iterator[tuple[Block, int, int]]:
+    """(block, first row, rows): about a million bytes of texts at a time, and a longer text by itself."""
     raw, offsets = utf8(column)
     for a, b in chunks(offsets, _BLOCK):
-        part = raw[offsets[a] : offsets[b]]
-        block = Block(part, offsets[a : b + 1] - offsets[a], kind)
-        yield block, a, b - a, 0
+        yield Block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], kind), a, b - a
 
 
 def _runs_of(block: Block, units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,7 +170,7 @@ def find_runs(docs: DataFrame, units: Units) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             docs_, ths = batch.column(0), batch.column(1)
-            for block, row, _, _ in blocks(batch.column(2), units.kind, units.window):
+            for block, row, _ in blocks(batch.column(2), units.kind):
                 view = memoryview(block.line)
                 for h, at, size in _runs_of(block, units):
                     if not len(at):
@@ -207,14 +203,16 @@ def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratc
     """(doc, th, spans): for texts that have any, the units covered by a window that starts anywhere else."""
     w = units.window
     every = scratch.table("runs", find_runs(docs, units))
-    shared = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # Written before the join: both sides are then plain exchanges on h, whose hot partitions Spark splits.
+    shared = scratch.table("shared", every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     kept = scratch.table("kept", every.join(shared, "h"))
-    scratch.drop("runs")
+    scratch.drop("runs", "shared")
     place = F.struct("doc", "th", "start", "nwin")
     texts = kept.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(place).alias("at"))
     texts = scratch.table("texts", texts.select("h", "s", "n", "at.*"))
     open_ = texts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    pool = scratch.table("pool", texts.join(open_.select("h", "m"), "h"))
+    open_ = scratch.table("open", open_.select("h", "m"))
+    pool = scratch.table("pool", texts.join(open_, "h"))
     span = lambda start, n: F.struct(F.col(start).cast("int").alias("a"), n.cast("int").alias("n"))
     copies = texts.where("n > 1").select("h", "s")
     found = [kept.join(copies, ["h", "s"]).select("doc", "th", span("start", F.col("nwin") + (w - 1)).alias("span"))]
@@ -227,7 +225,7 @@ def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratc
         spans = spans.union(more)
     spans = spans.groupBy("doc", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     spans = scratch.table("spans", spans)
-    scratch.drop("kept", "texts", "pool")
+    scratch.drop("kept", "texts", "open", "pool")
     return spans
 
 
@@ -236,7 +234,7 @@ def _with_places(docs: DataFrame, pool: DataFrame) -> DataFrame:
     places = places.withColumnsRenamed({"doc": "_doc", "th": "_th"})
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))
     # Rows repeated with key and text bring the same pieces: one of them is enough.
-    return docs.join(places, same).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "places")
+    return packed(docs).join(places, same).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "places")
 
 
 def _pieces(batch: pa.RecordBatch, units: Units):
@@ -245,7 +243,7 @@ def _pieces(batch: pa.RecordBatch, units: Units):
     at = column.offsets.to_numpy().astype(np.int64)
     flat = column.values
     h, n, start, nwin = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-    for block, row, count, _ in blocks(batch.column(2), units.kind, units.window):
+    for block, row, count in blocks(unpacked(batch.column(2)), units.kind):
         for r in range(count):
             base = int(block.first[r])
             for k in range(at[row + r], at[row + r + 1]):
@@ -358,10 +356,30 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(F.col(key).alias("doc"), F.hash(body).alias("th"), body.alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc, th, text) with each text compressed by itself: what joins on doc then shuffles and spills less."""
+    kind = dict(docs.dtypes)["doc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            raw, at = utf8(batch.column(2))
+            view = memoryview(raw)
+            small = pa.array([squeeze(view[p:q]) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small], names=["doc", "th", "text"])
+
+    return docs.mapInArrow(run, f"doc {kind}, th int, text binary")
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    restore = zstandard.ZstdDecompressor().decompress
+    return pa.array([restore(x.as_py()) for x in column], pa.binary())
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with doc and th, and the spans of its text or null."""
+    """doc, th and the packed text of ``docs``, and the spans of the text or null."""
     spans = spans.withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    return docs.join(spans, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left").drop("_doc", "_th")
+    return packed(docs).join(spans, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left").drop("_doc", "_th")
 
 
 def removed(n: int, spans) -> np.ndarray:
@@ -374,4 +392,4 @@ def removed(n: int, spans) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-__all__ = ["Units", "Block", "runs", "recurring_spans", "keyed", "with_spans", "removed", "spans_of", "rows"]
+__all__ = ["Units", "Block", "runs", "recurring_spans", "keyed", "with_spans", "unpacked", "removed", "spans_of"]

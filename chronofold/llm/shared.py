@@ -88,11 +88,3 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         b = min(n, max(b, a + 1))
         yield a, b
         a = b
-
-
-def u64_to_i64(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, with_spans
+from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
 from chronofold.llm.shared import Scratch, utf8
 
 #: Symbols that are packed into one 63-bit number for the first sort, 9 bits each.
@@ -157,7 +156,7 @@ def judge(groups, units: Units) -> list[list[np.ndarray]]:
 
 
 def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32, most: int = 20_000) -> DataFrame:
-    """Every row of ``docs`` as (doc, th, text, spans): the bytes that ``window``-byte strings which start anywhere else cover.
+    """Every row of ``docs`` as (doc, th, packed text, spans): the bytes that ``window``-byte strings which start anywhere else cover.
 
     Matches stay within one text, texts are UTF-8, null is empty, and all is judged on the input.
     Empty table: no rows.  A text shorter than the window: no spans.  Rows repeated with key and
@@ -175,7 +174,7 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8(batch.column(2))
+            raw, at = utf8(unpacked(batch.column(2)))
             sizes, gone, count, kept = [], [], [], []
             for k, spans in enumerate(batch.column(3)):
                 part = raw[at[k] : at[k + 1]]
@@ -191,7 +190,3 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200,
             )
 
     return marked.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
