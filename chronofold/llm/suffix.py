@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
-from chronofold.llm.shared import Scratch, utf8
+from chronofold.llm.shared import Scratch, text_of, utf8
 
 #: Symbols that are packed into one 63-bit number for the first sort, 9 bits each.
 _PACK = 7
@@ -190,3 +191,37 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200,
             )
 
     return marked.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def strip_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", length: str = "n_chars", anchor: int = 32, most: int = 20_000) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of its text; all columns and rows stay.
+
+    Of a character that a removed span cuts, the remaining bytes go too.  ``length``, where there is
+    such a column, becomes the new number of characters of a text that lost any.  Null text stays null.
+    """
+    units = Units("bytes", window, anchor)
+    spans = recurring_spans(keyed(docs, text, key), units, judge, scratch, most)
+    columns = docs.columns
+    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash"))
+    spans = spans.withColumnsRenamed({"doc": "_doc", "th": "_th", "spans": "_spans"})
+    joined = docs.withColumn("_hash", F.hash(text_of(text))).join(spans, same, "left").select(*columns, "_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = columns.index(text)
+            texts = batch.column(at).to_pylist()
+            sizes = batch.column(columns.index(length)).to_pylist() if length in columns else None
+            for k, spans in enumerate(batch.column(len(columns))):
+                if (found := spans.as_py()) and texts[k] is not None:
+                    raw = np.frombuffer(texts[k].encode(), np.uint8)
+                    texts[k] = raw[~removed(len(raw), [(x["a"], x["n"]) for x in found])].tobytes().decode("utf-8", "ignore")
+                    if sizes is not None:
+                        sizes[k] = len(texts[k])
+            out = list(batch.columns[: len(columns)])
+            out[at] = pa.array(texts, batch.column(at).type)
+            if sizes is not None:
+                i = columns.index(length)
+                out[i] = pa.array(sizes, batch.column(i).type)
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return joined.mapInArrow(run, docs.schema)
