@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import text_of
+from chronofold.llm.shared import slices, text_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Texts up to this many characters are encoded as they are; longer ones by halves.
@@ -181,12 +181,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", key: str
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [_binary(c.encode(x.as_py())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for k in range(batch.num_rows):
                 parts = leaves(batch.column(2)[k].as_py(), leaf)
                 own = pa.array([k] * len(parts))
@@ -194,13 +194,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", key: str
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [_binary(c.encode(x.as_py())) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["rid", key, "part", "text", "ids"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for parts in batch.column(1):
                 out.append(_binary(concatenate([(p["text"], np.frombuffer(p["ids"], "<u4").tolist()) for p in parts.as_py()], c)))
@@ -225,7 +225,7 @@ def decode(coded: DataFrame, path: str = VOCABULARY, ids: str = "ids") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         at = others.index(ids)
-        for batch in batches:
+        for batch in slices(batches):
             text = [None if (x := v.as_py()) is None else c.decode_bytes(np.frombuffer(x, "<u4").tolist()).decode("utf-8", "replace") for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*others, "decoded"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.bpe import VOCABULARY, Codec, codec
+from chronofold.llm.shared import slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -142,7 +143,7 @@ def format_conversations(
                 names=["ids", "positions", "nodes", "ends"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type[:] = [batch.schema.field("conversation").type]
             for k in range(batch.num_rows):
                 own = [(x["role"], x["text"]) for x in batch.column(1)[k].as_py()]
@@ -172,7 +173,7 @@ def read_back(samples: DataFrame, path: str = VOCABULARY, conversation: str = "c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             for ids, nodes, ends in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
                 ids, nodes = ids.as_py(), nodes.as_py()
                 out: list[tuple] = []

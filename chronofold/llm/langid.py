@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import chunks, utf8
+from chronofold.llm.shared import chunks, slices, utf8
 
 UNKNOWN = "und"
 
@@ -115,7 +115,7 @@ def prototypes(docs: DataFrame, space: Space, text: str = "text", lang: str = "l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         profiler = Profiler(space)
-        for batch in batches:
+        for batch in slices(batches):
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for a, vectors, some in profiler.vectors(batch.column(0)):
                 unit = np.rint(_unit(vectors) * 1e6).astype(np.int64)
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, names: list[str], protos: np.ndarray, space: Space
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler(space)
-        for batch in batches:
+        for batch in slices(batches):
             last = batch.num_columns - 1
             best = np.full(batch.num_rows, -1)
             score = np.zeros(batch.num_rows)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import utf8
+from chronofold.llm.shared import slices, utf8
 
 FORMATS = ("pgm", "ppm", "bmp")
 #: Payloads are padded to a multiple of this: whole rows of 24 pixels of 1 or 3 samples.
@@ -137,7 +137,7 @@ def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, at = utf8(batch.column(1))
             for a in range(0, batch.num_rows, 256):  # few files at a time
                 files, sizes = [], []
@@ -177,7 +177,7 @@ def media_features(files: DataFrame, media: str = "media") -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(len(others))
             found = list(zip(*[features(x.as_py()) for x in column], strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *[pa.array(x, t) for x, t in zip(found, kinds, strict=True)]], names=[*others, *names])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.bpe import VOCABULARY, encode
-from chronofold.llm.shared import Scratch
+from chronofold.llm.shared import Scratch, slices
 
 END_ID = 0
 
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str = VOCABULARY, text:
     kind = dict(coded.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             owner, number, start, length, crc = [], [], [], [], []
             for r, value in enumerate(batch.column(1)):
                 data = value.as_py() + END_ID.to_bytes(4, "little")
@@ -181,7 +181,7 @@ def _islands(blocks: DataFrame, capacity: int, search: Search, scratch: Scratch,
 
     def run(epoch: int):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 out = [
                     evolve(sizes.as_py(), capacity, search, island.as_py(), epoch, elites.as_py() or [])
                     for island, sizes, elites in zip(batch.column(1), batch.column(2), batch.column(3), strict=True)
@@ -232,7 +232,7 @@ def pack_pieces(parts: DataFrame, scratch: Scratch, capacity: int = 2048, search
         base = level << 58
 
         def place(batches: Iterator[pa.RecordBatch], base: int = base) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 for block, pids, sizes, bins in zip(*batch.columns, strict=True):
                     sizes, bins = np.array(sizes.as_py()), np.array(bins.as_py())
                     order = np.argsort(bins, kind="stable")

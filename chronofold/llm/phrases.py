@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
-from chronofold.llm.shared import Scratch
+from chronofold.llm.shared import Scratch, slices
 
 #: Phrases in one automaton; more go to further automata, so memory is bounded.
 SHARD = 20_000
@@ -103,7 +103,7 @@ def remove_repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, t
     kind = dict(marked.dtypes)["doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, gone, kept = [], [], []
             for text_, spans in zip(unpacked(batch.column(2)), batch.column(3), strict=True):
                 words = text_.as_py().split()

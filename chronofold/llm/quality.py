@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import chunks, utf8
+from chronofold.llm.shared import chunks, slices, utf8
 
 #: Shares of character classes, as the metadata view counts a page's layout.
 _CLASSES = np.zeros(256, np.int64)
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), ke
     kind = dict(rows.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for a, content, metadata in views(batch, how.dims):
                 data = [np.concatenate([x, m]).astype(np.float16).tobytes() for x, m in zip(content, metadata, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(data)), batch.column(1).slice(a, len(data)), pa.array(data, pa.binary())], names=["id", "y", "x"])
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, how: CoTraining = CoTraining(), key: st
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.zeros(batch.num_rows)
             for a, content, metadata in views(batch, how.dims):
                 half = [v.astype(np.float16).astype(np.float32) for v in (content, metadata)]
@@ -249,7 +249,7 @@ def filter_quality(docs: DataFrame, model: Model, how: CoTraining = CoTraining()
     rows = docs.select(*columns, column("text"), column("source"), column("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = np.zeros(batch.num_rows, bool)
             for a, content, metadata in views(batch, how.dims):
                 half = [v.astype(np.float16).astype(np.float32) for v in (content, metadata)]

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import Scratch, chunks, text_of, utf8
+from chronofold.llm.shared import Scratch, chunks, slices, text_of, utf8
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
@@ -34,7 +34,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(0xFFFFFF)
 _WRAP = (1 << 64) - 1
 #: Windows looked at together; places within must fit in 24 bits.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -141,7 +141,7 @@ def runs(values: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tup
 
 
 def blocks(column, kind: str) -> Iterator[tuple[Block, int, int]]:
-    """(block, first row, rows): about a million bytes of texts at a time, and a longer text by itself."""
+    """(block, first row, rows): about half a million bytes of texts at a time, and a longer text by itself."""
     raw, offsets = utf8(column)
     for a, b in chunks(offsets, _BLOCK):
         yield Block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], kind), a, b - a
@@ -149,11 +149,11 @@ def blocks(column, kind: str) -> Iterator[tuple[Block, int, int]]:
 
 def _runs_of(block: Block, units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     n = len(block.values)
-    if n <= 8 * _BLOCK:
+    if n <= 16 * _BLOCK:
         yield runs(block.values, block.first, units.window, units.anchor)
         return
-    for a in range(0, n - units.window + 1, 4 * _BLOCK):  # one very long text
-        b = min(n, a + 4 * _BLOCK + units.window - 1)
+    for a in range(0, n - units.window + 1, 8 * _BLOCK):  # one very long text
+        b = min(n, a + 8 * _BLOCK + units.window - 1)
         first = np.unique(np.concatenate([[a], block.first[(block.first > a) & (block.first < b)], [b]])) - a
         h, at, size = runs(block.values[a:b], first, units.window, units.anchor)
         yield h, at + a, size
@@ -168,7 +168,7 @@ def find_runs(docs: DataFrame, units: Units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in slices(batches):
             docs_, ths = batch.column(0), batch.column(1)
             for block, row, _ in blocks(batch.column(2), units.kind):
                 view = memoryview(block.line)
@@ -199,7 +199,7 @@ def spans_of(mask: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(a), int(b - a) + window - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratch, most: int = 20_000, batch_bytes: int = 1 << 20) -> DataFrame:
+def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratch, most: int = 20_000, batch_bytes: int = 384 << 10) -> DataFrame:
     """(doc, th, spans): for texts that have any, the units covered by a window that starts anywhere else."""
     w = units.window
     every = scratch.table("runs", find_runs(docs, units))
@@ -256,7 +256,7 @@ def _judged(docs: DataFrame, pool: DataFrame, units: Units, judge: Judge, batch_
     schema = f"h long, n long, doc {doc_type}, th int, start int, nwin int, piece binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             size = 0
 
@@ -272,7 +272,7 @@ def _judged(docs: DataFrame, pool: DataFrame, units: Units, judge: Judge, batch_
                 p, q = block.cut(unit, nwin + w - 1)
                 out.append((r, h, n, start, nwin, block.line[p:q].tobytes()))
                 size += q - p
-                if size > (4 << 20):
+                if size > (1 << 20):
                     yield flush()
                     out, size = [], 0
             if out:
@@ -299,7 +299,7 @@ def _judged(docs: DataFrame, pool: DataFrame, units: Units, judge: Judge, batch_
 
         kinds: dict = {}
         now = None
-        for batch in batches:
+        for batch in slices(batches):
             kinds["doc"] = batch.schema.field("doc").type
             h = batch.column(0).to_pylist()
             rest = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4, 6)), strict=True)
@@ -330,7 +330,7 @@ def _counted(docs: DataFrame, pool: DataFrame, kept: DataFrame, units: Units) ->
     doc_type = dict(docs.dtypes)["doc"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for r, _, n, start, nwin, block, unit in _pieces(batch, units):
                 view = memoryview(block.line)
                 cuts = [block.cut(unit + k, w) for k in range(nwin)]
@@ -362,7 +362,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             raw, at = utf8(batch.column(2))
             view = memoryview(raw)
             small = pa.array([squeeze(view[p:q]) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.graph import components
-from chronofold.llm.shared import Scratch
+from chronofold.llm.shared import Scratch, slices
 
 SEED = 42
 BITS = 64
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
     """(key, fp) for every row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(1)
             found = np.fromiter((fingerprint(x.as_py(), shingle) for x in column), np.uint64, len(column))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "fp"])

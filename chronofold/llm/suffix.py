@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
-from chronofold.llm.shared import Scratch, text_of, utf8
+from chronofold.llm.shared import Scratch, slices, text_of, utf8
 
 #: Symbols that are packed into one 63-bit number for the first sort, 9 bits each.
 _PACK = 7
@@ -174,7 +174,7 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200,
     kind = dict(marked.dtypes)["doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, at = utf8(unpacked(batch.column(2)))
             sizes, gone, count, kept = [], [], [], []
             for k, spans in enumerate(batch.column(3)):
@@ -207,7 +207,7 @@ def strip_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, t
     joined = docs.withColumn("_hash", F.hash(text_of(text))).join(spans, same, "left").select(*columns, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = columns.index(text)
             texts = batch.column(at).to_pylist()
             sizes = batch.column(columns.index(length)).to_pylist() if length in columns else None
