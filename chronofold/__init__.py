@@ -1,0 +1 @@
+"""A PySpark engine for periodicity searches in radio time series."""

@@ -1,0 +1 @@
+"""No operator of this engine needs a stream: inputs are whole observations.  Kept for sources that grow."""
