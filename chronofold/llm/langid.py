@@ -129,7 +129,7 @@ def prototypes(docs: DataFrame, space: Space, text: str = "text", lang: str = "l
     parts = source.mapInArrow(run, "lang string, v array<long>")
     total = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     rows = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).orderBy("lang").collect()
-    return [r["lang"] for r in rows], np.array([[x["x"] for x in r["v"]] for r in rows], np.float64).reshape(len(rows), -1)
+    return [r["lang"] for r in rows], np.array([[x["x"] for x in r["v"]] for r in rows], np.float64).reshape(len(rows), space.dims)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import chunks, slices, utf8
+from chronofold.llm.shared import chunks, slices, utf8, whole_row
 
 #: Shares of character classes, as the metadata view counts a page's layout.
 _CLASSES = np.zeros(256, np.int64)
@@ -243,10 +243,9 @@ def score(docs: DataFrame, model: Model, how: CoTraining = CoTraining(), key: st
 
 def filter_quality(docs: DataFrame, model: Model, how: CoTraining = CoTraining(), key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, unchanged, that the model keeps: scored where they are, without a shuffle."""
+    source = _source(docs, key)
+    rows = docs.select(whole_row(docs), *[(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(f"_{c}") for c in source.columns[1:]])
     columns = docs.columns
-    extra = [c for c in ("text", "source", "lang") if c in columns]
-    column = lambda c: (F.col(c) if c in extra else F.lit(None)).cast("string").alias(f"_{c}")
-    rows = docs.select(*columns, column("text"), column("source"), column("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -254,6 +253,6 @@ def filter_quality(docs: DataFrame, model: Model, how: CoTraining = CoTraining()
             for a, content, metadata in views(batch, how.dims):
                 half = [v.astype(np.float16).astype(np.float32) for v in (content, metadata)]
                 keep[a : a + len(content)] = model.score(*half) >= model.bound
-            yield batch.select(columns).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=columns).filter(pa.array(keep))
 
     return rows.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,7 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()  # what Python still refers to, the JVM can't clean
         jvm.System.gc()
 
 
@@ -60,6 +62,11 @@ def text_of(text: str = "text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def whole_row(docs: DataFrame):
+    """All columns as one struct, so that names we add can't clash with theirs; ``select("_row.*")`` gives them back."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column without a copy, and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.graph import components
-from chronofold.llm.shared import Scratch, slices
+from chronofold.llm.shared import Scratch, slices, whole_row
 
 SEED = 42
 BITS = 64
@@ -168,4 +168,5 @@ def near_dedup(docs: DataFrame, scratch: Scratch, shingle: int = 3, budget: int
     """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest key."""
     groups = near_groups(docs, scratch, shingle, budget, text, key)
     kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_low")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_low"))).select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col(key).alias("_key"))
+    return rows.join(kept, F.col("_key").eqNullSafe(F.col("_low"))).select("_row.*")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
-from chronofold.llm.shared import Scratch, slices, text_of, utf8
+from chronofold.llm.shared import Scratch, slices, text_of, utf8, whole_row
 
 #: Symbols that are packed into one 63-bit number for the first sort, 9 bits each.
 _PACK = 7
@@ -202,26 +202,27 @@ def strip_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, t
     units = Units("bytes", window, anchor)
     spans = recurring_spans(keyed(docs, text, key), units, judge, scratch, most)
     columns = docs.columns
-    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash"))
+    same = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash"))
     spans = spans.withColumnsRenamed({"doc": "_doc", "th": "_th", "spans": "_spans"})
-    joined = docs.withColumn("_hash", F.hash(text_of(text))).join(spans, same, "left").select(*columns, "_spans")
+    rows = docs.select(whole_row(docs), F.col(key).alias("_key"), F.hash(text_of(text)).alias("_hash"))
+    joined = rows.join(spans, same, "left").select("_row", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            out = batch.column(0).flatten()
             at = columns.index(text)
-            texts = batch.column(at).to_pylist()
-            sizes = batch.column(columns.index(length)).to_pylist() if length in columns else None
-            for k, spans in enumerate(batch.column(len(columns))):
+            texts = out[at].to_pylist()
+            sizes = out[columns.index(length)].to_pylist() if length in columns else None
+            for k, spans in enumerate(batch.column(1)):
                 if (found := spans.as_py()) and texts[k] is not None:
                     raw = np.frombuffer(texts[k].encode(), np.uint8)
                     texts[k] = raw[~removed(len(raw), [(x["a"], x["n"]) for x in found])].tobytes().decode("utf-8", "ignore")
                     if sizes is not None:
                         sizes[k] = len(texts[k])
-            out = list(batch.columns[: len(columns)])
-            out[at] = pa.array(texts, batch.column(at).type)
+            out[at] = pa.array(texts, out[at].type)
             if sizes is not None:
                 i = columns.index(length)
-                out[i] = pa.array(sizes, batch.column(i).type)
+                out[i] = pa.array(sizes, out[i].type)
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
     return joined.mapInArrow(run, docs.schema)
