@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # The format's keywords.
@@ -270,19 +271,29 @@ def header_bytes(h: Header) -> bytes:
     return out.getvalue()
 
 
-def write_filterbank(samples: DataFrame, h: Header, path: str) -> None:
-    """Samples (t, ifno, chan, value) as one file, streamed to the driver by sorted partition."""
+def write_filterbank(samples: DataFrame, h: Header, path: str, chunk_bytes: int = 4 << 20) -> None:
+    """Samples (t, ifno, chan, value) as one file.
+
+    Tasks put whole rows of the file together, a chunk of time each; the driver passes the finished
+    chunks on in order and never holds more than a few.  A sample that is missing is written as 0.
+    """
     store, name = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
-    rows = samples.select("t", "ifno", "chan", "value").orderBy("t", "ifno", "chan")
+    step = max(1, chunk_bytes // h.row_bytes)
+
+    def pack(table: pa.Table) -> pa.Table:
+        chunk = table["chunk"][0].as_py()
+        t = table["t"].to_numpy() - chunk * step
+        rows = np.zeros((int(t.max()) + 1 if chunk == last else step, h.nifs, h.nchans), h.dtype)
+        rows[t, table["ifno"].to_numpy(), table["chan"].to_numpy()] = table["value"].to_numpy().astype(h.dtype)
+        return pa.table({"chunk": [chunk], "data": pa.array([rows.tobytes()], pa.binary())})
+
+    rows = samples.select(F.floor(F.col("t") / step).cast("long").alias("chunk"), "t", "ifno", "chan", "value")
+    last = rows.agg(F.max("chunk")).first()[0]
+    packed = rows.groupBy("chunk").applyInArrow(pack, "chunk long, data binary").orderBy("chunk")
     with store.open_output_stream(name) as out:
         out.write(header_bytes(h))
-        part: list = []
-        for row in rows.select("value").toLocalIterator(prefetchPartitions=True):
-            part.append(row[0])
-            if len(part) == 1 << 16:
-                out.write(np.array(part).astype(h.dtype).tobytes())
-                part.clear()
-        out.write(np.array(part, dtype=h.dtype).tobytes())
+        for row in packed.toLocalIterator():
+            out.write(row["data"])
 
 
 def header_frame(spark: SparkSession, h: Header) -> DataFrame:
