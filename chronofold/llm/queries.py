@@ -98,5 +98,29 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+_OP9 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM d),
+s AS (SELECT d.doc_id, i, array_to_string(w[i : i + 34], ' ') AS phrase FROM d, unnest(range(1, len(w) - 33)) AS r(i)),
+m AS (SELECT doc_id, i FROM s WHERE phrase IN (SELECT phrase FROM s GROUP BY phrase HAVING count(*) > 1)),
+c AS (SELECT k.doc_id, k.i, word, max(CASE WHEN m.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY k.doc_id ORDER BY k.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM k LEFT JOIN m ON m.doc_id = k.doc_id AND m.i = k.i),
+g AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+_OP10 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+g AS (SELECT conv_id, count(*) AS n_turns,
+  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+  CAST(sum(24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2}
+    return {"op2_exact_dedup": _OP2, "op9_substring_dedup": _OP9, "op10_chat_formatting": _OP10}
