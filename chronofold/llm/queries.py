@@ -98,6 +98,22 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+_OP8 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 400)) AS w FROM d, unnest(range(1, n - 198)) AS r(i)),
+m AS (SELECT doc_id, i FROM s JOIN (SELECT w FROM s GROUP BY w HAVING count(*) > 1) USING (w)),
+e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM m),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS f FROM r),
+c AS (SELECT k.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+  string_agg(substr(x, 2 * f - 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) - 1) AS kept
+  FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
 _OP9 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 k AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, len(w) AS n FROM d),
@@ -123,4 +139,4 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op9_substring_dedup": _OP9, "op10_chat_formatting": _OP10}
+    return {"op2_exact_dedup": _OP2, "op8_suffix_array_dedup": _OP8, "op9_substring_dedup": _OP9, "op10_chat_formatting": _OP10}
