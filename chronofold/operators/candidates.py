@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,37 +40,61 @@ class Clustering:
 _BEST = ("period", "frequency", "width", "phase", "shift", "bins", "dm_index", "dm")
 
 
+def _cells(radius: float) -> tuple[Column, Column]:
+    """A grid of half the radius over frequency: peaks of one cell always chain.
+
+    Where half the radius is below what a double can tell apart, each frequency is a cell of its own.
+    """
+    f = F.col("frequency").cast("double")
+    fine = F.coalesce(F.abs(f) * 2.0**-50 >= radius / 2, F.lit(True))
+    return fine, F.when(fine, f).otherwise(F.floor(f / F.lit(radius / 2 or 1.0)).cast("double"))
+
+
+def _merged(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.min_by("best_peak", "_o").alias("best_peak"), F.min("_o").alias("_o"), F.sum("peak_count").alias("peak_count"),
+        F.min("frequency_min").alias("frequency_min"), F.max("frequency_max").alias("frequency_max"),
+    )
+
+
 def select_candidates(peaks: DataFrame, observation_seconds: float, how: Clustering = Clustering(), keys: Sequence[str] = ()) -> DataFrame:
     """Candidates with their rank: peaks chained by frequency, and within a chain by trial.
 
     Gaps and islands: a running count of gaps numbers the chains.  Gaps are to the previous peak, so a
-    chain may be longer than the radius.
+    chain may be longer than the radius.  Peaks are first combined by frequency cell, trial and width,
+    map-side too, so the windows see the search grid's cells and not every peak of an observation.
     """
     positive("observation_seconds", observation_seconds)
     keys = list(keys)
-    ties = [c for c in ("period", "phase", "shift", "bins", "dm") if c in peaks.columns]
-    by_f = Window.partitionBy(*keys).orderBy("frequency", "width", "dm_index", F.col("snr").desc(), *ties)
-    gap = F.col("frequency") - F.lag("frequency").over(by_f)
-    rows = peaks.withColumn("_cut", (F.coalesce(gap, F.lit(0.0)) > how.frequency_radius / observation_seconds).cast("int"))
+    radius = how.frequency_radius / observation_seconds
+    fine, cell = _cells(radius)
+    snr = F.col("snr")
+    odd = F.isnan(snr) | (F.abs(snr) == F.lit(float("inf")))
+    rows = peaks.select(
+        *keys, fine.alias("_fine"), cell.alias("_cell"), "dm_index", "width",
+        F.struct(*[c for c in peaks.columns if c not in keys]).alias("best_peak"),
+        F.struct(odd.alias("o"), (-snr).alias("s"), *_BEST).alias("_o"),
+        F.lit(1).cast("long").alias("peak_count"), F.col("frequency").alias("frequency_min"), F.col("frequency").alias("frequency_max"),
+    )
+    rows = _merged(rows, [*keys, "_fine", "_cell", "dm_index", "width"])
+    by_f = Window.partitionBy(*keys).orderBy("frequency_min", "frequency_max", "dm_index", "width")
+    gap = F.col("frequency_min") - F.max("frequency_max").over(by_f.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_cut", (F.coalesce(gap, F.lit(0.0)) > radius).cast("int"))
     rows = rows.withColumn("_f", F.sum("_cut").over(by_f.rowsBetween(Window.unboundedPreceding, 0)))
-    order = ["dm_index", "width", "frequency"] if how.across_widths else ["width", "dm_index", "frequency"]
-    by_dm = Window.partitionBy(*keys, "_f").orderBy(*order)
+    rows = _merged(rows, [*keys, "_f", "dm_index", "width"])
+    by_dm = Window.partitionBy(*keys, "_f").orderBy(*(["dm_index", "width"] if how.across_widths else ["width", "dm_index"]))
     apart = F.col("dm_index") > F.lag("dm_index").over(by_dm) + how.dm_radius
     if not how.across_widths:
         apart = apart | (F.col("width") != F.lag("width").over(by_dm))
     rows = rows.withColumn("_cut", F.coalesce(apart, F.lit(False)).cast("int"))
     rows = rows.withColumn("_c", F.sum("_cut").over(by_dm.rowsBetween(Window.unboundedPreceding, 0)))
-    odd = F.isnan("snr") | (F.abs("snr") == F.lit(float("inf")))
-    best = F.min_by(F.struct(*[c for c in peaks.columns if c not in keys]), F.struct(odd.alias("o"), (-F.col("snr")).alias("s"), *_BEST))
     found = rows.groupBy(*keys, "_f", "_c").agg(
-        best.alias("best_peak"), F.count("*").alias("peak_count"),
+        F.min_by("best_peak", "_o").alias("best_peak"), F.sum("peak_count").alias("peak_count"),
         F.min("dm_index").alias("dm_index_min"), F.max("dm_index").alias("dm_index_max"),
-        F.min("frequency").alias("frequency_min"), F.max("frequency").alias("frequency_max"),
+        F.min("frequency_min").alias("frequency_min"), F.max("frequency_max").alias("frequency_max"),
     )
     flat = ["dm", "dm_index", "period", "frequency", "width", "duty_cycle", "snr"]
     found = found.select(*keys, *[F.col(f"best_peak.{c}").alias(c) for c in flat], "peak_count", "dm_index_min", "dm_index_max", "frequency_min", "frequency_max", "best_peak")
-    snr = F.col("snr")
-    odd = F.isnan(snr) | (F.abs(snr) == F.lit(float("inf")))
     order = [odd.asc(), snr.desc(), *[F.col(f"best_peak.{c}").asc() for c in _BEST], F.col("peak_count").desc(), F.col("frequency").asc(), F.col("dm_index").asc()]
     ranked = found.withColumn("candidate_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     return ranked.where(F.col("candidate_rank") < how.max_candidates) if how.max_candidates else ranked

@@ -246,13 +246,13 @@ def candidate_clusters_by_width(spark, sf_dir):
 
 def harmonic_flags(spark, sf_dir):
     found, seconds = _candidates(spark, sf_dir)
-    flagged = cand.flag_harmonics(found.where("candidate_rank < 500"), cand.Harmonics(seconds, 1000.0, FREF))
+    flagged = cand.flag_harmonics(found, cand.Harmonics(seconds, 1000.0, FREF))
     return flagged
 
 
 def harmonic_removed(spark, sf_dir):
     found, seconds = _candidates(spark, sf_dir)
-    flagged = cand.flag_harmonics(found.where("candidate_rank < 500"), cand.Harmonics(seconds, 1000.0, FREF))
+    flagged = cand.flag_harmonics(found, cand.Harmonics(seconds, 1000.0, FREF))
     return cand.remove_harmonics(flagged, 50)
 
 

@@ -195,6 +195,35 @@ def test_candidates(spark):
     assert len(best) == 1 and best[0]["snr"] == 9.0
 
 
+def _chained(rows, radius, dm_radius, across):
+    """Peaks in order, cut wherever the one before is too far: sizes and extents of the groups."""
+    chains, out = [], []
+    for p in sorted(rows):
+        if not chains or p[0] - chains[-1][-1][0] > radius:
+            chains.append([])
+        chains[-1].append(p)
+    for chain in chains:
+        before = None
+        for p in sorted(chain, key=lambda p: (p[1],) if across else (p[3], p[1])):
+            if before is None or p[1] > before[1] + dm_radius or (not across and p[3] != before[3]):
+                out.append([])
+            out[-1].append(p)
+            before = p
+    return sorted((len(g), min(p[0] for p in g), max(p[0] for p in g), min(p[1] for p in g), max(p[1] for p in g), max(p[2] for p in g)) for g in out)
+
+
+@pytest.mark.parametrize("radius", [0.0, 1e-18, 0.05, 0.5])
+@pytest.mark.parametrize("across", [True, False])
+def test_candidates_brute_force(spark, radius, across):
+    rng = np.random.default_rng(5)
+    steps = rng.choice([0.0, 0.0004, 0.0005, 0.0006, 0.003], 300)  # gaps at, below and above the radius
+    rows = [(float(f), int(d), float(s), int(w)) for f, d, s, w in zip(1.0 + np.cumsum(steps), rng.integers(0, 6, 300), rng.integers(6, 99, 300), rng.integers(1, 3, 300), strict=True)]
+    found = cand.select_candidates(_peaks(spark, rows), 100.0, cand.Clustering(radius, 1, across)).collect()
+    got = sorted((r["peak_count"], r["frequency_min"], r["frequency_max"], r["dm_index_min"], r["dm_index_max"], r["snr"]) for r in found)
+    assert got == _chained(rows, radius / 100.0, 1, across)
+    assert sorted(r["candidate_rank"] for r in found) == list(range(len(found)))
+
+
 def _candidate(f, snr, dm=0.0, duty=0.1):
     return {"frequency": f, "period": 1 / f, "snr": snr, "dm": dm, "dm_index": int(dm), "duty_cycle": duty, "peak_count": 1}
 
