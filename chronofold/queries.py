@@ -256,6 +256,32 @@ def harmonic_removed(spark, sf_dir):
     return cand.remove_harmonics(flagged, 50)
 
 
+#: A longer observation than the clustering's, so that about a fifth of these candidates are harmonics.
+TABLE_HARMONICS = cand.Harmonics(1000.0, 1000.0, FREF)
+_RELATION = ("frequency_error_bins", "phase_distance", "dm_distance", "expected_snr", "snr_distance")
+
+
+def _table_flags(spark, sf_dir) -> DataFrame:
+    found = cand.select_candidates(_table_peaks(spark, sf_dir), T_OBS, cand.Clustering(0.03, 2))
+    return cand.flag_harmonics(found, TABLE_HARMONICS)
+
+
+def _shown_flags(flagged: DataFrame) -> DataFrame:
+    """No relation is shown as parent -1 and zeros."""
+    flagged = flagged.withColumns({c: F.when(F.col("is_harmonic"), F.col(c)).otherwise(F.lit(0.0)) for c in _RELATION})
+    flagged = flagged.withColumn("parent_index", F.coalesce("parent_index", F.lit(-1).cast("long")))
+    shown = flagged.select("harmonic_rank", "frequency", "dm", "dm_index", "snr", "peak_count", "is_harmonic", "parent_index", "numerator", "denominator", *_RELATION)
+    return _rounded(shown, "frequency", "snr", *_RELATION)
+
+
+def candidate_harmonics(spark, sf_dir):
+    return _shown_flags(_table_flags(spark, sf_dir))
+
+
+def candidate_harmonics_removed(spark, sf_dir):
+    return _shown_flags(cand.remove_harmonics(_table_flags(spark, sf_dir), 200))
+
+
 def harmonic_ratios(spark, sf_dir):
     rows = [(k, p, q) for k, (_, p, q) in enumerate(cand.Harmonics(1.0, 1.0, 2.0).ratios)]
     return spark.createDataFrame(rows, "ratio_index int, numerator int, denominator int")
@@ -328,7 +354,7 @@ NAMES: tuple[Callable, ...] = (
     dedisperse_subband, dm_time_series, ts_stats, shipping_stats, normalise, normalise_series, scrunch, running_median, detrend,
     fast_running_median, downsample, downsample_long, downsample_variance, preprocess, ffa_plan, width_trials, trial_periods,
     ffa_transform, ffa_search, boxcar_detect, dm_peaks, dm_peaks_topk, candidate_clusters, candidate_clusters_by_width, harmonic_flags,
-    harmonic_removed, harmonic_ratios, fold_profile, fold_cube, fold_cube_subbands, fold_exposure, fold_integrated, fold_freq_phase,
+    harmonic_removed, candidate_harmonics, candidate_harmonics_removed, harmonic_ratios, fold_profile, fold_cube, fold_cube_subbands, fold_exposure, fold_integrated, fold_freq_phase,
     fold_time_phase, filterbank_round_trip, dm_search,
 )
 
@@ -431,20 +457,47 @@ _PK = """pk AS (SELECT CAST(c_custkey % 40 AS INTEGER) AS dm_index, 0.5::DOUBLE
   CAST(c_custkey % 64 AS INTEGER) AS phase, CAST(c_custkey AS BIGINT) AS shift FROM customer)"""
 
 
-def _clusters(across: bool, cap: int) -> str:
+def _cluster_tables(across: bool) -> str:
     order = "dm_index, width, frequency" if across else "width, dm_index, frequency"
     split = "" if across else f" OR width <> lag(width) OVER (PARTITION BY f ORDER BY {order})"
-    return f"""WITH {_PK}, a AS (SELECT *, CASE WHEN frequency - lag(frequency) OVER (ORDER BY frequency, width, dm_index) > 0.03::DOUBLE / {T_OBS}::DOUBLE THEN 1 ELSE 0 END AS cut FROM pk),
+    return f"""{_PK}, a AS (SELECT *, CASE WHEN frequency - lag(frequency) OVER (ORDER BY frequency, width, dm_index) > 0.03::DOUBLE / {T_OBS}::DOUBLE THEN 1 ELSE 0 END AS cut FROM pk),
 b AS (SELECT *, sum(cut) OVER (ORDER BY frequency, width, dm_index ROWS UNBOUNDED PRECEDING) AS f FROM a),
 c AS (SELECT *, CASE WHEN dm_index > lag(dm_index) OVER (PARTITION BY f ORDER BY {order}) + 2{split} THEN 1 ELSE 0 END AS cut2 FROM b),
 d AS (SELECT *, sum(cut2) OVER (PARTITION BY f ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS c FROM c),
 e AS (SELECT *, row_number() OVER (PARTITION BY f, c ORDER BY snr DESC, frequency DESC, width, phase, shift, dm_index) AS k, count(*) OVER (PARTITION BY f, c) AS n,
   min(dm_index) OVER (PARTITION BY f, c) AS d0, max(dm_index) OVER (PARTITION BY f, c) AS d1, min(frequency) OVER (PARTITION BY f, c) AS f0, max(frequency) OVER (PARTITION BY f, c) AS f1 FROM d),
-g AS (SELECT *, row_number() OVER (ORDER BY snr DESC, frequency DESC, width, phase, shift, dm_index, n DESC) - 1 AS r FROM e WHERE k = 1)
+g AS (SELECT *, row_number() OVER (ORDER BY snr DESC, frequency DESC, width, phase, shift, dm_index, n DESC) - 1 AS r FROM e WHERE k = 1)"""
+
+
+def _clusters(across: bool, cap: int) -> str:
+    return f"""WITH {_cluster_tables(across)}
 SELECT dm, dm_index, round(frequency, 6) AS frequency, width, duty_cycle, round(CAST(snr AS DOUBLE), 6) AS snr, CAST(n AS BIGINT) AS peak_count, d0 AS dm_index_min, d1 AS dm_index_max,
   f0 AS frequency_min, f1 AS frequency_max, CAST(r AS INTEGER) AS candidate_rank, shift AS best_shift FROM g{f" WHERE r < {cap}" if cap else ""}"""
 
 
+_H = TABLE_HARMONICS
+_BAND_DELAY = DISPERSION * abs(1 / _H.frequency_low**2 - 1 / _H.frequency_high**2)
+_HARMONIC = f"""WITH RECURSIVE {_cluster_tables(True)},
+ca AS (SELECT row_number() OVER (ORDER BY snr DESC, n DESC, frequency, dm_index) - 1 AS i, frequency AS hz, 1.0::DOUBLE / frequency * duty_cycle AS seconds, duty_cycle AS duty, dm, dm_index, CAST(snr AS DOUBLE) AS snr, n FROM g),
+ra AS (SELECT DISTINCT x // gcd(x, y) AS p, y // gcd(x, y) AS q, CAST(x // gcd(x, y) AS DOUBLE) / (y // gcd(x, y)) AS v FROM range(1, {_H.max_harmonic + 1}) AS o(x), range(1, {_H.denominator_max + 1}) AS u(y) WHERE x <> y),
+ne AS (SELECT a.i AS parent, h.i AS child, min({{'off': abs(v - h.hz / a.hz), 'below': -v, 'p': p, 'q': q, 'v': v}}) AS near FROM ca a, ca h, ra WHERE a.i < h.i GROUP BY ALL),
+er AS (SELECT ne.*, abs(h.hz - a.hz * near.v) * {_H.observation_seconds}::DOUBLE AS err, CASE WHEN h.hz >= a.hz THEN h.duty ELSE a.duty END AS duty,
+  abs(a.dm - h.dm) * {_BAND_DELAY!r}::DOUBLE * {_H.delay_scale}::DOUBLE / least(a.seconds, h.seconds) AS dist, a.snr / sqrt(CAST(near.p * near.q AS DOUBLE)) AS want, h.snr AS snr
+  FROM ne JOIN ca a ON a.i = parent JOIN ca h ON h.i = child),
+ok AS MATERIALIZED (SELECT *, err / duty AS phase, abs(snr - want) AS miss FROM er WHERE err <= {_H.frequency_tolerance_bins}::DOUBLE AND err / duty <= {_H.phase_distance_max}::DOUBLE AND dist <= {_H.dm_distance_max}::DOUBLE),
+st(k, i, parent) AS (
+  SELECT CAST(0 AS BIGINT), i, CAST(NULL AS BIGINT) FROM ca
+  UNION ALL
+  SELECT s.k + 1, s.i, CASE WHEN s.parent IS NULL AND s.used = 0 AND ok.child IS NOT NULL THEN s.k ELSE s.parent END
+  FROM (SELECT *, max(CASE WHEN i = k AND parent IS NOT NULL THEN 1 ELSE 0 END) OVER () AS used FROM st) s LEFT JOIN ok ON ok.parent = s.k AND ok.child = s.i
+  WHERE s.k < (SELECT count(*) FROM ca)),
+hf AS (SELECT i, parent FROM st WHERE k = (SELECT count(*) FROM ca)),
+fl AS (SELECT CAST(ca.i AS BIGINT) AS harmonic_rank, round(ca.hz, 6) AS frequency, ca.dm, ca.dm_index, round(ca.snr, 6) AS snr, CAST(ca.n AS BIGINT) AS peak_count, hf.parent IS NOT NULL AS is_harmonic,
+  coalesce(hf.parent, -1) AS parent_index, CAST(coalesce(near.p, 0) AS INTEGER) AS numerator, CAST(coalesce(near.q, 0) AS INTEGER) AS denominator, round(coalesce(err, 0), 6) AS frequency_error_bins,
+  round(coalesce(phase, 0), 6) AS phase_distance, round(coalesce(dist, 0), 6) AS dm_distance, round(coalesce(want, 0), 6) AS expected_snr, round(coalesce(miss, 0), 6) AS snr_distance
+  FROM ca JOIN hf ON hf.i = ca.i LEFT JOIN ok ON ok.parent = hf.parent AND ok.child = ca.i)"""
+
+
 def _fold(source: str, select: str, by: str) -> str:
     """Overlap sums of ``source`` (t, ...) over phase bins, grouped."""
     step = f"({TSAMP}::DOUBLE / {FOLD.period}::DOUBLE * {FOLD.nbin})"
@@ -491,6 +544,8 @@ def oracle_sql() -> dict[str, str]:
         "boxcar_detect": f"{_BOX} SELECT event_type, w AS width, phase, round(snr, 2) AS snr FROM sn WHERE shift = 0",
         "ffa_search": f"{_BOX} SELECT event_type, w AS width, phase, shift, {BINS} AS bins, width_index, shift AS period_index, round({BINS * BINS} / ({BINS} - shift / {HOURS // BINS - 1}.0::DOUBLE), 6) AS period, round(({BINS} - shift / {HOURS // BINS - 1}.0::DOUBLE) / {BINS * BINS}, 6) AS frequency, round(w / {BINS}.0::DOUBLE, 6) AS duty_cycle, round(snr, 2) AS snr FROM sn WHERE snr >= {EVENT_SNR} AND shift < {make_plan(HOURS, 1.0, SearchOptions(24.0, 25.0, 24, 24, 4)).tasks[0].rows_eval}",
         "candidate_clusters": _clusters(True, 0),
+        "candidate_harmonics": f"{_HARMONIC} SELECT * FROM fl",
+        "candidate_harmonics_removed": f"{_HARMONIC} SELECT * FROM fl WHERE NOT is_harmonic ORDER BY harmonic_rank LIMIT 200",
         "candidate_clusters_by_width": _clusters(False, 25),
         "harmonic_ratios": "WITH r AS (SELECT DISTINCT p // gcd(p, q) AS p, q // gcd(p, q) AS q FROM range(1, 17) AS a(p), range(1, 6) AS b(q)) SELECT CAST(row_number() OVER (ORDER BY p / CAST(q AS DOUBLE)) - 1 AS INTEGER) AS ratio_index, CAST(p AS INTEGER) AS numerator, CAST(q AS INTEGER) AS denominator FROM r WHERE p <> q",
         "fold_profile": f"{_SPEC}, ts AS (SELECT t, CAST(sum(value) AS DOUBLE) AS v FROM x GROUP BY t), f AS ({_fold('ts', 'sum(v * w) AS s, sum(w) AS e', '1 AS one')}) SELECT CAST(b AS INTEGER) AS bin, round(b / {FOLD.nbin}.0::DOUBLE, 3) AS phase, round(CAST(CAST(coalesce(s / e, 0) AS FLOAT) AS DOUBLE), 3) AS profile, round(coalesce(e, 0), 3) AS exposure FROM range({FOLD.nbin}) AS q(b) LEFT JOIN f ON f.bin = b",
