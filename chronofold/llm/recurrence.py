@@ -35,6 +35,8 @@ _LOW = np.uint64(0xFFFFFF)
 _WRAP = (1 << 64) - 1
 #: Windows looked at together; places within must fit in 24 bits.
 _BLOCK = 1 << 19
+#: Runs met more than HOT times, and more than a HOT_RUNS-th of all rows, are hot: never over HOT_RUNS of them.
+HOT, HOT_RUNS = 5_000, 10_000
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -214,8 +216,13 @@ def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratc
     open_ = scratch.table("open", open_.select("h", "m"))
     pool = scratch.table("pool", texts.join(open_, "h"))
     span = lambda start, n: F.struct(F.col(start).cast("int").alias("a"), n.cast("int").alias("n"))
-    copies = texts.where("n > 1").select("h", "s")
-    found = [kept.join(copies, ["h", "s"]).select("doc", "th", span("start", F.col("nwin") + (w - 1)).alias("span"))]
+    # Hot runs may fill one block of one file, which Spark can't split; at most HOT_RUNS of them are sent to every task instead.
+    often = max(HOT, kept.count() // HOT_RUNS)
+    hot = texts.where(F.col("n") > often).select("h", "s", F.lit(True).alias("hot"))
+    rows = kept.join(F.broadcast(hot), ["h", "s"], "left")
+    copies = texts.where(F.col("n").between(2, often)).select("h", "s")
+    again = rows.where("hot").select(*kept.columns).union(rows.where("hot is null").select(*kept.columns).join(copies, ["h", "s"]).select(*kept.columns))
+    found = [again.select("doc", "th", span("start", F.col("nwin") + (w - 1)).alias("span"))]
     found.append(_judged(docs, pool.where(F.col("m") <= most), units, judge, batch_bytes))
     crowded = pool.where(F.col("m") > most)
     if not crowded.isEmpty():

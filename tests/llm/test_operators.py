@@ -174,6 +174,15 @@ def _brute_cover(seqs, w):
     return out
 
 
+@pytest.mark.parametrize("hot", [1, 2])
+def test_hot_runs(spark, docs, rows, monkeypatch, hot):
+    """Runs that are sent to every task give the same rows as runs that are joined."""
+    plain = suffix.remove_repeated_bytes(docs, Scratch(spark, "t")).select("doc_id", "n_removed", "kept").collect()
+    monkeypatch.setattr("chronofold.llm.recurrence.HOT", hot)
+    found = suffix.remove_repeated_bytes(docs, Scratch(spark, "t")).select("doc_id", "n_removed", "kept").collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, plain)) and sum(r["n_removed"] for r in found) > 0
+
+
 @pytest.mark.parametrize(("window", "anchor", "most"), [(200, 32, 20_000), (200, 32, 1), (40, 16, 2), (33, 32, 20_000)])
 def test_repeated_bytes(spark, docs, rows, empty, window, anchor, most):
     seqs = [(r[1] or "").encode() for r in rows]
