@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,9 +164,22 @@ def near_groups(
     return own.join(group, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, groups: Callable[[DataFrame, str], DataFrame], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Exactly one row of each group of ``docs``, whole and unchanged.
+
+    ``groups(rows, own)`` gives (own, component_id) for rows of a text and a key ``own``, which has the
+    row's key and a hash of all its columns.  The row with the smallest key stays, a null key only where
+    the group has no other; of different rows with that key the one of the least hash; of equal rows one.
+    """
+    check = F.xxhash64(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), check.alias("c")).alias("_own"), F.col(text))
+    found = groups(rows, "_own").select(F.col("component_id.k").alias("_low"), F.col("component_id.c").alias("_check"))
+    kept = found.distinct()
+    rows = docs.select(whole_row(docs), F.col(key).alias("_key"), check.alias("_check"))
+    stay = rows.join(kept, "_check").where(F.col("_key").eqNullSafe(F.col("_low")))
+    return stay.dropDuplicates(["_check"]).select("_row.*")
+
+
 def near_dedup(docs: DataFrame, scratch: Scratch, shingle: int = 3, budget: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the one with the smallest key."""
-    groups = near_groups(docs, scratch, shingle, budget, text, key)
-    kept = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_low")).distinct()
-    rows = docs.select(whole_row(docs), F.col(key).alias("_key"))
-    return rows.join(kept, F.col("_key").eqNullSafe(F.col("_low"))).select("_row.*")
+    """The rows of ``docs`` that stay: exactly one of each near-duplicate group, by ``keep_first``."""
+    return keep_first(docs, lambda rows, own: near_groups(rows, scratch, shingle, budget, text, own), text, key)

@@ -152,6 +152,21 @@ def test_simhash_links_lose_nothing(spark, bucket):
         assert {found.get(x, x) for x in members} == {min(members)}
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs, rows):
+    """Also where keys repeat with different texts or are null; of rows with the least key the one of the least hash."""
+    prints = {k: _brute_print(r[1]) for k, r in enumerate(rows)}
+    root = _components(prints)
+    hashes = spark.createDataFrame(rows, SCHEMA).select(F.xxhash64(*docs.columns).alias("h")).collect()
+    best = {}
+    for k, r in enumerate(rows):
+        rank = (r[0] is None, r[0] or 0, hashes[k][0])
+        best[root[prints[k]]] = min(best.get(root[prints[k]], (rank, r[:2])), (rank, r[:2]), key=lambda x: x[0])
+    kept = simhash.near_dedup(docs, Scratch(spark, "t"))
+    assert _rows(kept, "doc_id", "text") == Counter(r for _, r in best.values())
+    same = spark.createDataFrame([(5, "Hello world"), (5, "hello world"), (3, "other"), (5, "OTHER"), (None, "x y"), (None, "X Y")], "doc_id long, text string")
+    assert sorted(r["text"].lower() for r in simhash.near_dedup(same, Scratch(spark, "t")).collect()) == ["hello world", "other", "x y"]
+
+
 def test_components_of_a_long_chain(spark):
     from chronofold.llm.graph import components
 
