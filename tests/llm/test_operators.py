@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronofold.llm import bpe, chat, exact, langid, media, packing, phrases, quality, recurrence, simhash, suffix
+from chronofold.llm import bpe, chat, exact, langid, media, packing, phrases, quality, recurrence, simhash, similar, suffix
 from chronofold.llm.shared import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, u long, _low string, _text string, h string, doc string, th int, spans string, _row int"
@@ -167,6 +167,70 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, docs, rows):
     assert sorted(r["text"].lower() for r in simhash.near_dedup(same, Scratch(spark, "t")).collect()) == ["hello world", "other", "x y"]
 
 
+def _similar(texts):
+    """Component of each text by comparing all sets of 5-word shingles; A-Z in lower case, the six ASCII spaces part words."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and (a or not sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def _near_copies():
+    """Chains of edited texts, one large group of copies of a text, and a line that most texts have."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(4000)}"
+    line = " ".join(word() for _ in range(9))
+    out = [None, "", " ", "a", "A", "one two three", "one  TWO three"]
+    for k in range(30):
+        text = [word() for _ in range(rng.choice([6, 12, 30, 60, 200]))]
+        for _ in range(60 if k == 0 else rng.randrange(1, 8)):
+            text = [*text]
+            for _ in range(rng.randrange(1 + len(text) // 25)):
+                text[rng.randrange(len(text))] = word()
+            out.append(" ".join(text) + (f"\n{line}" if rng.random() < 0.6 else ""))
+    return out
+
+
+@pytest.mark.parametrize(("bucket", "sample"), [(32, 20_000), (4, 20_000), (1, 20_000), (1, 10)])
+def test_similar_groups(spark, monkeypatch, bucket, sample):
+    monkeypatch.setattr(similar, "SAMPLE", sample)
+    texts = _near_copies()
+    expect = dict(enumerate(_similar(texts)))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(table, Scratch(spark, "t"), bucket=bucket).collect()}
+    assert found == expect and len(set(expect.values())) < 0.7 * len(expect)
+
+
+def test_similar_dedup(spark, docs, rows, empty):
+    group = _similar([r[1] for r in rows])
+    least = {g: min((r[0] is None, r[0] or 0) for r, x in zip(rows, group, strict=True) if x == g) for g in set(group)}
+    kept = similar.similar_dedup(docs, Scratch(spark, "t"))
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == Counter(least.values())
+    assert similar.similar_dedup(empty, Scratch(spark, "t")).count() == 0
+
+
+def test_pipeline_leaves_no_near_copies(spark):
+    import corpus_pipeline
+
+    texts = _near_copies()
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, table, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(_similar(texts)))
+
+
 def test_components_of_a_long_chain(spark):
     from chronofold.llm.graph import components
 
