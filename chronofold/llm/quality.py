@@ -193,11 +193,12 @@ def _source(docs: DataFrame, key: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), key: str = "doc_id", label: str = "quality") -> Model:
-    """A model from the bounded sample of ``docs``; labels of a key that differ count as their least."""
+    """A model from the bounded sample of ``docs``; labels of a key that differ count as their least, those of other keys not at all."""
     given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
     order = F.xxhash64("_id")
-    chosen = given.orderBy(order, "_id").limit(how.labelled)
-    rest = docs.select(F.col(key).alias("_id")).where(F.col(key).isNotNull()).distinct().join(given, "_id", "left_anti")
+    ids = docs.select(F.col(key).alias("_id")).where(F.col(key).isNotNull()).distinct()
+    chosen = given.join(ids, "_id", "left_semi").orderBy(order, "_id").limit(how.labelled)
+    rest = ids.join(given, "_id", "left_anti")
     chosen = chosen.union(rest.orderBy(order, "_id").limit(how.unlabelled).select("_id", F.lit(-1).alias("_y")))
     # At most labelled + unlabelled rows of two numbers.
     rows = _source(docs, key).join(F.broadcast(chosen), F.col(key) == F.col("_id"))

@@ -461,6 +461,18 @@ def test_quality(spark, docs, empty):
     assert quality.score(empty, quality.train(empty, labels)).count() == 0
 
 
+def test_quality_labels_of_a_part(spark):
+    """Labels of documents that are not there take no place in the sample."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    last = labels.orderBy(F.xxhash64("doc_id").desc()).limit(150)
+    part = table.join(last.select("doc_id"), "doc_id", "left_semi")
+    model = quality.train(part, labels, quality.CoTraining(labelled=100))
+    judged = quality.score(part, model).join(last, "doc_id")
+    assert judged.where("quality = 0").count() > 0
+    assert judged.where("keep = (quality = 1)").count() >= 0.9 * judged.count()
+
+
 _ANY = st.lists(st.sampled_from([*"ab<|\\>\n", "<|im_end|>", "<|im_start|>", "é", "😀"]), max_size=8).map("".join)
 
 
