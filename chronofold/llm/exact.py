@@ -41,7 +41,6 @@ def combined(docs: DataFrame, scratch: Scratch, text: str, key: str, salts: int,
     )
     groups = salted.groupBy("_digest", "_content").agg(F.min("_low").alias("_low"), F.sum("_n").alias("_n"))
     groups = scratch.table("groups", groups.select("_digest", F.xxhash64("_content").alias("_check"), "_low", "_n"))
-    scratch.drop()
     return groups
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,42 +17,87 @@ from pyspark.sql import functions as F
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
 
+#: Spark deletes an execution's shuffle files as soon as it ends, where this is set.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a folder of our own is set.
+    Where that is unset and driver and executors are one process (a local master), a new folder is set.
+    On a cluster it must be set: a folder of one machine would lose what executors write.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/chronofold-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="chronofold-")
         spark.conf.set("spark.checkpoint.dir", path)
+        atexit.register(shutil.rmtree, path, True)
     return path.rstrip("/")
 
 
 class Scratch:
     """Intermediate Parquet tables in the shared folder.
 
-    A table cuts lineage: what it holds survives the loss of any executor.  ``drop`` removes
-    tables that no later step reads and lets Spark's cleaner delete the shuffle files of the
-    finished steps, so the disk in use is that of one step and not of all.
+    A table cuts lineage: what it holds survives the loss of any executor.  The shuffle files of the
+    job that writes it go when it ends.  ``drop`` removes tables that no later step reads.  What a
+    returned DataFrame still reads is removed by ``release``, once its caller has used it, or at the
+    end of the process.
     """
 
+    _made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch._made.append(self)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_TIDY, "false")
+        self.spark.conf.set(_TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_TIDY, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()  # what Python still refers to, the JVM can't clean
-        jvm.System.gc()
+            self._delete(f"{self.root}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Drop every table but these."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in store.listStatus(path) if store.exists(path) else []:
+            if found.getPath().getName() not in names:
+                store.delete(found.getPath(), True)
+
+
+def mark() -> int:
+    """A place in the list of scratch folders, for ``release``."""
+    return len(Scratch._made)
+
+
+def release(since: int = 0) -> None:
+    """Delete the scratch folders made after ``since``: call it when the results that read them are used up."""
+    while len(Scratch._made) > since:
+        scratch = Scratch._made.pop()
+        scratch._delete(scratch.root)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the JVM has ended before this process
+        Scratch._made.clear()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
