@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,6 +50,7 @@ class Codec:
         self.core = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         self.pieces = {k: b for b, k in ranks.items()} | {k: t.encode() for t, k in self.added.items()}
         self.longest_added = max(map(len, self.added), default=0)
+        self.again = 0  # bytes that joins have encoded again
 
     def encode(self, text: str) -> list[int]:
         if any(t in text for t in self.added):
@@ -71,13 +73,38 @@ def codec(path: str = VOCABULARY) -> Codec:
 Part = tuple[str, list[int]]
 
 
-def _safe(text: str, a: int, b: int) -> list[int]:
-    """Places in text[a:b] where pieces always meet: a space between two ASCII letters.
+@lru_cache(1 << 16)
+def _kind(c: str) -> str:
+    """The pre-tokenizer's class of a character: S white space, L letter, N number, O other, and ? where
+    versions of Unicode could differ, or where a character has no class of its own in the oldest."""
+    if c.isspace():
+        return "S" if c in _SPACES else "?"
+    now, then = unicodedata.category(c)[0], unicodedata.ucd_3_2_0.category(c)
+    if then == "Cn" or then[0] != now:
+        return "?"
+    return now if now in "LN" else "O" if now in "MPS" else "?"
 
-    A letter ends its piece before a space, and the space begins the next piece with the letter after it.
+
+#: Characters that every version of the pattern takes for white space.
+_SPACES = frozenset(" \t\n\x0b\x0c\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(k) for k in range(0x2000, 0x200B)}
+
+
+def _meet(before: str, after: str) -> bool:
+    """Whether the pre-tokenizer always ends a piece between two characters.
+
+    Pieces hold one class, but for a space before them and for a contraction, which begins with an
+    apostrophe.  So a change of class ends a piece, unless white space or an apostrophe comes before it.
     """
-    letter = lambda c: c.isascii() and c.isalpha()
-    return [k for k in range(max(a, 1), min(b, len(text) - 1)) if text[k] == " " and letter(text[k - 1]) and letter(text[k + 1])]
+    x, y = _kind(before), _kind(after)
+    return x != y and x in "LNO" and y in "SLNO" and before != "'"
+
+
+def _safe(text: str, places: range) -> int | None:
+    """The first of ``places`` in the text where pieces always meet."""
+    for k in places:
+        if 0 < k < len(text) and _meet(text[k - 1], text[k]):
+            return k
+    return None
 
 
 def _boundary(ids: list[int], size: int, c: Codec, backward: bool = False) -> int | None:
@@ -92,20 +119,24 @@ def _boundary(ids: list[int], size: int, c: Codec, backward: bool = False) -> in
 
 
 def _join_run(left: Part, right: Part, c: Codec, n: int) -> list[int] | None:
-    """A join inside one unbroken run of letters, with n old ids on each side.
+    """A join inside one unbroken run of letters, numbers, white space or others, with n old ids on each side.
 
     The window's text is merged anew.  Where its first and last ids equal the old ones, every pair of
     neighbours in the whole is a pair that byte-pair merging leaves alone, so the whole is the encoding.
     """
-    (_, ia), (_, ib) = left, right
+    (_, ia), (b, ib) = left, right
     if n > len(ia) or n > len(ib):
         return None
     window = b"".join(c.pieces[x] for x in ia[-n:] + ib[:n])
     try:
-        if not window.decode().isalpha():
-            return None
+        text, after = window.decode(), len(b"".join(c.pieces[x] for x in ib[:n]).decode())
     except UnicodeDecodeError:
         return None
+    if "'" in text or len(kinds := set(map(_kind, text))) > 1 or "?" in kinds:
+        return None
+    if "S" in kinds and after < len(b) and _kind(b[after]) != "S":
+        return None  # the last white space of a run may have a piece of its own or begin the next word's
+    c.again += len(window)
     new = c.encode_run(window)
     if new[0] == ia[-n] and new[-1] == ib[n - 1]:
         return ia[: len(ia) - n] + new + ib[n:]
@@ -115,10 +146,11 @@ def _join_run(left: Part, right: Part, c: Codec, n: int) -> list[int] | None:
 def join(left: Part, right: Part, c: Codec, window: int = WINDOW) -> list[int]:
     """The ids of two texts' concatenation from the ids of each.
 
-    A window around the join grows until it holds a place on either side where pieces always meet
-    and where the old ids have a boundary too; what lies outside then agrees exactly, and only the
-    window is encoded again.  Inside one long run of letters there is no such place; there the window
-    grows until its outer ids agree.  A window that covers both sides is the plain encoding.
+    A window around the join grows until it holds, on either side, a place where pieces always meet; the
+    old ids have a boundary there too, so what lies outside agrees exactly, and only the window is
+    encoded again.  Places nearest to the join are taken, in any script.  Inside one long run of one
+    class there is no such place; there the window grows until its outer ids agree.  A window that covers
+    both sides is the plain encoding.
     """
     (a, ia), (b, ib) = left, right
     margin = c.longest_added
@@ -128,20 +160,19 @@ def join(left: Part, right: Part, c: Codec, window: int = WINDOW) -> list[int]:
             return new
         ka, kb = min(len(a), window), min(len(b), window)
         middle = a[len(a) - ka :] + b[:kb]
-        lows = [(0, 0)] if ka == len(a) else [(k, None) for k in _safe(middle, margin, ka - margin)[:1]]
-        highs = [(len(middle), 0)] if kb == len(b) else [(k, None) for k in _safe(middle, ka + margin, len(middle) - margin)[-1:]]
-        if lows and highs:
-            (low, keep_a), (high, keep_b) = lows[0], highs[0]
-            if keep_a is None:  # counted from the join: the window is the short side
-                keep_a = _boundary(ia, len(middle[low:ka].encode()), c, backward=True)
-                keep_a = None if keep_a is None else len(ia) - keep_a
-            if keep_b is None:
-                keep_b = _boundary(ib, len(middle[ka:high].encode()), c)
-            else:
-                keep_b = len(ib)
+        # An added token that lies across the join begins or ends within the margin.
+        low = 0 if ka == len(a) else _safe(middle, range(ka - margin, margin, -1))
+        high = len(middle) if kb == len(b) else _safe(middle, range(ka + margin, len(middle) - margin))
+        if low is not None and high is not None:
+            keep_a = 0 if low == 0 and ka == len(a) else _boundary(ia, len(middle[low:ka].encode()), c, backward=True)
+            keep_b = len(ib) if high == len(middle) and kb == len(b) else _boundary(ib, len(middle[ka:high].encode()), c)
             if keep_a is not None and keep_b is not None:
+                if low or ka < len(a):
+                    keep_a = len(ia) - keep_a
+                c.again += len(middle[low:high].encode())
                 return ia[:keep_a] + c.encode(middle[low:high]) + ib[keep_b:]
         if ka == len(a) and kb == len(b):
+            c.again += len((a + b).encode())
             return c.encode(a + b)
         window *= 2
 
@@ -174,7 +205,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text: str = "text", key: str
     Equal to the tokenizers library's encode(text, add_special_tokens=False).  Texts above ``leaf``
     characters are dealt out in halves of halves, encoded in parallel by as many tasks, and joined.
     Null text: as empty, no ids.  Empty table: no rows.  Null keys and repeated rows: one row each.
-    Other columns are ignored.
+    Very long text: no task but the one that joins it holds more than a leaf, and that one holds the
+    text's characters and ids.  Other columns are ignored, whatever their names.
     """
     body = docs.select(F.col(key), text_of(text).alias("_text"))
     kind = dict(body.dtypes)[key]
