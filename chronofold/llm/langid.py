@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from chronofold.llm.shared import chunks, slices, utf8
 
 UNKNOWN = "und"
+#: Bytes of text that are looked at together; a longer text goes through in parts.
+PART = 1 << 19
 
 
 @dataclass(frozen=True)
 class Space:
     """dims: length of a vector; letters: vectors drawn, 0 for what is no letter; gram: letters bound; seed."""
 
-    dims: int = 512
+    dims: int = 1024
     letters: int = 64
     gram: int = 3
     seed: int = 7
@@ -49,20 +51,30 @@ class Profiler:
         self.codes = _letter_codes(space)
         self.table = space.table()
 
+    def letters(self, bytes_: np.ndarray) -> np.ndarray:
+        """The code of every character of whole UTF-8 characters; 0 is no letter."""
+        cp = np.frombuffer(bytes_.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        code = np.where(cp < (1 << 16), self.codes[np.minimum(cp, 0xFFFF)], np.uint8(0))
+        for i in np.flatnonzero(cp >= (1 << 16)):
+            if chr(cp[i]).isalpha():
+                code[i] = 27 + cp[i] % (self.space.letters - 27)
+        return code
+
+    def bind(self, code: np.ndarray) -> np.ndarray:
+        """The n-gram that begins at each code, as one number."""
+        g = self.space.gram
+        gram = np.zeros(max(0, len(code) - g + 1), np.int64)
+        for k in range(g):
+            gram = gram * self.space.letters + code[k : k + len(gram)]
+        return gram
+
     def grams(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, n-gram, whether the text has a letter): n-grams within words and across one gap."""
         n = len(offsets) - 1
         bytes_ = raw[offsets[0] : offsets[-1]]
-        heads = (bytes_ & 0xC0) != 0x80
-        lead = np.flatnonzero(heads)
+        lead = np.flatnonzero((bytes_ & 0xC0) != 0x80)
         owner = np.searchsorted(offsets[1:] - offsets[0], lead, side="right")
-        cp = np.frombuffer(bytes_.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        code = np.where(cp < (1 << 16), self.codes[np.minimum(cp, 0xFFFF)], 0)
-        wide = np.flatnonzero(cp >= (1 << 16))
-        for i in wide:
-            if chr(cp[i]).isalpha():
-                code[i] = 27 + cp[i] % (self.space.letters - 27)
-        code = code.astype(np.int64)
+        code = self.letters(bytes_)
         some = np.zeros(n, bool)
         some[owner[code > 0]] = True
         same = np.zeros(len(code), bool)
@@ -70,15 +82,29 @@ class Profiler:
         keep = (code > 0) | ~same
         keep[1:] |= code[:-1] > 0  # of a run of gaps the first stays
         code, owner = code[keep], owner[keep]
-        g = self.space.gram
-        if len(code) < g:
+        gram = self.bind(code)
+        if not len(gram):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), some
-        gram = np.zeros(len(code) - g + 1, np.int64)
-        for k in range(g):
-            gram = gram * self.space.letters + code[k : k + len(gram)]
-        whole = owner[: len(gram)] == owner[g - 1 :]
+        whole = owner[: len(gram)] == owner[self.space.gram - 1 :]
         return owner[: len(gram)][whole], gram[whole], some
 
+    def long_grams(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+        """(n-grams, whether there is a letter) of the parts of one text; n-grams across parts included."""
+        at, last, carry = 0, 1, np.zeros(0, np.uint8)
+        while at < len(raw):
+            stop = min(len(raw), at + PART)
+            while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+                stop -= 1
+            code = self.letters(raw[at:stop])
+            keep = code > 0
+            keep[0] |= last > 0
+            keep[1:] |= code[:-1] > 0
+            last = int(code[-1])
+            kept = np.concatenate([carry, code[keep]])
+            yield self.bind(kept), bool((code > 0).any())
+            carry = kept[len(kept) - min(len(kept), self.space.gram - 1) :]
+            at = stop
+
     def bound(self, gram: np.ndarray) -> np.ndarray:
         """The vector of each n-gram: its letters' vectors, rotated by their place, multiplied."""
         out = np.ones((len(gram), self.space.dims), np.int8)
@@ -87,21 +113,32 @@ class Profiler:
             out *= np.roll(self.table, self.space.gram - 1 - k, axis=1)[letter]
         return out
 
+    def bundle(self, rows: np.ndarray, n: int, gram: np.ndarray) -> np.ndarray:
+        """The sum of the bound vectors of each of n rows; a row's n-grams must be fewer than 2 ** 24."""
+        kinds, which = np.unique(gram, return_inverse=True)
+        out = np.zeros((n, self.space.dims))
+        for at in range(0, n, 256):
+            count = min(256, n - at)
+            mine = slice(*np.searchsorted(rows, [at, at + count]))
+            flat = (rows[mine] - at) * len(kinds) + which[mine]
+            counts = np.bincount(flat, minlength=count * len(kinds)).reshape(count, -1).astype(np.float32)
+            for k in range(0, len(kinds), 4096):
+                out[at : at + count] += counts[:, k : k + 4096] @ self.bound(kinds[k : k + 4096]).astype(np.float32)
+        return out
+
     def vectors(self, column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, bundled vectors, has a letter) for some rows at a time."""
+        """(first row, bundled vectors, has a letter) for some rows at a time; sums of whole numbers, so exact."""
         raw, offsets = utf8(column)
-        for a, b in chunks(offsets, 1 << 19):
-            owner, gram, some = self.grams(raw, offsets[a : b + 1])
-            kinds, which = np.unique(gram, return_inverse=True)
-            out = np.zeros((b - a, self.space.dims), np.float32)
-            for at in range(0, b - a, 256):
-                rows = min(256, b - a - at)
-                mine = slice(*np.searchsorted(owner, [at, at + rows]))
-                flat = (owner[mine] - at) * len(kinds) + which[mine]
-                counts = np.bincount(flat, minlength=rows * len(kinds)).reshape(rows, -1).astype(np.float32)
-                for k in range(0, len(kinds), 4096):
-                    out[at : at + rows] += counts[:, k : k + 4096] @ self.bound(kinds[k : k + 4096]).astype(np.float32)
-            yield a, out, some
+        for a, b in chunks(offsets, PART):
+            if offsets[b] - offsets[a] <= PART:
+                owner, gram, some = self.grams(raw, offsets[a : b + 1])
+                yield a, self.bundle(owner, b - a, gram), some
+                continue
+            total, some = np.zeros((1, self.space.dims)), False
+            for gram, letter in self.long_grams(raw[offsets[a] : offsets[b]]):
+                total += self.bundle(np.zeros(len(gram), np.int64), 1, gram)
+                some |= letter
+            yield a, total, np.array([some])
 
 
 def prototypes(docs: DataFrame, space: Space, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -174,7 +211,9 @@ def identify(docs: DataFrame, names: list[str], protos: np.ndarray, space: Space
 def language_id(docs: DataFrame, space: Space = Space(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """(key, held_out, lang_pred, score) for every row, learned from the rows outside the held-out fold.
 
-    Only the text enters a prediction.  A null key is never held out.
+    Only the text enters a prediction.  A null key is never held out.  Texts without a letter, null
+    languages and nulls as in ``identify``.  Repeated rows: one each, with equal results.  A very long text
+    goes through in parts of ``PART`` bytes.  Columns of any other name are ignored.
     """
     marked = docs.select(F.col(key), F.col(text), F.col(lang), F.coalesce(held_out(key), F.lit(False)).alias("held_out"))
     names, protos = prototypes(marked.where(~F.col("held_out")), space, text, lang)
