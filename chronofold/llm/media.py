@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,14 +28,16 @@ def encode_netpbm(samples: np.ndarray) -> bytes:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """The samples of a raw or plain PGM or PPM file of at most 8 bits."""
+    """The samples of a raw or plain PGM or PPM file of at most 8 bits; ValueError for anything else."""
     fields: list[bytes] = []
     at = 0
     while len(fields) < 4:
         while data[at : at + 1].isspace():
             at += 1
         if data[at : at + 1] == b"#":
-            at = data.index(b"\n", at)
+            at = data.find(b"\n", at)
+            if at < 0:
+                raise ValueError("a Netpbm comment has no end")
             continue
         end = at
         while end < len(data) and not data[end : end + 1].isspace() and data[end : end + 1] != b"#":
@@ -43,23 +46,34 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             raise ValueError("a Netpbm header ends early")
         fields.append(data[at:end])
         at = end
+        if fields[0] not in (b"P2", b"P3", b"P5", b"P6") or not all(x.isdigit() for x in fields[1:]):
+            raise ValueError("no Netpbm header")
     kind, wide, high, top = fields[0], *map(int, fields[1:])
-    if kind not in (b"P2", b"P3", b"P5", b"P6") or not 0 < top < 256:
-        raise ValueError(f"unsupported Netpbm file: {kind!r}, {top}")
+    if not 0 < top < 256 or wide < 1 or high < 1:
+        raise ValueError(f"unsupported Netpbm file: {wide} x {high}, {top}")
     shape = (high, wide, 3) if kind in (b"P3", b"P6") else (high, wide)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
     if kind in (b"P2", b"P3"):
-        out = np.array(data[at:].split()[:n], np.uint8)
+        words = data[at:].split()[:n]
+        if len(words) < n or any(not x.isdigit() or int(x) > top for x in words):
+            raise ValueError("Netpbm samples are missing or out of range")
+        out = np.array([int(x) for x in words], np.uint8)
     else:
+        if len(data) - at - 1 < n:
+            raise ValueError("a Netpbm file ends early")
         out = np.frombuffer(data, np.uint8, n, at + 1)
     return out.reshape(shape)
 
 
+#: The palette of an 8-bit grey BMP.
+_GREYS = bytes(v for k in range(256) for v in (k, k, k, 0))
+
+
 def encode_bmp(samples: np.ndarray) -> bytes:
     """A 24-bit BMP (3-d samples, RGB) or 8-bit grey BMP (2-d): rows bottom up, padded to 4 bytes."""
     high, wide = samples.shape[:2]
     depth = 24 if samples.ndim == 3 else 8
-    palette = b"" if depth == 24 else bytes(v for k in range(256) for v in (k, k, k, 0))
+    palette = b"" if depth == 24 else _GREYS
     row = wide * depth // 8
     lines = np.zeros((high, (row + 3) // 4 * 4), np.uint8)
     lines[:, :row] = (samples[..., ::-1] if depth == 24 else samples).reshape(high, row)
@@ -71,12 +85,18 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """The samples of an uncompressed 8-bit grey or 24-bit BMP, rows in either order."""
+    """The samples of an uncompressed 8-bit grey or 24-bit BMP, rows in either order; ValueError for anything else."""
+    if len(data) < 54:
+        raise ValueError("a BMP header ends early")
     magic, _, _, _, start = struct.unpack_from("<2sIHHI", data)
     _, wide, high, _, depth, packing = struct.unpack_from("<IiiHHI", data, 14)
     if magic != b"BM" or packing or depth not in (8, 24):
         raise ValueError("unsupported BMP file")
     row = wide * depth // 8
+    if wide < 1 or high == 0 or start < 54 or len(data) - start < abs(high) * ((row + 3) // 4 * 4):
+        raise ValueError("a BMP file ends early")
+    if depth == 8 and data[54:start][: 4 * 256] != _GREYS[: start - 54]:
+        raise ValueError("a BMP palette that is not grey")
     lines = np.frombuffer(data, np.uint8, abs(high) * ((row + 3) // 4 * 4), start).reshape(abs(high), -1)[:, :row]
     lines = lines[::-1] if high > 0 else lines
     return lines.reshape(abs(high), wide, 3)[..., ::-1] if depth == 24 else lines
@@ -133,7 +153,7 @@ def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     The format follows from the payload's CRC, so equal texts give equal files.  Null text: empty,
     a payload of padding alone.  Empty table: no rows.  Null keys and repeated rows: one row each.
-    Other columns are ignored.
+    A very long text is one file, held whole.  Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,23 +177,30 @@ def media_features(files: DataFrame, media: str = "media") -> DataFrame:
     """``files`` with the digests of what its media column holds, an 8 x 9 NPY tile and its difference hash.
 
     Columns added: payload_bytes, payload_sha256, tail_crc32 (last 32 bytes), media_bytes,
-    media_sha256, tile_npy, feature.  A null file gives nulls.
+    media_sha256, tile_npy, feature, media_error.  A null file gives nulls.  A file that is cut short,
+    malformed or of a kind that isn't read has its media_bytes and media_sha256, the reason as
+    media_error, and nulls otherwise: it never stops the job.  Columns of ``files`` that have one of
+    these names are replaced.  Empty table: no rows.  Very long files are held whole, one at a time.
     """
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile_npy", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-    others = [c for c in files.columns if c != media]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile_npy", "feature", "media_error"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
+    others = [c for c in files.columns if c != media and c.lower() not in names]
 
     def features(data: bytes | None) -> tuple:
         if data is None:
             return (None,) * len(names)
-        samples = decode_media(data)
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            samples = decode_media(data)
+        except ValueError as e:
+            return (None, None, None, *stored, None, None, str(e))
         payload = np.ascontiguousarray(samples).tobytes()
         grey = samples if samples.ndim == 2 else samples.mean(2)
         tile = area_resize(grey, 8, 9)
-        tile = np.rint(tile).astype(np.uint8)
+        tile = np.rint(tile.round(6)).astype(np.uint8)  # so that a mean of one half is no matter of the sums' order
         return (
             len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-            len(data), hashlib.sha256(data).hexdigest(), npy_tile(tile), difference_hash(tile),
+            *stored, npy_tile(tile), difference_hash(tile), None,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,5 +210,5 @@ def media_features(files: DataFrame, media: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *[pa.array(x, t) for x, t in zip(found, kinds, strict=True)]], names=[*others, *names])
 
     source = files.select(*others, media)
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != media)
-    return source.mapInArrow(run, schema + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile_npy binary, feature string")
+    schema = "".join(f"`{c}` {t}, " for c, t in source.dtypes if c != media)
+    return source.mapInArrow(run, schema + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile_npy binary, feature string, media_error string")

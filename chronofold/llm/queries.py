@@ -39,7 +39,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media_features(text_media(documents(spark, sf_dir)))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile_npy", 256).alias("tile_sha256"))
 
 
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
