@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ class Sample:
     ids: list[int] = field(default_factory=list)
     positions: list[int] = field(default_factory=list)
     nodes: list[tuple[int, int, int, int, int]] = field(default_factory=list)  # parent, start, stop, learn, learned
-    ends: list[tuple[object, int]] = field(default_factory=list)  # conversation, its last node
+    ends: list[tuple[object, int, int]] = field(default_factory=list)  # conversation, part, its last node
 
     def add(self, parent: int, role: str, text: str, c: Codec) -> int:
         head, body, tail = (c.encode(x) for x in render(role, text))
@@ -94,12 +95,60 @@ _NODE = pa.struct([(k, pa.int32()) for k in ("parent", "start", "stop", "learn",
 _SAMPLE = (
     "ids array<int>, positions array<int>, "
     "nodes array<struct<parent:int,start:int,stop:int,learn:int,learned:int,attend:array<struct<start:int,stop:int>>>>, "
-    "ends array<struct<conversation:{kind},node:int>>"
+    "ends array<struct<conversation:{kind},part:bigint,node:int>>"
 )
+_TURN = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+
+def parts(turns: DataFrame, part_bytes: int, conversation: str, turn: str, role: str, text: str) -> DataFrame:
+    """(conversation, part, turns, path) of every conversation, in parts of at most ``part_bytes`` of text.
+
+    Turns are sorted by ranges of conversation and turn, so a conversation that holds a third of all rows
+    is dealt to many tasks, and a task streams its turns without holding more than a part.  A part ends
+    at ``part_bytes`` (a longer turn has a part of its own), with its conversation, and at the end of a
+    range.  Parts of a conversation rise in its order; most conversations have one.
+    """
+    kind = dict(turns.dtypes)[conversation]
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = turns.select(F.col(conversation).alias("conversation"), F.col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text"))
+    # Equal rows may come in any order; the number only lets a range end between them.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    order = ["conversation", "turn", "role", "text", "row"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conversation", "role", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        id_type: list[pa.DataType] = []
+        done: list[tuple] = []
+        now: list[tuple[str, str]] = []
+        owner, size, held, k = None, 0, 0, 0
+
+        def flush() -> pa.RecordBatch:
+            said = pa.array([[{"role": r, "text": t} for r, t in x[2]] for x in done], _TURN)
+            path = ["".join(_sha(f"{len(r)}:{r}{t}")[:32] for r, t in x[2]) for x in done]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], id_type[0]), pa.array([x[1] for x in done], pa.int64()), said, pa.array(path)], names=["conversation", "part", "turns", "path"])
+
+        for batch in slices(batches):
+            id_type[:] = [batch.schema.field("conversation").type]
+            for c, r, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                more = len(r.encode()) + len(t.encode())
+                if now and (c != owner or size + more > part_bytes):
+                    done.append((owner, first + k, now))
+                    k, held, now, size = k + 1, held + size, [], 0
+                    if held >= (4 << 20):
+                        yield flush()
+                        done, held = [], 0
+                owner, size = c, size + more
+                now.append((r, t))
+        if now:
+            done.append((owner, first + k, now))
+            yield flush()
+
+    return rows.mapInArrow(run, f"conversation {kind}, part long, turns array<struct<role:string,text:string>>, path string")
 
 
 def format_conversations(
-    turns: DataFrame, path: str = VOCABULARY, max_tokens: int = 1 << 16, max_conversations: int = 4096,
+    turns: DataFrame, path: str = VOCABULARY, max_tokens: int = 1 << 16, max_conversations: int = 4096, part_bytes: int = 1 << 20,
     conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
     """Samples (ids, positions, nodes, ends) that hold every conversation of ``turns``.
@@ -110,18 +159,16 @@ def format_conversations(
     large task.  A sample is closed at ``max_tokens`` or ``max_conversations``, and at the end of a
     range; only there are shared turns emitted again.
 
+    A conversation of more than ``part_bytes`` (or one that lies on the edge of two ranges) comes as
+    several branches, one for each of its parts in order; positions begin anew with a part.
+
     Null role or text: empty.  Equal turn numbers: in order of role and text.  Repeated rows: turns
-    of their own.  A null conversation id is one conversation.  Empty table: no rows.  Other columns
-    are ignored.
+    of their own.  A null conversation id is one conversation, however long.  Empty table: no rows.
+    Other columns are ignored, whatever their names.
     """
     kind = dict(turns.dtypes)[conversation]
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = turns.groupBy(F.col(conversation).alias("conversation")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text")))).alias("turns")
-    )
-    digest = lambda x: F.sha2(F.concat(F.length(x["role"]).cast("string"), F.lit(":"), x["role"], x["text"]), 256)
-    rows = rows.withColumn("path", F.array_join(F.transform("turns", lambda x: F.substring(digest(x), 1, 32)), ""))
-    rows = rows.repartitionByRange("path", "conversation").sortWithinPartitions("path", "conversation")
+    rows = parts(turns, part_bytes, conversation, turn, role, text)
+    rows = rows.repartitionByRange("path", "conversation", "part").sortWithinPartitions("path", "conversation", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -133,12 +180,12 @@ def format_conversations(
                 dict(zip(("parent", "start", "stop", "learn", "learned"), n, strict=True)) | {"attend": [{"start": a, "stop": b} for a, b in seen]}
                 for n, seen in zip(sample.nodes, sample.intervals(), strict=True)
             ]
-            ends = pa.struct([("conversation", id_type[0]), ("node", pa.int32())])
+            ends = pa.struct([("conversation", id_type[0]), ("part", pa.int64()), ("node", pa.int32())])
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([sample.ids], pa.list_(pa.int32())), pa.array([sample.positions], pa.list_(pa.int32())),
                     pa.array([nodes], pa.list_(_NODE)),
-                    pa.array([[{"conversation": x, "node": n} for x, n in sample.ends]], pa.list_(ends)),
+                    pa.array([[{"conversation": x, "part": k, "node": n} for x, k, n in sample.ends]], pa.list_(ends)),
                 ],
                 names=["ids", "positions", "nodes", "ends"],
             )
@@ -146,7 +193,7 @@ def format_conversations(
         for batch in slices(batches):
             id_type[:] = [batch.schema.field("conversation").type]
             for k in range(batch.num_rows):
-                own = [(x["role"], x["text"]) for x in batch.column(1)[k].as_py()]
+                own = [(x["role"], x["text"]) for x in batch.column(2)[k].as_py()]
                 if sample.ends and (len(sample.ids) >= max_tokens or len(sample.ends) >= max_conversations):
                     yield close()
                     sample, stack, last = Sample(), [], []
@@ -157,21 +204,22 @@ def format_conversations(
                 for r, t in own[shared:]:
                     stack.append(sample.add(stack[-1] if stack else -1, r, t, c))
                 last = own
-                sample.ends.append((batch.column(0)[k].as_py(), stack[-1]))
+                sample.ends.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), stack[-1]))
         if sample.ends:
             yield close()
 
-    return rows.select("conversation", "turns").mapInArrow(run, _SAMPLE.format(kind=kind))
+    return rows.select("conversation", "part", "turns").mapInArrow(run, _SAMPLE.format(kind=kind))
 
 
 def read_back(samples: DataFrame, path: str = VOCABULARY, conversation: str = "conv_id") -> DataFrame:
-    """What each conversation of the samples says: its tokens are those its last node attends to.
+    """What each conversation of the samples says: its tokens are those its last nodes attend to.
 
-    Columns: conversation, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    Columns: conversation, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.  The parts of a
+    conversation are read in their order, one at a time, into running digests.
     """
-    kind = re.search(r"conversation:([^,]+(?:\([^)]*\))?),node", dict(samples.dtypes)["ends"])[1]
+    kind = re.search(r"conversation:([^,]+(?:\([^)]*\))?),part", dict(samples.dtypes)["ends"])[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in slices(batches):
             for ids, nodes, ends in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
@@ -186,14 +234,42 @@ def read_back(samples: DataFrame, path: str = VOCABULARY, conversation: str = "c
                         chain.append(nodes[at])
                         at = nodes[at]["parent"]
                     loss = "".join(unescape(c.decode_bytes(ids[n["learn"] : n["learned"]]).decode()) for n in reversed(chain))
-                    said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                    out.append((end["conversation"], len(turns), _sha(said), len(loss), _sha(loss), len(formatted)))
+                    out.append((end["conversation"], end["part"], len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), loss, len(formatted)))
                 cols = list(zip(*out, strict=True))
-                kinds = [batch.schema.field("ends").type.value_type.field("conversation").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[conversation, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                kinds = [batch.schema.field("ends").type.value_type.field("conversation").type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["conversation", "part", "n", "said", "loss", "chars"])
+
+    said = samples.mapInArrow(read, f"conversation {kind}, part long, n long, said string, loss string, chars long")
+    said = said.repartition("conversation").sortWithinPartitions("conversation", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_type: list[pa.DataType] = []
+        now: list | None = None
+
+        def flush(out: list) -> pa.RecordBatch:
+            rows = [(x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]) for x in out]
+            kinds = [id_type[0], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=[conversation, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        for batch in slices(batches):
+            id_type[:] = [batch.schema.field("conversation").type]
+            out = []
+            for c, _, n, text, loss, chars in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if now is None or c != now[0]:
+                    if now is not None:
+                        out.append(now)
+                    now = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                now[2].update(text.encode())
+                now[4].update(loss.encode())
+                now[1], now[3], now[5] = now[1] + n, now[3] + len(loss), now[5] + chars
+            if out:
+                yield flush(out)
+        if now is not None:
+            yield flush([now])
 
     schema = f"`{conversation}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return samples.mapInArrow(run, schema)
+    return said.mapInArrow(run, schema)
 
 
 def _sha(text: str) -> str:
