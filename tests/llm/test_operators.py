@@ -1,6 +1,8 @@
 """Every operator against brute force, on texts with nulls, blanks, long runs, copies and clashing columns."""
 
 import hashlib
+import io
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronofold.llm import bpe, chat, exact, langid, media, packing, phrases, quality, recurrence, simhash, similar, suffix
-from chronofold.llm.shared import Scratch
+from chronofold.llm.shared import Scratch, mark, release, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, u long, _low string, _text string, h string, doc string, th int, spans string, _row int"
 
@@ -59,6 +61,22 @@ def _rows(df, *columns):
     return Counter(tuple(r[c] for c in columns) for r in df.collect())
 
 
+def test_scratch_tables_go(spark, docs, monkeypatch):
+    """What a query leaves goes by ``release``; an unset folder is an error on a cluster."""
+    release()
+    folder = shared_dir(spark)
+    for query in (lambda s: simhash.near_groups(docs, s), lambda s: phrases.remove_repeated_words(docs, s), lambda s: packing.pack_documents(docs, s)):
+        begin = mark()
+        query(Scratch(spark, "gone")).collect()
+        assert any(x.startswith("gone-") for x in os.listdir(folder))
+        release(begin)
+        assert not any(x.startswith("gone-") for x in os.listdir(folder))
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: None)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(spark)
+
+
 def _brute_groups(rows, norm):
     groups = defaultdict(list)
     for r in rows:
@@ -350,6 +368,42 @@ def test_tree_concatenation(text, leaf):
     assert bpe.concatenate([(x, c.encode(x)) for x in bpe.leaves(text, leaf)], c) == ref
 
 
+def _script(alphabet, gap, stop, n=60_000):
+    rng = random.Random(len(alphabet))
+    out = []
+    while sum(map(len, out)) < n:
+        out.append("".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9))) + (stop if rng.random() < 0.1 else "") + gap)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("text", [
+    _script("abcdefghij", " ", "."), _script("абвгдежзик", " ", "."), _script([chr(k) for k in range(0x4E00, 0x4F00)], "", "。"),
+    _script("0123456789", ",", "."), _script("कखगचिीु", " ", "।"), " " * 40_000 + "x", "?!" * 20_000,
+], ids=["latin", "cyrillic", "chinese", "digits", "devanagari", "spaces", "marks"])
+def test_joins_encode_little_again(text):
+    """Joins agree with the tokenizers library in every script, and encode under 5 % of the text again."""
+    c = bpe.codec()
+    parts = [(x, c.encode(x)) for x in bpe.leaves(text, 2048)]
+    c.again = 0
+    found = bpe.concatenate(parts, c)
+    assert len(parts) >= 16 and found == Tokenizer.from_file(bpe.VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert c.again < 0.05 * len(text.encode())
+
+
+_MIXED = st.lists(st.sampled_from([*"ab 12.!éя漢。'\n\t", "  ", "'s", "'ll", "😀", "\u0301", "\x1c", "\xa0", "²", "क", "ि", "<|endoftext|>", "<|end"]), max_size=40).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_MIXED, st.integers(1, 12), st.integers(1, 8))
+def test_joins_in_any_script(text, leaf, window):
+    c = bpe.codec()
+    parts = [(x, c.encode(x)) for x in bpe.leaves(text, leaf)]
+    whole, ids = parts[0]
+    for x, more in parts[1:]:
+        whole, ids = whole + x, bpe.join((whole, ids), (x, more), c, window)
+    assert ids == c.encode(text)
+
+
 def test_packing(spark, docs, rows, empty):
     ref = Tokenizer.from_file(bpe.VOCABULARY)
     for capacity, block in ((2048, 8192), (64, 40)):
@@ -397,6 +451,67 @@ def test_media(docs, rows, empty):
     assert media.media_features(media.text_media(empty)).count() == 0
 
 
+def _plain_file(text):
+    """The file, its tile and its hash of a text, pixel by pixel."""
+    b = (text or "").encode()
+    p = b + b"\xff" * (max(576, -(-len(b) // 576) * 576) - len(b))
+    kind = ("pgm", "ppm", "bmp")[zlib.crc32(p) % 3]
+    if kind == "pgm":
+        high, data = len(p) // 24, b"P5\n24 %d\n255\n" % (len(p) // 24) + p
+        grey = [[float(p[24 * y + x]) for x in range(24)] for y in range(high)]
+    else:
+        high = len(p) // 72
+        grey = [[sum(p[72 * y + 3 * x + k] for k in range(3)) / 3 for x in range(24)] for y in range(high)]
+        data = b"P6\n24 %d\n255\n" % high + p
+        if kind == "bmp":
+            rows = b"".join(bytes(p[72 * y + 3 * x + k] for x in range(24) for k in (2, 1, 0)) for y in reversed(range(high)))
+            n = lambda v, size=4: v.to_bytes(size, "little")
+            data = b"BM" + n(54 + len(rows)) + n(0) + n(54) + n(40) + n(24) + n(high) + n(1, 2) + n(24, 2) + n(0) + n(len(rows)) + n(2835) * 2 + n(0) * 2 + rows
+    total, weight = np.zeros((8, 9)), np.zeros((8, 9))
+    for y in range(high):
+        for x in range(24):
+            for i in range(int(y * 8 / high), min(8, int(np.ceil((y + 1) * 8 / high)))):
+                for j in range(int(x * 9 / 24), min(9, int(np.ceil((x + 1) * 9 / 24)))):
+                    dy = min((y + 1) * 8 / high, i + 1) - max(y * 8 / high, i)
+                    dx = min((x + 1) * 9 / 24, j + 1) - max(x * 9 / 24, j)
+                    if dy > 0 and dx > 0:
+                        total[i, j] += dy * dx * grey[y][x]
+                        weight[i, j] += dy * dx
+    return data, total / weight
+
+
+def test_media_files_and_hashes(docs, rows):
+    """The stored form byte for byte, and the tile and hash from plain area means."""
+    expect = Counter()
+    tiles = {}
+    for r in rows:
+        data, tile = _plain_file(r[1])
+        tiles[hashlib.sha256(data).hexdigest()] = tile = np.rint(tile.round(6)).astype(int)  # halves to even
+        bits = "".join(str(int(tile[i, j] < tile[i, j + 1])) for i in range(8) for j in range(8))
+        expect[(r[0], len(data), hashlib.sha256(data).hexdigest(), f"{int(bits, 2):016x}")] += 1
+    found = media.media_features(media.text_media(docs)).collect()
+    assert Counter((r["doc_id"], r["media_bytes"], r["media_sha256"], r["feature"]) for r in found) == expect
+    for r in found:
+        assert (np.load(io.BytesIO(r["tile_npy"])) == tiles[r["media_sha256"]]).all() and r["media_error"] is None
+
+
+_BROKEN = [b"", b"P5", b"P5\n3 3\n255\n12", b"P2 2 1 255 7 x", b"BM", b"BM" + bytes(60), b"P6\n# no end", b"P5 -1 2 255 ", b"P5\n0 3\n255\n", b"\xff\x00", media.encode_bmp(np.zeros((3, 5), np.uint8))[:-1], b"P2 1 1 9 10"]
+
+
+def test_broken_files(spark):
+    """A file that can't be read gives a reason, not a failed job; clashing columns are replaced."""
+    good = media.encode_netpbm(np.zeros((2, 2), np.uint8))
+    rows = [(k, b, "clash") for k, b in enumerate([*_BROKEN, None, good])]
+    found = media.media_features(spark.createDataFrame(rows, "id int, media binary, feature string")).collect()
+    for r in found:
+        b = rows[r["id"]][1]
+        if b is None or b == good:
+            assert r["media_error"] is None and (r["feature"] is None) == (b is None)
+        else:
+            assert r["media_error"] and r["feature"] is None and r["payload_sha256"] is None
+            assert (r["media_bytes"], r["media_sha256"]) == (len(b), hashlib.sha256(b).hexdigest())
+
+
 @pytest.mark.parametrize("shape", [(3, 5), (4, 7, 3), (1, 1), (8, 24, 3)])
 def test_media_round_trip(shape):
     samples = np.random.default_rng(0).integers(0, 256, shape).astype(np.uint8)
@@ -428,6 +543,43 @@ def test_language(spark, docs, rows, empty):
     assert found.where("lang = lang_pred").count() >= 0.97 * found.count()
 
 
+def _plain_profile(text, space, table, code):
+    """Letters one by one: a gap is one 0, n-grams bind by position and are added up."""
+    seq = []
+    for ch in text or "":
+        k = code(ch)
+        if k or not seq or seq[-1]:
+            seq.append(k)
+    total = np.zeros(space.dims)
+    for k in range(len(seq) - space.gram + 1):
+        bound = np.ones(space.dims)
+        for j in range(space.gram):
+            bound *= np.roll(table[seq[k + j]].astype(float), space.gram - 1 - j)
+        total += bound
+    return total, any(seq)
+
+
+@pytest.mark.parametrize("part", [langid.PART, 64])
+def test_language_equals_plain_python(spark, docs, rows, part, monkeypatch):
+    """Every prediction and score, also where texts go through in parts."""
+    monkeypatch.setattr(langid, "PART", part)
+    space = langid.Space(dims=96)
+    p = langid.Profiler(space)
+    code = lambda ch: 0 if not ch.isalpha() else ord(ch.lower()[0]) - 96 if "a" <= ch.lower()[0] <= "z" else 27 + ord(ch.lower()[0]) % (space.letters - 27)
+    unit = lambda v: v / (np.sqrt((v**2).sum()) or 1)
+    vectors = [_plain_profile(r[1], space, p.table, code) for r in rows]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows]
+    names = sorted({r[2] for r, h, (_, some) in zip(rows, held, vectors, strict=True) if r[2] and not h and some})
+    centre = [unit(sum(np.rint(unit(v) * 1e6) for r, h, (v, some) in zip(rows, held, vectors, strict=True) if r[2] == n and not h and some)) for n in names]
+    expect = Counter()
+    for r, h, (v, some) in zip(rows, held, vectors, strict=True):
+        cosine = [round(float(unit(v) @ c), 9) for c in centre]
+        best = max(range(len(names)), key=lambda k: (cosine[k], -k))
+        expect[(r[0], h, names[best] if some else "und", round(min(1.0, max(0.0, cosine[best])), 6) if some else 0.0)] += 1
+    found = langid.language_id(docs, space).collect()
+    assert Counter((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in found) == expect
+
+
 def test_profiles_equal_plain_binding():
     space = langid.Space(dims=64)
     p = langid.Profiler(space)
@@ -483,16 +635,17 @@ def test_template_is_reversible(turns):
     assert chat.parse(formatted) == turns
 
 
-@pytest.mark.parametrize("limit", [1 << 16, 30])
-def test_chat(spark, limit):
+@pytest.mark.parametrize(("limit", "part_bytes"), [(1 << 16, 1 << 20), (30, 1 << 20), (1 << 16, 25), (30, 1)])
+def test_chat(spark, limit, part_bytes):
     rng = random.Random(4)
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(-1, 0, "user", said), (-1, 1, "assistant", said), (None, 0, None, None), (7, None, "assistant", ""), (7, 1, "user", "x"), (7, 1, "user", "x")]
     for c in range(40):
         for t in range(rng.randrange(1, 5)):
             rows.append((100 + c, t, ["user", "assistant"][t % 2], rng.choice(["hello", "<|endoftext|>", "\\<\\|", "yes é", ""])))
-    table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, path string")
-    samples = chat.format_conversations(table, max_tokens=limit)
+    rows += [(None, t, ["user", "assistant"][t % 2], f"a long conversation {t % 7} é") for t in range(300)]
+    table = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "conv_id long, turn long, role string, text string, path string, part int, conversation int")
+    samples = chat.format_conversations(table, max_tokens=limit, part_bytes=part_bytes)
     found = chat.read_back(samples).collect()
     convs = defaultdict(list)
     for c, t, r, x in rows:
@@ -514,6 +667,10 @@ def test_chat(spark, limit):
             spans = [range(a["start"], a["stop"]) for a in n["attend"]]
             assert [s["positions"][i] for r in spans for i in r] == list(range(sum(map(len, spans))))
             assert n["parent"] < k
+    if part_bytes > 1000:
+        return
+    split = Counter(e["conversation"] for s in samples.collect() for e in s["ends"])
+    assert split[None] > 100  # the long conversation is never gathered
     assert chat.read_back(chat.format_conversations(table.where("false"))).count() == 0
 
 
