@@ -15,7 +15,7 @@ from chronofold.llm.shared import Scratch, slices, whole_row
 
 SEED = 42
 BITS = 64
-#: Buckets of at most this many fingerprints compare their pairs; larger ones meet over one-bit variants.
+#: Buckets of at most this many fingerprints compare their pairs; larger ones meet over variants along the chain.
 BUCKET = 32
 
 
@@ -37,12 +37,24 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     stops = ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     for a in range(0, len(starts), 1 << 16):
-        hashes = np.array([digest(line[p:q], SEED) for p, q in zip(starts[a : a + (1 << 16)], stops[a : a + (1 << 16)], strict=True)], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS)
-        # Sums of at most 255 rows fit in a byte, which numpy adds many at a time.
-        counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
-    bits = (counts * 2 > len(starts)).astype(np.uint8)
-    return int.from_bytes(np.packbits(bits).tobytes(), "little")
+        counts += _ones(np.array([digest(line[p:q], SEED) for p, q in zip(starts[a : a + (1 << 16)], stops[a : a + (1 << 16)], strict=True)], np.uint64))
+    return _majority(counts, len(starts))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, in the order of ``unpackbits``."""
+    bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS)
+    # Sums of at most 255 rows fit in a byte, which numpy adds many at a time.
+    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits((counts * 2 > n).astype(np.uint8)).tobytes(), "little")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes; of none 0."""
+    return _majority(_ones(hashes), len(hashes)) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -90,16 +102,54 @@ def _chain(start: Column, a: Column, b: Column, budget: int) -> Column:
     return ok
 
 
+#: Widest budget: half of it is enumerated, and that table (some 2 MB at 6) is sent to every task.
+WIDEST = 6
+
+
+def flips(budget: int) -> list[tuple[int, int, int]]:
+    """(start, mask, bits): what half the budget can flip along each chain.
+
+    Bits of a mask lie outside the chain's first two segments, and every prefix of the chain holds no
+    more of them than its proportional budget, as for a whole difference: two fingerprints that pass a
+    chain share a variant that each reaches by such a mask, of at most floor(t / 2) and ceil(t / 2) bits.
+    """
+    ring = layout(budget)
+    m = len(ring)
+    most = -(-budget // 2)
+    out = []
+    for start in range(m):
+        found = [(0, 0)]
+        grown = found
+        places = [(length, shift + k) for length in range(3, m + 1) for shift, width in [ring[(start + length - 1) % m]] for k in range(width)]
+        for _ in range(most):
+            more = []
+            for mask, last in grown:
+                for at in range(last, len(places)):
+                    length, bit = places[at]
+                    new = mask | 1 << bit
+                    # Places rise along the chain, so only this prefix and longer ones grow.
+                    if new.bit_count() <= length * budget // m:
+                        more.append((new, at + 1))
+            found = found + more
+            grown = more
+        out += [(start, mask - (1 << BITS) if mask >> 63 else mask, mask.bit_count()) for mask, _ in found]
+    return out
+
+
 def links(prints: DataFrame, scratch: Scratch, budget: int = 2, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints ``prints`` (fp) at ``budget`` or fewer differing bits.
 
     Each fingerprint goes to one bucket for each start of a chain.  In a bucket of at most
-    ``bucket`` members, pairs pass the chain test and then the full Hamming check.  Larger
-    buckets would make pairs with the square of their size; there every member sends out its
-    variants with half the budget flipped outside the key (members within the budget share one,
-    and members that share one are within it), and links to the least that shares a variant.  That
-    keeps every group whole in linear work.
+    ``bucket`` members, pairs pass the chain test and then the full Hamming check.  Larger buckets would
+    make pairs with the square of their size; there every member sends out its variants along the chain
+    (``flips``), and links to the least member that reaches the same variant with the smaller half.
+    Those are within the budget of each other, and two members that pass the chain share a variant, so
+    every group stays whole in linear work.  Any budget up to ``WIDEST``; a wider one is an error at once.
     """
+    if not 0 <= budget <= WIDEST:
+        raise ValueError(f"the budget must be from 0 to {WIDEST} bits")
+    if not budget:  # distinct fingerprints differ
+        return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("u <> v")
     ring = layout(budget)
     m = len(ring)
     fp = F.col("fp")
@@ -112,30 +162,19 @@ def links(prints: DataFrame, scratch: Scratch, budget: int = 2, bucket: int = BU
     placed = scratch.table("placed", placed.join(sizes, ["s", "k1", "k2"]))
     few = placed.where(F.col("n") <= bucket)
     a, b = few.alias("a"), few.alias("b")
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
     near = (F.col("a.fp") < F.col("b.fp")) & _chain(F.col("a.s"), F.col("a.fp"), F.col("b.fp"), budget)
-    near = near & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= budget)
+    near = near & (apart(F.col("a.fp"), F.col("b.fp")) <= budget)
     same = (F.col("a.s") == F.col("b.s")) & (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2"))
     found = a.join(b, same & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     many = placed.where(F.col("n") > bucket)
-    if budget != 2 or many.isEmpty():
-        if budget != 2 and not many.isEmpty():
-            raise ValueError("buckets above the limit are resolved for a budget of 2 bits only")
+    if many.isEmpty():
         return found.distinct()
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(BITS)])
-    fixed = F.lit(0).cast("long")
-    for s in range(m):
-        mask = 0
-        for shift, width in (ring[s], ring[(s + 1) % m]):
-            mask |= ((1 << width) - 1) << shift
-        fixed = F.when(F.col("s") == s, F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")).otherwise(fixed)
-    variants = (
-        many.select("s", "fp", F.explode(flips).alias("flip"), fixed.alias("mask"))
-        .where("flip & mask = 0")
-        .select("s", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("w"))
-    )
-    least = variants.groupBy("s", "w").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
-    stars = variants.join(least, ["s", "w"]).where("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
-    return found.union(stars).distinct()
+    masks = F.broadcast(scratch.spark.createDataFrame(flips(budget), "s int, mask long, bits int"))
+    variants = many.join(masks, "s").select("s", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("w"), "bits")
+    least = variants.groupBy("s", "w").agg(F.min(F.when(F.col("bits") <= budget // 2, F.col("fp"))).alias("low"), F.count("*").alias("n"))
+    stars = variants.join(least.where("n > 1"), ["s", "w"]).where("fp <> low").where(apart(F.col("fp"), F.col("low")) <= budget)
+    return found.union(stars.select(F.col("fp").alias("u"), F.col("low").alias("v"))).distinct()
 
 
 def near_groups(
@@ -148,7 +187,7 @@ def near_groups(
 
     Empty table: no rows.  Null or blank text: fingerprint 0, linked like any other.  Null key:
     kept as a row, never a component_id unless its group has no other.  Repeated rows: one output
-    row each.  Other columns are ignored.
+    row each.  Very long text: counted in slices of 65,536 shingles.  Other columns are ignored.
     """
     own = scratch.table("own", fingerprints(docs, shingle, text, key))
     prints = own.groupBy("fp").agg(F.min(key).alias("low"))
@@ -160,7 +199,7 @@ def near_groups(
     linked = found.join(lowest, "root").select(F.col("node").alias("fp"), "component")
     group = prints.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
     group = scratch.table("groups", group)
-    scratch.drop("links")
+    scratch.keep("own", "groups")
     return own.join(group, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
