@@ -143,22 +143,22 @@ def test_simhash_groups(spark, docs, rows, empty):
     assert kept.columns == docs.columns and set(low.values()) <= {r["doc_id"] for r in kept.collect()}
 
 
-@pytest.mark.parametrize("bucket", [32, 2, 1])
-def test_simhash_links_lose_nothing(spark, bucket):
+@pytest.mark.parametrize(("bucket", "budget"), [(32, 2), (2, 2), (1, 2), (32, 0), (1, 1), (1, 3), (32, 3), (1, 4), (1, 5), (32, 6)])
+def test_simhash_links_lose_nothing(spark, bucket, budget):
     rng = random.Random(bucket)
     nodes = set()
-    for _ in range(30):
+    for _ in range(20):
         x = rng.getrandbits(64)
-        for _ in range(12):
+        for _ in range(10):
             y = x
-            for _ in range(rng.randrange(5)):
+            for _ in range(rng.randrange(2 * budget + 1)):
                 y ^= 1 << rng.randrange(64)
             nodes.add(y)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     prints = spark.createDataFrame([(signed(x),) for x in nodes], "fp long")
-    links = [(r["u"], r["v"]) for r in simhash.links(prints, Scratch(spark, "t"), 2, bucket).collect()]
-    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in links)
-    root = _components(dict(enumerate(nodes)))
+    links = [(r["u"], r["v"]) for r in simhash.links(prints, Scratch(spark, "t"), budget, bucket).collect()]
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= budget for a, b in links)
+    root = _components(dict(enumerate(nodes)), budget)
     from chronofold.llm.graph import components
 
     edges = spark.createDataFrame(links, "u long, v long")
@@ -170,6 +170,11 @@ def test_simhash_links_lose_nothing(spark, bucket):
         assert {found.get(x, x) for x in members} == {min(members)}
 
 
+def test_too_wide_a_budget(spark):
+    with pytest.raises(ValueError, match="budget"):
+        simhash.links(spark.createDataFrame([], "fp long"), Scratch(spark, "t"), simhash.WIDEST + 1)
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark, docs, rows):
     """Also where keys repeat with different texts or are null; of rows with the least key the one of the least hash."""
     prints = {k: _brute_print(r[1]) for k, r in enumerate(rows)}
