@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +20,17 @@ END_ID = 0
 
 @dataclass(frozen=True)
 class Search:
-    """block: pieces that are packed together; islands: populations of a block; the rest per island and epoch."""
-
-    block: int = 8192
-    islands: int = 2
-    epochs: int = 2
-    population: int = 4
-    generations: int = 3
+    """block: pieces that are packed together; islands: populations of a block; epochs: after each, elites
+    migrate; population, generations: of an island, the latter in each epoch; loosened: bins that a child
+    empties; swept: bins that it then tries to fill better."""
+
+    block: int = 2048
+    islands: int = 3
+    epochs: int = 4
+    population: int = 5
+    generations: int = 24
+    loosened: int = 5
+    swept: int = 250
     seed: int = 11
 
 
@@ -85,15 +90,42 @@ def _down(sizes: list[int], items) -> list[int]:
     return sorted(items, key=lambda i: (-sizes[i], i))
 
 
-def crossover(first: Bins, second: Bins, rng: np.random.Generator) -> Bins:
+def fill_better(sizes: list[int], bins: list[list[int]], loose: list[int], capacity: int, order) -> None:
+    """Exchange one or two pieces of a bin for one or two loose ones that fill it more, in place.
+
+    A better filled bin dominates the worse one, and the loose pieces become smaller, so that they fit
+    best into what is left.  Each of the bins in ``order`` is looked at once.
+    """
+    for b in order:
+        items = bins[b]
+        room = capacity - sum(sizes[i] for i in items)
+        if not room:
+            continue
+        ways = [(sizes[i], (i,)) for i in loose]
+        ways += [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(loose) for j in loose[:k]]
+        ways.sort(key=lambda x: x[0])
+        sums = [x[0] for x in ways]
+        best, out, into = 0, (), ()
+        leave = [(0, ())] + [(sizes[i], (i,)) for i in items] + [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(items) for j in items[:k]]
+        for gone, who in leave:
+            at = bisect.bisect_right(sums, gone + room) - 1
+            if at >= 0 and sums[at] - gone > best:
+                best, out, into = sums[at] - gone, who, ways[at][1]
+        if best:
+            bins[b] = [i for i in items if i not in out] + list(into)
+            loose[:] = [i for i in loose if i not in into] + list(out)
+
+
+def crossover(first: Bins, second: Bins, rng: np.random.Generator, search: Search) -> Bins:
     """The first parent with well-filled bins of the second injected whole.
 
-    Bins of the first that hold a piece of an injected bin go, and the pieces that lose their place by
-    that are fitted best again, longest first.
+    Bins of the first that hold a piece of an injected bin go, and so do a few of its worst; the pieces
+    that lose their place by that fill other bins better where they can, and the rest are fitted best
+    again, longest first.
     """
-    well = [b for b, room in enumerate(second.room) if room * 100 <= second.capacity]
-    share = rng.uniform(0.2, 0.6)
-    chosen = [second.items[b] for b in well if rng.random() < share]
+    n = len(second.items)
+    rank = np.argsort(np.array(second.room) + rng.uniform(0, 0.5, n))  # the fullest first, equals in any order
+    chosen = [second.items[b] for b in rank[: int(rng.integers(1, max(2, n // 10)))].tolist()]
     placed = {i for items in chosen for i in items}
     stay, loose = [], []
     for items in first.items:
@@ -101,22 +133,33 @@ def crossover(first: Bins, second: Bins, rng: np.random.Generator) -> Bins:
             stay.append(items)
         else:
             loose += [i for i in items if i not in placed]
-    return pack(first.sizes, _down(first.sizes, loose), first.capacity, chosen + stay)
+    return _refit(first, chosen + stay, loose, rng, search)
+
 
+def _refit(parent: Bins, bins: list[list[int]], loose: list[int], rng: np.random.Generator, search: Search) -> Bins:
+    sizes, capacity = parent.sizes, parent.capacity
+    room = [capacity - sum(sizes[i] for i in items) for items in bins]
+    worst = np.argsort([-r for r in room], kind="stable")[: max(1, search.loosened // 2)].tolist()
+    gone = {*worst, *rng.integers(0, len(bins), search.loosened - len(worst)).tolist()} if bins else set()
+    loose = loose + [i for b in sorted(gone) for i in bins[b]]
+    bins = [list(x) for b, x in enumerate(bins) if b not in gone]
+    rest = _down(sizes, loose)
+    # The largest loose pieces are hardest to place: a bounded number of them is exchanged.
+    some, rest = rest[:40], rest[40:]
+    fill_better(sizes, bins, some, capacity, rng.permutation(len(bins))[: search.swept].tolist())
+    return pack(sizes, _down(sizes, some + rest), capacity, bins)
 
-def mutate(bins: Bins, rng: np.random.Generator) -> Bins:
-    """Empty the least filled bins and a few others, and fit their pieces again."""
-    n = len(bins.items)
-    worst = set(np.argsort([-r for r in bins.room], kind="stable")[: max(1, n // 50)].tolist())
-    worst |= set(rng.integers(0, n, max(1, n // 100)).tolist())
-    loose = [i for b in worst for i in bins.items[b]]
-    return pack(bins.sizes, _down(bins.sizes, loose), bins.capacity, [x for b, x in enumerate(bins.items) if b not in worst])
+
+def mutate(bins: Bins, rng: np.random.Generator, search: Search) -> Bins:
+    """Empty the worst bins and a few others, and refit their pieces."""
+    return _refit(bins, bins.items, [], rng, search)
 
 
 def evolve(sizes: list[int], capacity: int, search: Search, island: int, epoch: int, elites: list[list[int]]) -> list[int]:
     """The best grouping that one island finds in one epoch, as a bin for each piece.
 
-    ``elites`` are groupings from the epoch before: the island's own and its neighbour's.
+    ``elites`` are groupings from the epoch before: the island's own and its neighbour's.  The search
+    ends where no grouping can have fewer bins.
     """
     rng = np.random.default_rng([search.seed, island, epoch, len(sizes)])
     least = -(-sum(sizes) // capacity)
@@ -128,17 +171,19 @@ def evolve(sizes: list[int], capacity: int, search: Search, island: int, epoch:
         people.append(pack(sizes, [], capacity, list(kept.values())))
     if not people:
         people.append(pack(sizes, _down(sizes, range(len(sizes))), capacity))
-    while len(people) < search.population:
+    rank = lambda p: (len(p.items), -p.fitness())
+    people.sort(key=rank)
+    while len(people[0].items) > least and len(people) < search.population:
         # Best fit in falling order of sizes that are blurred a little: near as good, and all different.
         blur = np.array(sizes) * rng.uniform(0.8, 1.2, len(sizes))
         people.append(pack(sizes, np.argsort(-blur, kind="stable").tolist(), capacity))
-    rank = lambda p: (len(p.items), -p.fitness())
     for _ in range(search.generations):
         people.sort(key=rank)
         if len(people[0].items) <= least:
             break
-        a, b = people[0], people[int(rng.integers(1, len(people)))] if len(people) > 1 else people[0]
-        people = sorted([*people, crossover(a, b, rng), mutate(crossover(b, a, rng), rng)], key=rank)[: search.population]
+        a, b = people[int(rng.integers(0, 2))], people[int(rng.integers(0, len(people)))]
+        child = crossover(a, b, rng, search) if a is not b else mutate(a, rng, search)
+        people = sorted([*people, child, mutate(people[0], rng, search)], key=rank)[: search.population]
     best = min(people, key=rank)
     out = [0] * len(sizes)
     for b, items in enumerate(best.items):
@@ -266,7 +311,8 @@ def pack_documents(
     """(key, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
     Null text: as empty, one piece of the final id.  Empty table: no rows.  Null keys and repeated
-    rows: packed like any other.  Other columns are ignored.
+    rows: packed like any other.  Very long text: cut into whole sequences, in one task.  Other columns
+    are ignored, whatever their names.
     """
     parts = pieces(docs, capacity, path, text, key).select(F.monotonically_increasing_id().alias("pid"), "*")
     parts = scratch.table("pieces", parts)
