@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,97 +13,111 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.shared import chunks, slices, utf8, whole_row
 
-#: Shares of character classes, as the metadata view counts a page's layout.
+#: Character classes of the metadata view: small or non-ASCII letter, capital, digit, space, line end, common mark, other.
 _CLASSES = np.zeros(256, np.int64)
 for _c in range(256):
     _s = chr(_c)
     _CLASSES[_c] = 0 if _c >= 128 or "a" <= _s <= "z" else 1 if "A" <= _s <= "Z" else 2 if _s.isdigit() else 3 if _s in " \t\r\v\f" else 4 if _s == "\n" else 5 if _s in ".,;:'\"?-" else 6
 N_CLASSES = 7
+#: What the content view sees of a byte: small letters, whatever their case; all else is a space.
+_LETTERS = np.array([c if c >= 128 or chr(c).islower() else ord(chr(c).lower()) if chr(c).isupper() else 32 for c in range(256)], np.uint8)
+#: Columns of the content view beside the trigrams.
+REPEATS = 4
+#: Columns of the metadata view.
+SOURCES, LANGS, SIZES = 16, 8, 20
+METADATA = SOURCES + LANGS + SIZES + N_CLASSES + 3
+#: Bytes of a text that are counted at a time.
+PART = 1 << 20
 
 
 @dataclass(frozen=True)
 class CoTraining:
-    """labelled, unlabelled: bounds of the rows that are fitted on, chosen by a hash of the key over all
-    rows; dims: buckets of the content view; rounds, share: exchanges, and the part of the pool that each
-    view hands over in one; sure: least probability of a pseudo-label; keep_good: least share of the
-    calibration fold's good documents that must stay.
+    """labelled: bound of the labelled rows that are fitted on, chosen by a hash of the key over all rows;
+    dims: buckets of the content view; rounds: exchanges; sure: least probability of a pseudo-label;
+    trust: weight of all pseudo-labels, the labels' being 1; keep_good: least share of the calibration
+    fold's good documents that must stay.
     """
 
     labelled: int = 6000
-    unlabelled: int = 6000
     dims: int = 1024
     rounds: int = 3
-    share: float = 0.05
     sure: float = 0.9
+    trust: float = 0.5
     keep_good: float = 0.995
     steps: int = 300
 
 
 def content_view(raw: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
-    """Hashed counts of byte trigrams, damped by a logarithm, of unit length."""
+    """Hashed counts of the trigrams of letters, damped by a logarithm, of unit length, and how far the words repeat.
+
+    The last columns: shares of distinct words, lines and pairs of words, and the logarithm of the number
+    of words.  Case, digits and marks are not seen.
+    """
     n = len(offsets) - 1
-    part = raw[offsets[0] : offsets[-1]].astype(np.uint32)
-    out = np.zeros((n, dims), np.float32)
-    if len(part) < 3:
-        return out
-    gram = (part[:-2] << np.uint32(16)) | (part[1:-1] << np.uint32(8)) | part[2:]
-    gram = ((gram * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(dims)
-    at = offsets - offsets[0]
+    out = np.zeros((n, dims + REPEATS), np.float32)
     for k in range(n):
-        stop = at[k + 1] - 2
-        if stop > at[k]:
-            out[k] = np.log1p(np.bincount(gram[at[k] : stop], minlength=dims))
-    size = np.sqrt((out**2).sum(1, keepdims=True))
-    return out / np.where(size > 0, size, 1)
+        counts = np.zeros(dims, np.int64)
+        different, total = np.zeros(3), np.zeros(3)
+        a, b = int(offsets[k]), int(offsets[k + 1])
+        for p in range(a, b, PART):
+            letters = _LETTERS[raw[p : min(b, p + PART + 2)]]
+            part = letters.astype(np.uint32)
+            if len(part) > 2:
+                gram = (part[:-2] << np.uint32(16)) | (part[1:-1] << np.uint32(8)) | part[2:]
+                counts += np.bincount(((gram * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(dims), minlength=dims)
+            words = letters[:PART].tobytes().split()
+            lines = raw[p : min(b, p + PART)].tobytes().split(b"\n")
+            different += len(set(words)), len(set(lines)), len(set(zip(words, words[1:], strict=False)))
+            total += len(words), len(lines), max(0, len(words) - 1)
+        damped = np.log1p(counts)
+        size = np.sqrt((damped**2).sum())
+        out[k, :dims] = damped / (size or 1)
+        out[k, dims:] = [*(4 * different / np.maximum(total, 1)), min(4.0, 0.4 * np.log1p(total[0]))]
+    return out
 
 
 def metadata_view(raw: np.ndarray, offsets: np.ndarray, source: list, lang: list) -> np.ndarray:
-    """What is known about a page besides its words: source, language, size and layout."""
+    """What is known about a page besides its words: source, language, size and layout; no letter is told from another."""
     n = len(offsets) - 1
-    out = np.zeros((n, 16 + 8 + 20 + N_CLASSES + 5), np.float32)
+    out = np.zeros((n, METADATA), np.float32)
+    at = SOURCES + LANGS + SIZES
     for k in range(n):
         part = raw[offsets[k] : offsets[k + 1]]
-        out[k, zlib.crc32((source[k] or "").encode()) % 16] = 0.3
-        out[k, 16 + zlib.crc32((lang[k] or "").encode()) % 8] = 0.3
         size = len(part)
-        out[k, 24 + min(19, size.bit_length())] = 1
+        out[k, zlib.crc32((source[k] or "").encode()) % SOURCES] = 0.3
+        out[k, SOURCES + zlib.crc32((lang[k] or "").encode()) % LANGS] = 0.3
+        out[k, SOURCES + LANGS + min(SIZES - 1, size.bit_length())] = 1
         if not size:
             continue
-        shares = np.bincount(_CLASSES[part], minlength=N_CLASSES) / size
-        out[k, 44 : 44 + N_CLASSES] = np.sqrt(shares)
-        lines = part.tobytes().split(b"\n")
-        words = part.tobytes().split()
-        out[k, 51] = len(set(lines)) / len(lines)
-        out[k, 52] = np.log1p(size / len(lines)) / 8
-        out[k, 53] = len(set(words)) / max(1, len(words))
-        out[k, 54] = size / max(1, len(words)) / 16
-        out[k, 55] = 1
+        counts = np.bincount(_CLASSES[part], minlength=N_CLASSES)
+        out[k, at : at + N_CLASSES] = np.sqrt(counts / size)
+        out[k, at + N_CLASSES :] = np.log1p(size / (counts[4] + 1)) / 8, size / (counts[3] + counts[4] + 1) / 16, 1
     return out
 
 
-def views(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, content, metadata) for some rows at a time of columns text, source, lang (the last three)."""
+def views(batch: pa.RecordBatch, dims: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, [content, metadata]) for some rows at a time of columns text, source, lang (the last three)."""
     raw, offsets = utf8(batch.column(batch.num_columns - 3))
     source = batch.column(batch.num_columns - 2).to_pylist()
     lang = batch.column(batch.num_columns - 1).to_pylist()
     for a, b in chunks(offsets, 1 << 20):
         for p in range(a, b, 512):
             q = min(b, p + 512)
-            yield p, content_view(raw, offsets[p : q + 1], dims), metadata_view(raw, offsets[p : q + 1], source[p:q], lang[p:q])
+            both = content_view(raw, offsets[p : q + 1], dims), metadata_view(raw, offsets[p : q + 1], source[p:q], lang[p:q])
+            # Half precision, so that what is fitted on and what is scored are the same numbers.
+            yield p, [x.astype(np.float16).astype(np.float32) for x in both]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int, ridge: float = 1e-4) -> np.ndarray:
-    """Weights and, last, the intercept, by Nesterov's gradient method on the mean loss."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int, ridge: float = 1e-4) -> np.ndarray:
+    """Weights and, last, the intercept, by Nesterov's gradient method on the weighted loss."""
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     seen = w.copy()
-    rate = 4 / max(1e-9, (x**2).sum(1).max())
-    # Both classes weigh the same; calibration restores the true share.
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    rate = 4 / max(1e-9, (x**2).sum(1).max() * weight.sum())
     for k in range(steps):
         grad = x.T @ (weight * (_sigmoid(x @ seen) - y)) + ridge * np.append(seen[:-1], 0)
         new = seen - rate * grad
@@ -112,69 +126,101 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int, ridge: float = 1e-4)
     return w
 
 
-def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x.astype(np.float64) @ w[:-1] + w[-1]
+def _balanced(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Both classes weigh one half; calibration restores the true share."""
+    good, bad = weight[y > 0].sum(), weight[y <= 0].sum()
+    return np.where(y > 0, weight / (2 * good or 1), weight / (2 * bad or 1))
+
+
+@dataclass
+class Side:
+    """One view's classifier: weights, and the slope and intercept that make its logit a probability's."""
+
+    weights: np.ndarray
+    slope: float = 1.0
+    intercept: float = 0.0
+    loss: float = np.inf  # on the calibration fold
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.slope * (x.astype(np.float64) @ self.weights[:-1] + self.weights[-1]) + self.intercept
 
 
 @dataclass
 class Model:
-    """One weight vector for each view, the calibration that combines their logits, and the bound to keep."""
+    """Both views' classifiers, the log odds of good among the labels, and the bound to keep."""
 
-    content: np.ndarray
-    metadata: np.ndarray
-    mix: np.ndarray  # weight of either logit, intercept
+    sides: list[Side]
+    prior: float
     bound: float
 
-    def score(self, content: np.ndarray, metadata: np.ndarray) -> np.ndarray:
-        both = np.stack([_logit(content, self.content), _logit(metadata, self.metadata)], 1)
-        return _sigmoid(both @ self.mix[:2] + self.mix[2])
+    def score(self, views: list[np.ndarray]) -> np.ndarray:
+        """Calibrated views combine as independent evidence: their log odds add up, the prior's counts once."""
+        return _sigmoid(sum(s.logit(x) for s, x in zip(self.sides, views, strict=True)) - self.prior)
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, fold: np.ndarray, how: CoTraining) -> Model:
-    """Fit both views; y is 1, 0 or -1 (no label), fold marks labelled rows kept for calibration.
+#: Pseudo-labelled rows as sums: for each view (features and label of each mean, rows that it stands for).
+Means = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-    Each round either view labels the share of the pool that it is surest of, good and bad in the
-    labels' proportion, for the other view to learn from.
+
+def _side(x: np.ndarray, y: np.ndarray, fold: np.ndarray, means, how: CoTraining) -> Side:
+    train = np.flatnonzero(~fold)
+    rows, target, weight = x[train], y[train].astype(float), _balanced(y[train], np.ones(len(train)))
+    if means is not None and len(set(means[1])) == 2:
+        rows, target = np.concatenate([rows, means[0]]), np.concatenate([target, means[1]])
+        weight = np.concatenate([weight, how.trust * _balanced(means[1], means[2])])
+    side = Side(fit_logistic(rows, target, weight, how.steps))
+    z = side.logit(x[fold])
+    scale = max(float(z.std()), 1e-9)
+    w = _platt(z[:, None] / scale, y[fold].astype(float))
+    # A view that tells nothing, or tells it upside down, says the prior.
+    side.slope = max(0.0, w[0] / scale)
+    side.intercept = w[1] if w[0] > 0 else _log_odds(y[fold])
+    p = np.clip(_sigmoid(side.logit(x[fold])), 1e-6, 1 - 1e-6)
+    side.loss = float(-np.where(y[fold] > 0, np.log(p), np.log(1 - p)).mean())
+    return side
+
+
+def _log_odds(y: np.ndarray) -> float:
+    return float(np.log((y > 0).sum() + 0.5) - np.log((y <= 0).sum() + 0.5))
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, exchange: Callable[[list[Side]], Means], how: CoTraining) -> Model:
+    """Fit both views on labelled rows; fold marks those kept for calibration.
+
+    In each round ``exchange`` scores all unlabelled rows with both views and gives either view the means
+    of those that the other one is sure of.  A view takes them where its loss on the calibration fold does
+    not rise; where neither does, the exchange ends.
     """
-    sides = [content, metadata]
-    train = [np.flatnonzero((y >= 0) & ~fold)] * 2
-    target = [y[train[0]].astype(float)] * 2
-    pool = y < 0
-    good = float(np.mean(target[0])) if len(target[0]) else 1.0
-    if not 0 < good < 1:
-        return Model(np.zeros(content.shape[1] + 1), np.zeros(metadata.shape[1] + 1), np.array([0.0, 0.0, 30.0 if good else -30.0]), 0.5)
-    free = [pool.copy(), pool.copy()]
+    if len(set(y)) < 2:
+        sure = 30.0 if not len(y) or y[0] > 0 else -30.0
+        return Model([Side(np.append(np.zeros(x.shape[1]), sure)) for x in views], sure, 0.5)
+    if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:  # too few to set some aside
+        views, y = [np.concatenate([x, x]) for x in views], np.concatenate([y, y])
+        fold = np.arange(len(y)) < len(fold)
+    sides = [_side(x, y, fold, None, how) for x in views]
     for _ in range(how.rounds):
-        fitted = [fit_logistic(x[i], t, how.steps) for x, i, t in zip(sides, train, target, strict=True)]
-        for giver in (0, 1):
-            taker = 1 - giver
-            at = np.flatnonzero(free[taker])
-            if not len(at):
-                continue
-            p = _sigmoid(_logit(sides[giver][at], fitted[giver]))
-            order = np.argsort(p, kind="stable")
-            n = max(1, int(how.share * pool.sum()))
-            up = order[::-1][: max(1, round(n * good))]
-            down = order[: max(1, round(n * (1 - good)))]
-            up, down = up[p[up] >= how.sure], down[p[down] <= 1 - how.sure]
-            new = np.concatenate([at[up], at[down]])
-            train[taker] = np.concatenate([train[taker], new])
-            target[taker] = np.concatenate([target[taker], np.ones(len(up)), np.zeros(len(down))])
-            free[taker][new] = False
-    w = [fit_logistic(x[i], t, how.steps) for x, i, t in zip(sides, train, target, strict=True)]
-    at = np.flatnonzero((y >= 0) & fold)
-    if not len(at) or len(set(y[at])) < 2:
-        at = np.flatnonzero(y >= 0)
-    both = np.stack([_logit(x[at], v) for x, v in zip(sides, w, strict=True)], 1)
-    scale = np.maximum(both.std(0), 1e-9)
-    mix = _platt(both / scale, y[at].astype(float))
-    mix[:2] /= scale
-    model = Model(w[0], w[1], mix, 0.5)
-    right = np.sort(model.score(content[at], metadata[at])[y[at] > 0])
+        means = exchange(sides)
+        new = [_side(x, y, fold, m, how) for x, m in zip(views, means, strict=True)]
+        taken = [n.loss <= s.loss for n, s in zip(new, sides, strict=True)]
+        sides = [n if t else s for n, s, t in zip(new, sides, taken, strict=True)]
+        if not any(taken):
+            break
+    model = Model(sides, _log_odds(y), 0.5)
+    right = np.sort(model.score([x[fold & (y > 0)] for x in views]))
     model.bound = float(min(0.5, right[int((1 - how.keep_good) * len(right))] - 1e-9))
     return model
 
 
+def given_away(views: list[np.ndarray], sides: list[Side], lang: list, how: CoTraining) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(taker, label, stratum, rows) of what either view is sure of, by language so that means stay of a kind."""
+    stratum = np.array([zlib.crc32((x or "").encode()) % LANGS for x in lang])
+    for giver in (0, 1):
+        p = _sigmoid(sides[giver].logit(views[giver]))
+        for label, chosen in ((1, p >= how.sure), (0, p <= 1 - how.sure)):
+            for k in np.unique(stratum[chosen]).tolist():
+                yield 1 - giver, label, k, np.flatnonzero(chosen & (stratum == k))
+
+
 def _platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     """Logistic regression on a few columns by Newton's method: probabilities, not only an order."""
     x = np.hstack([z, np.ones((len(z), 1))])
@@ -192,33 +238,79 @@ def _source(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(F.col(key), column("text"), column("source"), column("lang"))
 
 
+#: Sums of features are of whole millionths, so that their order does not matter.
+_UNIT = 1_000_000
+
+
+def _exchange(rows: DataFrame, ids: set, sides: list[Side], how: CoTraining) -> Means:
+    """One pass over all rows but those of ``ids``: sums by task, then by Spark, of what the views give away.
+
+    A task sends at most one vector for each view, label and stratum, so the result does not grow.
+    """
+    widths = [how.dims + REPEATS, METADATA]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in slices(batches):
+            keys, langs = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            for a, both in views(batch, how.dims):
+                free = np.array([k not in ids for k in keys[a : a + len(both[0])]])
+                both = [x[free] for x in both]
+                lang = [x for x, f in zip(langs[a : a + len(free)], free, strict=True) if f]
+                for taker, label, stratum, at in given_away(both, sides, lang, how):
+                    x = np.rint(both[taker][at].astype(np.float64) * _UNIT).astype(np.int64)
+                    old = sums.get((taker, label, stratum), 0)
+                    sums[taker, label, stratum] = old + np.append(x.sum(0), len(at))
+        if sums:
+            keys = [pa.array(k, pa.int32()) for k in zip(*sums, strict=True)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["taker", "label", "stratum", "v"])
+
+    by = ["taker", "label", "stratum"]
+    found = rows.mapInArrow(run, "taker int, label int, stratum int, v array<long>").select(*by, F.posexplode("v").alias("d", "x"))
+    found = found.groupBy(*by, "d").agg(F.sum("x").alias("x")).orderBy(*by, "d").toArrow()
+    taker, label, d, x = (found[c].to_numpy() for c in ("taker", "label", "d", "x"))
+    means = []
+    for t in (0, 1):
+        mine = taker == t
+        vectors = x[mine].reshape(-1, widths[t] + 1)
+        rows_ = vectors[:, -1].astype(np.float64)
+        means.append((vectors[:, :-1] / rows_[:, None] / _UNIT, label[mine][d[mine] == 0].astype(float), rows_))
+    return means
+
+
 def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), key: str = "doc_id", label: str = "quality") -> Model:
-    """A model from the bounded sample of ``docs``; labels of a key that differ count as their least, those of other keys not at all."""
+    """A model of ``docs``: fitted on a bounded sample of its labelled rows, with pseudo-labels of all other rows.
+
+    Labels of a key that differ count as their least, those of other keys not at all.  Each round is one
+    pass over ``docs``; what it brings back are a few dozen mean vectors, whatever the number of rows.
+    """
     given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
-    order = F.xxhash64("_id")
-    ids = docs.select(F.col(key).alias("_id")).where(F.col(key).isNotNull()).distinct()
-    chosen = given.join(ids, "_id", "left_semi").orderBy(order, "_id").limit(how.labelled)
-    rest = ids.join(given, "_id", "left_anti")
-    chosen = chosen.union(rest.orderBy(order, "_id").limit(how.unlabelled).select("_id", F.lit(-1).alias("_y")))
-    # At most labelled + unlabelled rows of two numbers.
-    rows = _source(docs, key).join(F.broadcast(chosen), F.col(key) == F.col("_id"))
-    rows = rows.select("_id", "_y", "text", "source", "lang")
+    ids = docs.select(F.col(key).alias("_id"))
+    chosen = given.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(how.labelled)
+    # At most ``labelled`` rows of two numbers.
+    source = _source(docs, key)
+    rows = source.join(F.broadcast(chosen), F.col(key) == F.col("_id")).select("_id", "_y", "text", "source", "lang")
     kind = dict(rows.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for a, content, metadata in views(batch, how.dims):
-                data = [np.concatenate([x, m]).astype(np.float16).tobytes() for x, m in zip(content, metadata, strict=True)]
+            for a, both in views(batch, how.dims):
+                data = [np.concatenate(x).astype(np.float16).tobytes() for x in zip(*both, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(data)), batch.column(1).slice(a, len(data)), pa.array(data, pa.binary())], names=["id", "y", "x"])
 
     found = rows.mapInArrow(run, f"id {kind}, y int, x binary").toArrow()
     found = sorted(zip(found["id"].to_pylist(), found["y"].to_pylist(), found["x"].to_pylist(), strict=True))
-    if not found:
-        return co_train(np.zeros((0, how.dims)), np.zeros((0, 56)), np.zeros(0, int), np.zeros(0, bool), how)
-    x = np.stack([np.frombuffer(r[2], np.float16) for r in found]).astype(np.float32)
-    y = np.array([r[1] for r in found])
-    fold = np.array([zlib.crc32(f"fold {r[0]}".encode()) % 4 == 0 for r in found])
-    return co_train(x[:, : how.dims], x[:, how.dims :], y, fold, how)
+    x = np.array([np.frombuffer(r[2], np.float16) for r in found], np.float32).reshape(len(found), how.dims + REPEATS + METADATA)
+    y = np.array([r[1] for r in found], int)
+    fold = np.array([in_fold(r[0]) for r in found], bool)
+    known = {r[0] for r in found}
+    edge = how.dims + REPEATS
+    return co_train([x[:, :edge], x[:, edge:]], y, fold, lambda sides: _exchange(source, known, sides, how), how)
+
+
+def in_fold(key) -> bool:
+    """A quarter of the labelled rows is for calibration."""
+    return zlib.crc32(f"fold {key}".encode()) % 4 == 0
 
 
 def score(docs: DataFrame, model: Model, how: CoTraining = CoTraining(), key: str = "doc_id") -> DataFrame:
@@ -226,7 +318,8 @@ def score(docs: DataFrame, model: Model, how: CoTraining = CoTraining(), key: st
 
     Null text counts as empty; null source or lang as blank.  Empty table: no rows.  Repeated rows:
     one each, with equal scores.  With no labels, or labels of one kind only, that kind holds for all
-    (good, if there are none).  Other columns are ignored.
+    (good, if there are none).  Very long text: counted in parts of ``PART`` bytes.  Other columns are
+    ignored, whatever their names.
     """
     rows = _source(docs, key)
     kind = dict(rows.dtypes)[key]
@@ -234,9 +327,8 @@ def score(docs: DataFrame, model: Model, how: CoTraining = CoTraining(), key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.zeros(batch.num_rows)
-            for a, content, metadata in views(batch, how.dims):
-                half = [v.astype(np.float16).astype(np.float32) for v in (content, metadata)]
-                found[a : a + len(content)] = model.score(*half)
+            for a, both in views(batch, how.dims):
+                found[a : a + len(both[0])] = model.score(both)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(found >= model.bound)], names=[key, "quality_score", "keep"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, quality_score double, keep boolean")
@@ -251,9 +343,8 @@ def filter_quality(docs: DataFrame, model: Model, how: CoTraining = CoTraining()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = np.zeros(batch.num_rows, bool)
-            for a, content, metadata in views(batch, how.dims):
-                half = [v.astype(np.float16).astype(np.float32) for v in (content, metadata)]
-                keep[a : a + len(content)] = model.score(*half) >= model.bound
+            for a, both in views(batch, how.dims):
+                keep[a : a + len(both[0])] = model.score(both) >= model.bound
             yield pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=columns).filter(pa.array(keep))
 
     return rows.mapInArrow(run, docs.schema)
