@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -10,102 +9,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
+from chronofold.llm.recurrence import Batch, Units, keyed, recurring_spans, removed, unpacked, with_spans
 from chronofold.llm.shared import Scratch, slices
 
 #: Phrases in one automaton; more go to further automata, so memory is bounded.
 SHARD = 20_000
-_SURROGATES = 0xD800, 0x800
+#: Windows of the blocks that runs met once are cut into, and words of a cell.
+FINER, CELL = (1,), 128
 
 
-def _letter(k: int) -> str:
-    """A code point of its own for the k-th word of a batch."""
-    return chr(k + 1 if k + 1 < _SURROGATES[0] else k + 1 + _SURROGATES[1])
+def judge(batch: Batch, units: Units, shard: int = SHARD) -> list[np.ndarray]:
+    """Compile automata of the partners' phrases and stream every cell of the batch through each.
 
-
-#: Words that one batch can tell apart.
-LETTERS = 0x110000 - _SURROGATES[1] - 1
-
-
-def judge(groups, units: Units, shard: int = SHARD) -> list[list[np.ndarray]]:
-    """Confirm phrases that recur within their group, compile automata of them, stream the texts through.
-
-    Each word of the batch becomes one letter, so a phrase is a string of ``window`` letters and
-    equal strings are equal word sequences.  A phrase is confirmed when it is met at least twice,
-    a text that stands for several counting as often.  Automata take ``shard`` phrases each and
-    every text passes through every automaton of its batch that has its group's phrases.
+    A phrase is ``window`` words in a row of a partner's cell.  Words are numbered, so a phrase is a
+    sequence of numbers, and any number of words can be told apart.  A phrase knows its place, or that
+    it has several; an occurrence at any other place than its own recurs.
     """
-    out: list[list[np.ndarray]] = []
     w = units.window
-    ready: list[tuple[int, int, str]] = []  # group, text, letters
-    phrases: set[str] = set()
-    letters: dict[bytes, str] = {}
-
-    def stream():
-        if not phrases:
-            return
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in phrases:
-            automaton.add_word(p)
+    numbers: dict[bytes, int] = {}
+    lines = {key: tuple([numbers.setdefault(x, len(numbers)) for x in text.split(b" ")]) for key, text in batch.texts.items()}
+    phrases: dict[tuple, tuple | None] = {}
+    for key in sorted(batch.partners):
+        line, twin = lines[key], key in batch.twins
+        for k in range(len(line) - w + 1):
+            phrase = line[k : k + w]
+            place = None if twin else (key, k)
+            phrases[phrase] = place if phrases.setdefault(phrase, place) == place else None
+    out = [np.zeros(max(0, len(lines[key]) - w + 1), bool) for key in batch.own]
+    every = list(phrases)
+    for a in range(0, len(every), shard):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for phrase in every[a : a + shard]:
+            automaton.add_word(phrase, phrases[phrase])
         automaton.make_automaton()
-        for g, k, line in ready:
-            found = [end for end, _ in automaton.iter(line)]
-            if found:
-                out[g][k][np.array(found) - (w - 1)] = True
-
-    for g, (texts, times) in enumerate(groups):
-        lines = []
-        for text in texts:
-            words = text.split(b" ")
-            for x in words:
-                if x not in letters:
-                    letters[x] = _letter(len(letters))
-            lines.append("".join([letters[x] for x in words]))
-        met: Counter = Counter()
-        for line, n in zip(lines, times, strict=True):
-            for k in range(len(line) - w + 1):
-                met[line[k : k + w]] += n
-        out.append([np.full(max(0, len(line) - w + 1), n > 1) for line, n in zip(lines, times, strict=True)])
-        own = [p for p, n in met.items() if n > 1]
-        single = [(g, k, line) for k, (line, n) in enumerate(zip(lines, times, strict=True)) if n == 1]
-        for a in range(0, len(own), shard):
-            part = own[a : a + shard]
-            if len(phrases) + len(part) > shard:
-                stream()
-                phrases.clear()
-                ready.clear()
-            phrases.update(part)
-            ready += single
-        if len(letters) > LETTERS // 2:
-            stream()
-            phrases.clear()
-            ready.clear()
-            letters.clear()
-    stream()
+        for key, mask in zip(batch.own, out, strict=True):
+            for end, place in automaton.iter(lines[key]):
+                if place != (key, end - w + 1):
+                    mask[end - w + 1] = True
     return out
 
 
-def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, text: str = "text", key: str = "doc_id", anchor: int = 8, most: int = 20_000) -> DataFrame:
-    """Every row of ``docs`` as (doc, th, packed text, spans): the words that ``window``-word sequences which start anywhere else cover.
+def repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, text: str = "text", key: str = "doc_id", anchor: int = 8) -> DataFrame:
+    """Every row of ``docs`` as (doc, packed text, spans): the words that ``window``-word sequences which start anywhere else cover.
 
     Words are what ASCII white space separates, unchanged; sequences stay within one text; null has
     no words; all is judged on the input.  Empty table: no rows.  Fewer words than the window: no
-    spans.  Rows repeated with key and text: each is elsewhere for the other.  Other columns are ignored.
+    spans.  Rows repeated with key and text: each is elsewhere for the other.  Very long texts: judged by
+    cells of ``CELL`` words.  Other columns are ignored, whatever their names.
     """
-    units = Units("words", window, anchor)
     source = keyed(docs, text, key)
-    return with_spans(source, recurring_spans(source, units, judge, scratch, most))
+    return with_spans(source, recurring_spans(source, Units("words", window, anchor, CELL, FINER), judge, scratch))
 
 
-def remove_repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, text: str = "text", key: str = "doc_id", anchor: int = 8, most: int = 20_000) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, scratch: Scratch, window: int = 35, text: str = "text", key: str = "doc_id", anchor: int = 8) -> DataFrame:
     """(key, n_words, n_removed, kept) for every row; kept words are joined by one space."""
-    marked = repeated_words(docs, scratch, window, text, key, anchor, most)
+    marked = repeated_words(docs, scratch, window, text, key, anchor)
     kind = dict(marked.dtypes)["doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, gone, kept = [], [], []
-            for text_, spans in zip(unpacked(batch.column(2)), batch.column(3), strict=True):
+            for text_, spans in zip(unpacked(batch.column(1)), batch.column(2), strict=True):
                 words = text_.as_py().split()
                 pairs = [(x["a"], x["n"]) for x in spans.as_py() or ()]
                 sizes.append(len(words))

@@ -1,17 +1,24 @@
-"""What the two substring operators share: finding where windows of a text can recur.
-
-A window is ``window`` consecutive units (bytes or words) of one text.  Its anchor is the unit
-string of ``anchor`` units inside it with the least hash, the leftmost of equals.  Equal windows have
-equal anchors at equal places, so windows can only recur where an anchor's hash recurs.  Runs of
-windows with one anchor (about 1.5 a window length) are the rows that are shuffled:
-
-1. every run: anchor hash, hash of the run's text, place.  Runs whose anchor is met once go.
-2. a run whose whole text is met again recurs in full, whatever its multiplicity.
-3. only runs met once whose anchor is shared with other runs are undecided.  One copy of each
-   distinct text with that anchor meets in one task, where a judge (suffix intervals or phrase
-   automata) finds the windows that recur.  No copies are sent, so a group is as large as the
-   number of different texts around one anchor.  Beyond ``most`` of those, windows are counted
-   by a 128-bit hash instead: exact, no group in one task.
+"""What the two substring operators share: finding where windows of a text can recur, and judging it.
+
+A window is ``window`` consecutive units (bytes or words) of one text.  Its anchor is the least hash of
+the strings of ``anchor`` units inside it.  Equal windows have equal anchors, so windows can only recur
+where an anchor recurs.
+
+Candidates come from hashes, by steps that combine before they shuffle, whatever the size of a group:
+
+1. runs, windows in a row with one anchor (some half a window length; in periodic text one run).  Runs
+   whose anchor is met once go.
+2. a run whose whole text is met again gets a partner: the least of its places, or the greatest for the
+   least itself.
+3. runs met once whose anchor has other texts are cut finer: into blocks of windows that share a core
+   (only blocks whose core is met again go on), and last into windows.  What is met again gets a partner.
+
+Verdicts come from contents alone.  Texts are cut by a fixed grid into cells; a candidate's cell and its
+partner's cell meet, and a judge (suffix intervals or phrase automata) looks at the texts of many such
+pairs together.  It finds every window of a cell that starts anywhere else.  A clash of hashes makes two
+cells meet for nothing.  Cells are about a kilobyte, so no step holds more of a document, of a group or
+of copies than a batch; a cell that very many others have as partner is on one side of a join whose
+hot partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -31,23 +38,26 @@ from chronofold.llm.shared import Scratch, chunks, slices, text_of, utf8
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_LOW = np.uint64(0xFFFFFF)
 _WRAP = (1 << 64) - 1
+_LOW = np.uint64(0xFFFFFF)
 #: Windows looked at together; places within must fit in 24 bits.
 _BLOCK = 1 << 19
-#: Runs met more than HOT times, and more than a HOT_RUNS-th of all rows, are hot: never over HOT_RUNS of them.
-HOT, HOT_RUNS = 5_000, 10_000
+#: Windows of a run at most.
+LONGEST = 2048
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 @dataclass(frozen=True)
 class Units:
-    """kind: "bytes" or "words"; window: units in a window; anchor: units in an anchor, a power of 2."""
+    """kind: "bytes" or "words"; window: units in a window; anchor: units in an anchor, a power of 2;
+    cell: units of the grid; finer: windows in the blocks that runs met once are cut into, the last 1."""
 
     kind: str
     window: int
     anchor: int
+    cell: int
+    finer: tuple[int, ...]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -109,11 +119,8 @@ class Block:
         return int(self.starts[unit]), int(self.ends[unit + n - 1])
 
 
-def runs(values: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, windows) of every run; ``first`` holds the units where texts begin, and the end."""
-    n = len(values)
-    if n < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(values: np.ndarray, anchor: int) -> np.ndarray:
+    """The hash of the ``anchor`` units that begin at each."""
     hashes, power, size = values, _BASE, 1
     while size < anchor:
         hashes = hashes[:-size] * np.uint64(power) + hashes[size:]
@@ -121,25 +128,51 @@ def runs(values: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tup
     hashes = hashes ^ (hashes >> np.uint64(29))
     hashes *= _MIX
     hashes ^= hashes >> np.uint64(32)
-    least = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
+    return hashes
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    """What orders anchors: the upper 40 bits of their hash, which leave room for a place."""
+    return hashes & ~_LOW
+
+
+def runs(values: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, windows, whether they can repeat) of every run; ``first`` holds the units where texts begin, and the end.
+
+    A window's anchor is the leftmost of the least.  A run goes on while the anchor's hash stays, so in
+    periodic text it is long (at most ``LONGEST``), and only where the place of the anchor changes within
+    it can two of its windows be equal.
+    """
+    none = np.zeros(0, np.int64)
+    if len(values) < window:
+        return np.zeros(0, np.uint64), none, none, np.zeros(0, bool)
+    hashes = anchors(values, anchor)
+    least = _least(hashes) | np.arange(len(hashes), dtype=np.uint64)
     span, size = window - anchor + 1, 1
     while size * 2 <= span:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
     if size < span:
         least = np.minimum(least[: len(least) - (span - size)], least[span - size :])
-    inside = np.zeros(len(least) + 1, np.int8)  # windows that cross into the next text are none
+    place = (least & _LOW).astype(np.int64)
+    h = hashes[place]
+    inside = np.zeros(len(h) + 1, np.int8)  # windows that cross into the next text are none
     begin, stop = first[:-1], np.maximum(first[:-1], first[1:] - window + 1)
     real = stop > begin
     inside[begin[real]] += 1
     inside[stop[real]] -= 1
     inside = np.cumsum(inside[:-1]) > 0
-    edge = np.ones(len(least), bool)
-    edge[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
+    edge = np.ones(len(h), bool)
+    edge[1:] = (h[1:] != h[:-1]) | (inside[1:] != inside[:-1])
+    edge[begin[real]] = True
     at = np.flatnonzero(edge)
-    size = np.diff(np.append(at, len(least)))
+    size = np.diff(np.append(at, len(h)))
     real = inside[at]
     at, size = at[real], size[real]
-    return hashes[(least[at] & _LOW).astype(np.int64)], at, size
+    if len(size) and size.max() > LONGEST:
+        parts = -(-size // LONGEST)
+        skip = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+        at, size = np.repeat(at, parts) + skip, np.minimum(np.repeat(size, parts) - skip, LONGEST)
+    return h[at], at, size, place[at + size - 1] != place[at]
 
 
 def blocks(column, kind: str) -> Iterator[tuple[Block, int, int]]:
@@ -149,7 +182,7 @@ def blocks(column, kind: str) -> Iterator[tuple[Block, int, int]]:
         yield Block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], kind), a, b - a
 
 
-def _runs_of(block: Block, units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _runs_of(block: Block, units: Units) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     n = len(block.values)
     if n <= 16 * _BLOCK:
         yield runs(block.values, block.first, units.window, units.anchor)
@@ -157,24 +190,26 @@ def _runs_of(block: Block, units: Units) -> Iterator[tuple[np.ndarray, np.ndarra
     for a in range(0, n - units.window + 1, 8 * _BLOCK):  # one very long text
         b = min(n, a + 8 * _BLOCK + units.window - 1)
         first = np.unique(np.concatenate([[a], block.first[(block.first > a) & (block.first < b)], [b]])) - a
-        h, at, size = runs(block.values[a:b], first, units.window, units.anchor)
-        yield h, at + a, size
+        h, at, size, turns = runs(block.values[a:b], first, units.window, units.anchor)
+        yield h, at + a, size, turns
 
 
-_RUNS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("th", pa.int32()), ("start", pa.int32()), ("nwin", pa.int32())])
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def find_runs(docs: DataFrame, units: Units) -> DataFrame:
-    """(h, s, doc, th, start, nwin): every run of every text of ``docs`` (doc, th, text)."""
-    doc_type = dict(docs.dtypes)["doc"]
+    """(h, s, r1, r2, start, nwin, turns): every run of every text of ``docs`` (r1, r2, text).
+
+    h: its anchor; s: the hash of its text; turns: whether two of its windows can be equal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in slices(batches):
-            docs_, ths = batch.column(0), batch.column(1)
             for block, row, _ in blocks(batch.column(2), units.kind):
                 view = memoryview(block.line)
-                for h, at, size in _runs_of(block, units):
+                for h, at, size, turns in _runs_of(block, units):
                     if not len(at):
                         continue
                     last = at + size + units.window - 2
@@ -184,15 +219,154 @@ def find_runs(docs: DataFrame, units: Units) -> DataFrame:
                     owner = pa.array(text + row)
                     start = (at - block.first[text]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), docs_.take(owner), ths.take(owner), pa.array(start), pa.array(size.astype(np.int32))],
-                        names=["h", "s", "doc", "th", "start", "nwin"],
+                        [_signed(h), _signed(s), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(start), pa.array(size.astype(np.int32)), pa.array(turns)],
+                        names=["h", "s", "r1", "r2", "start", "nwin", "turns"],
                     )
 
-    return docs.mapInArrow(run, f"h long, s long, doc {doc_type}, th int, start int, nwin int")
+    return docs.mapInArrow(run, "h long, s long, r1 long, r2 long, start int, nwin int, turns boolean")
+
+
+def _place(*more: str):
+    return F.struct("r1", "r2", "start", *more)
+
+
+def _met(rows: DataFrame, *more: str) -> DataFrame:
+    """(h, s, n, lo, hi): how often each text is met, and the least and the greatest of its places."""
+    return rows.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(_place(*more)).alias("lo"), F.max(_place(*more)).alias("hi"))
+
+
+def _partners(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """(r1, r2, start, nwin, p1, p2, pstart) of every row whose text is met again.
+
+    Rows repeated with key and text share a place; where all places are one, it is its own partner.
+    """
+    again = met.where("n > 1").select("h", "s", F.col("lo").alias("lo"), F.col("hi").alias("hi"))
+    both = rows.join(again, ["h", "s"])
+    own = (F.col("r1") == F.col("lo.r1")) & (F.col("r2") == F.col("lo.r2")) & (F.col("start") == F.col("lo.start"))
+    other = F.when(own, F.col("hi")).otherwise(F.col("lo")).alias("p")
+    return both.select("r1", "r2", "start", "nwin", other).select("r1", "r2", "start", "nwin", F.col("p.r1").alias("p1"), F.col("p.r2").alias("p2"), F.col("p.start").alias("pstart"))
+
+
+def _cells(partners: DataFrame, cell: int) -> DataFrame:
+    """(r1, r2, k, p1, p2, pk, twin): the cells of windows and of their partners, each pair once; twin: of one place."""
+    div = lambda x: F.floor(x / cell).cast("int")
+    stop = F.col("start") + F.col("nwin")
+    rows = partners.select("*", F.explode(F.sequence(div(F.col("start")), div(stop - 1))).alias("k"))
+    shift = F.col("pstart") - F.col("start")
+    low, high = F.greatest("start", F.col("k") * cell) + shift, F.least(stop, (F.col("k") + 1) * cell) + shift
+    rows = rows.select("r1", "r2", "k", "p1", "p2", F.explode(F.sequence(div(low), div(high - 1))).alias("pk"), ((F.col("r1") == F.col("p1")) & (F.col("r2") == F.col("p2")) & (shift == 0)).alias("twin"))
+    return rows.groupBy("r1", "r2", "k", "p1", "p2", "pk").agg(F.max("twin").alias("twin"))
+
+
+def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(r1, r2, text, places) of the texts that have any; of rows repeated with key and text one."""
+    return packed(docs).join(places, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("r1", "r2", "text", "places")
+
+
+def _texts(batch: pa.RecordBatch, units: Units) -> Iterator[tuple[int, list, Block, int, int]]:
+    """(row, places, block, first unit, units) of every text of a batch (r1, r2, text, places)."""
+    for block, row, count in blocks(unpacked(batch.column(2)), units.kind):
+        for r in range(count):
+            yield row + r, batch.column(3)[row + r].as_py(), block, int(block.first[r]), int(block.first[r + 1] - block.first[r])
+
+
+def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], weight: Callable[[tuple], int], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for x in rows:
+        out.append(x)
+        size += weight(x) + 64
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _run_texts(docs: DataFrame, pool: DataFrame, units: Units) -> DataFrame:
+    """(r1, r2, run, piece) of the runs of ``pool`` (r1, r2, start, nwin): their units, words parted by one space."""
+    places = pool.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "nwin")).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            r1, r2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+
+            def rows(batch=batch, r1=r1, r2=r2):
+                for r, places, block, first, _ in _texts(batch, units):
+                    for x in places:
+                        p, q = block.cut(first + x["start"], x["nwin"] + units.window - 1)
+                        yield r1[r], r2[r], x["start"], block.line[p:q].tobytes()
 
+            yield from _batched(rows(), ["r1", "r2", "run", "piece"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()], lambda x: len(x[3]))
 
-#: Judges one batch of groups: (anchor hash, texts, how often each is met) -> for each text the recurring windows.
-Judge = Callable[[list[tuple[list, list[int]]], Units], list[list[np.ndarray]]]
+    return _with_places(docs, places).mapInArrow(run, "r1 long, r2 long, run int, piece binary")
+
+
+def _finer(pieces: DataFrame, units: Units, size: int) -> DataFrame:
+    """(h, s, r1, r2, start, nwin, run) of the blocks of at most ``size`` windows of (r1, r2, run, piece, ranges).
+
+    Blocks follow from each window's distance to its anchor, so equal windows lie at the same place of
+    their blocks.  h: what all windows of a block hold (for single windows the window); s: the block.
+    """
+    w = units.window
+
+    def cut(piece: bytes, ranges: list | None, run_: int) -> Iterator[tuple]:
+        raw = np.frombuffer(piece, np.uint8)
+        block = Block(raw, np.array([0, len(raw)]), units.kind)
+        least = _least(anchors(block.values, units.anchor))
+        at = np.flatnonzero(least == least.min())
+        n = len(block.values) - w + 1
+        window = np.arange(n)
+        nearest = np.searchsorted(at, window)
+        place = (at[nearest] - window) // size
+        group = nearest * (w + 1) + place
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        wanted = np.ones(n, bool)
+        if ranges is not None:
+            wanted[:] = False
+            for x in ranges:
+                wanted[x["start"] - run_ : x["start"] - run_ + x["nwin"]] = True
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), n], strict=True):
+            if wanted[a]:
+                p, q = block.cut(a, b - a + w - 1)
+                if size == 1:
+                    both = xxhash.xxh3_128_intdigest(piece[p:q])
+                    yield both >> 64, both & _WRAP, a, b - a
+                    continue
+                # The core follows from the anchor, so that a block which the run cuts short has a whole one's.
+                x, y = block.cut(int(at[nearest[a]]) - size * int(place[a]), w - size + 1)
+                yield xxhash.xxh3_64_intdigest(piece[x:y], int(place[a]) + 1), xxhash.xxh3_64_intdigest(piece[p:q]), a, b - a
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            ranges = batch.column(4).to_pylist()
+            found = [[*cut(p.as_py(), x, r)] for p, x, r in zip(batch.column(3), ranges, batch.column(2).to_pylist(), strict=True)]
+            own = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            flat = [x for y in found for x in y]
+            if not flat:
+                continue
+            h, s, a, n = zip(*flat, strict=True)
+            take = [batch.column(k).take(pa.array(own)) for k in range(3)]
+            start = take[2].to_numpy() + np.array(a, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(np.array(h, np.uint64)), _signed(np.array(s, np.uint64)), take[0], take[1], pa.array(start.astype(np.int32)), pa.array(np.array(n, np.int32)), take[2]],
+                names=["h", "s", "r1", "r2", "start", "nwin", "run"],
+            )
+
+    return pieces.select("r1", "r2", "run", "piece", "ranges").mapInArrow(run, "h long, s long, r1 long, r2 long, start int, nwin int, run int")
+
+
+#: Judges one batch: (places, texts, pairs) -> for each of the first ``own`` cells which windows start anywhere else.
+Judge = Callable[["Batch", Units], list[np.ndarray]]
+
+
+@dataclass
+class Batch:
+    """Cells that meet: texts by (r1, r2, k), those in ``own`` to be judged, in ``twins`` met twice, in ``partners`` of others."""
+
+    texts: dict[tuple, bytes]
+    own: list[tuple]
+    partners: set[tuple]
+    twins: set[tuple]
 
 
 def spans_of(mask: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -201,181 +375,126 @@ def spans_of(mask: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(a), int(b - a) + window - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratch, most: int = 20_000, batch_bytes: int = 384 << 10) -> DataFrame:
-    """(doc, th, spans): for texts that have any, the units covered by a window that starts anywhere else."""
-    w = units.window
-    every = scratch.table("runs", find_runs(docs, units))
-    # Written before the join: both sides are then plain exchanges on h, whose hot partitions Spark splits.
-    shared = scratch.table("shared", every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    kept = scratch.table("kept", every.join(shared, "h"))
-    scratch.drop("runs", "shared")
-    place = F.struct("doc", "th", "start", "nwin")
-    texts = kept.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    texts = scratch.table("texts", texts.select("h", "s", "n", "at.*"))
-    open_ = texts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    open_ = scratch.table("open", open_.select("h", "m"))
-    pool = scratch.table("pool", texts.join(open_, "h"))
-    span = lambda start, n: F.struct(F.col(start).cast("int").alias("a"), n.cast("int").alias("n"))
-    # Hot runs may fill one block of one file, which Spark can't split; at most HOT_RUNS of them are sent to every task instead.
-    often = max(HOT, kept.count() // HOT_RUNS)
-    hot = texts.where(F.col("n") > often).select("h", "s", F.lit(True).alias("hot"))
-    rows = kept.join(F.broadcast(hot), ["h", "s"], "left")
-    copies = texts.where(F.col("n").between(2, often)).select("h", "s")
-    again = rows.where("hot").select(*kept.columns).union(rows.where("hot is null").select(*kept.columns).join(copies, ["h", "s"]).select(*kept.columns))
-    found = [again.select("doc", "th", span("start", F.col("nwin") + (w - 1)).alias("span"))]
-    found.append(_judged(docs, pool.where(F.col("m") <= most), units, judge, batch_bytes))
-    crowded = pool.where(F.col("m") > most)
-    if not crowded.isEmpty():
-        found.append(_counted(docs, crowded, kept, units))
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.union(more)
-    spans = spans.groupBy("doc", "th").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    spans = scratch.table("spans", spans)
-    scratch.drop("kept", "texts", "open", "pool")
-    return spans
+def _cut_cells(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
+    """(r1, r2, k, cell) of the cells ``wanted`` (r1, r2, k): windows that start in one lie in it whole."""
+    places = wanted.groupBy("r1", "r2").agg(F.collect_set("k").alias("places"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            r1, r2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
-def _with_places(docs: DataFrame, pool: DataFrame) -> DataFrame:
-    places = pool.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "n", "start", "nwin")).alias("places"))
-    places = places.withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))
-    # Rows repeated with key and text bring the same pieces: one of them is enough.
-    return packed(docs).join(places, same).dropDuplicates(["doc", "th"]).select("doc", "th", "text", "places")
+            def rows(batch=batch, r1=r1, r2=r2):
+                for r, places, block, first, n in _texts(batch, units):
+                    for k in places:
+                        a = k * units.cell
+                        p, q = block.cut(first + a, min(n - a, units.cell + units.window - 1))
+                        yield r1[r], r2[r], k, block.line[p:q].tobytes()
 
+            yield from _batched(rows(), ["r1", "r2", "k", "cell"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()], lambda x: len(x[3]))
 
-def _pieces(batch: pa.RecordBatch, units: Units):
-    """(row, h, n, start, nwin, block, unit) of every place of a batch (doc, th, text, places)."""
-    column = batch.column(3)
-    at = column.offsets.to_numpy().astype(np.int64)
-    flat = column.values
-    h, n, start, nwin = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-    for block, row, count in blocks(unpacked(batch.column(2)), units.kind):
-        for r in range(count):
-            base = int(block.first[r])
-            for k in range(at[row + r], at[row + r + 1]):
-                yield row + r, int(h[k]), int(n[k]), int(start[k]), int(nwin[k]), block, base + int(start[k])
+    return _with_places(docs, places).mapInArrow(run, "r1 long, r2 long, k int, cell binary")
 
 
-def _judged(docs: DataFrame, pool: DataFrame, units: Units, judge: Judge, batch_bytes: int) -> DataFrame:
-    w = units.window
-    doc_type = dict(docs.dtypes)["doc"]
-    schema = f"h long, n long, doc {doc_type}, th int, start int, nwin int, piece binary"
+def _judged(pairs: DataFrame, units: Units, judge: Judge, batch_bytes: int) -> DataFrame:
+    """(r1, r2, span) of the windows that a judge finds, of rows (r1, r2, k, cell, p1, p2, pk, partner, twin)."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[tuple] = []
-            size = 0
-
-            def flush():
-                cols = list(zip(*out, strict=True))
-                own = pa.array(cols[0])
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), batch.column(0).take(own), batch.column(1).take(own), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())],
-                    names=["h", "n", "doc", "th", "start", "nwin", "piece"],
-                )
-
-            for r, h, n, start, nwin, block, unit in _pieces(batch, units):
-                p, q = block.cut(unit, nwin + w - 1)
-                out.append((r, h, n, start, nwin, block.line[p:q].tobytes()))
-                size += q - p
-                if size > (1 << 20):
-                    yield flush()
-                    out, size = [], 0
-            if out:
-                yield flush()
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by h; groups are judged many at a time, and each whole."""
-        group: list[tuple] = []
-        ready: list[list[tuple]] = []
-        size = 0
-
-        def judged():
-            asked = [([x[4] for x in g], [x[0] for x in g]) for g in ready]
-            out = []
-            for g, masks in zip(ready, judge(asked, units), strict=True):
-                for (n, doc, th, start, _), mask in zip(g, masks, strict=True):
-                    if n == 1 and mask is not None:
-                        out += [(doc, th, (start + a, k)) for a, k in spans_of(mask, w)]
-            return out
-
-        def flush(out):
-            spans = pa.array([{"a": x[2][0], "n": x[2][1]} for x in out], pa.struct([("a", pa.int32()), ("n", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kinds["doc"]), pa.array([x[1] for x in out], pa.int32()), spans], names=["doc", "th", "span"])
-
-        kinds: dict = {}
-        now = None
-        for batch in slices(batches):
-            kinds["doc"] = batch.schema.field("doc").type
-            h = batch.column(0).to_pylist()
-            rest = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4, 6)), strict=True)
-            for key, row in zip(h, rest, strict=True):
-                if key != now:
-                    if group:
-                        ready.append(group)
-                        size += sum(len(x[4]) for x in group)
-                        if size >= batch_bytes:
-                            if out := judged():
-                                yield flush(out)
-                            ready, size = [], 0
-                    group, now = [], key
-                group.append(row)
-        if group:
-            ready.append(group)
-        if ready and (out := judged()):
-            yield flush(out)
-
-    pieces = _with_places(docs, pool).mapInArrow(emit, schema)
-    met = pieces.repartition("h").sortWithinPartitions("h")
-    return met.mapInArrow(decide, f"doc {doc_type}, th int, span struct<a:int,n:int>")
-
-
-def _counted(docs: DataFrame, pool: DataFrame, kept: DataFrame, units: Units) -> DataFrame:
-    """Windows of crowded anchors by a 128-bit hash of their text: counts are combined before the shuffle."""
-    w = units.window
-    doc_type = dict(docs.dtypes)["doc"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size = Batch({}, [], set(), set()), 0
+
+        def verdicts() -> Iterator[tuple]:
+            for (r1, r2, k), mask in zip(now.own, judge(now, units), strict=True):
+                for a, n in spans_of(mask, units.window):
+                    yield r1, r2, {"a": k * units.cell + a, "n": n}
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.struct([("a", pa.int32()), ("n", pa.int32())])]
         for batch in slices(batches):
-            for r, _, n, start, nwin, block, unit in _pieces(batch, units):
-                view = memoryview(block.line)
-                cuts = [block.cut(unit + k, w) for k in range(nwin)]
-                both = [xxhash.xxh3_128_intdigest(view[p:q]) for p, q in cuts]
-                lo = np.array([x & _WRAP for x in both], np.uint64).view(np.int64)
-                hi = np.array([x >> 64 for x in both], np.uint64).view(np.int64)
-                own = pa.array(np.full(nwin, r))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lo), pa.array(hi), pa.array(np.full(nwin, n)), batch.column(0).take(own), batch.column(1).take(own), pa.array(np.arange(start, start + nwin, dtype=np.int32))],
-                    names=["lo", "hi", "n", "doc", "th", "start"],
-                )
-
-    del kept
-    windows = _with_places(docs, pool).mapInArrow(emit, f"lo long, hi long, n long, doc {doc_type}, th int, start int")
-    met = windows.groupBy("lo", "hi").agg(F.sum("n").alias("times")).where("times > 1").select("lo", "hi")
-    one = windows.where("n = 1").join(met, ["lo", "hi"])
-    return one.select("doc", "th", F.struct(F.col("start").alias("a"), F.lit(w).alias("n")).alias("span"))
-
-
-def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, th, text): th tells rows with one key and different texts apart."""
+            columns = [batch.column(k).to_pylist() for k in range(9)]
+            judged: set[tuple] = set(now.own)
+            for r1, r2, k, cell, p1, p2, pk, partner, twin in zip(*columns, strict=True):
+                own, other = (r1, r2, k), (p1, p2, pk)
+                if own not in judged:
+                    judged.add(own)
+                    now.own.append(own)
+                for key, text in ((own, cell), (other, partner)):
+                    if key not in now.texts:
+                        now.texts[key] = text
+                        size += len(text)
+                now.partners.add(other)
+                if twin:
+                    now.twins.add(own)
+                if size >= batch_bytes:
+                    yield from _batched(verdicts(), ["r1", "r2", "span"], kinds, lambda x: 32)
+                    now, size = Batch({}, [], set(), set()), 0
+                    judged = set()
+        if now.own:
+            yield from _batched(verdicts(), ["r1", "r2", "span"], kinds, lambda x: 32)
+
+    columns = ["r1", "r2", "k", "cell", "p1", "p2", "pk", "partner", "twin"]
+    return pairs.select(*columns).mapInArrow(run, "r1 long, r2 long, span struct<a:int,n:int>")
+
+
+def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratch, batch_bytes: int = 384 << 10) -> DataFrame:
+    """(r1, r2, spans): for texts that have any, the units covered by a window that starts anywhere else."""
+    source = docs.select("r1", "r2", "text")
+    every = scratch.table("runs", find_runs(source, units))
+    shared = every.groupBy("h").agg(F.count("*").alias("c"), F.max("turns").alias("t")).where("c > 1 or t").select("h")
+    shared = scratch.table("shared", shared)
+    # Dealt by text: rows of a hot run then lie in many files, so that Spark can split the joins that they meet in.
+    kept = scratch.table("kept", every.join(shared, "h").repartition("r1", "r2"))
+    scratch.drop("runs", "shared")
+    met = scratch.table("met", _met(kept, "nwin", "turns"))
+    cells = [_cells(_partners(kept, met), units.cell)]
+    undecided = F.max((F.col("n") == 1) & F.col("lo.turns"))
+    open_ = met.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least"), undecided.alias("t")).where("(m > 1 and least = 1) or t")
+    pool = met.join(scratch.table("open", open_.select("h")), "h").select("lo.*")
+    pieces = scratch.table("pieces", _run_texts(source, pool, units))
+    ranged = pieces.withColumn("ranges", F.lit(None).cast("array<struct<start:int,nwin:int>>"))
+    for size in units.finer:
+        rows = scratch.table(f"rows{size}", _finer(ranged, units, size))
+        found = scratch.table(f"met{size}", _met(rows, "nwin", "run"))
+        cells.append(_cells(_partners(rows, found), units.cell))
+        if size == 1:
+            break
+        open_ = found.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+        left = found.join(scratch.table(f"open{size}", open_.select("h")), "h").select("lo.*")
+        ranges = left.groupBy("r1", "r2", "run").agg(F.collect_list(F.struct("start", "nwin")).alias("ranges"))
+        ranged = pieces.join(scratch.table(f"left{size}", ranges), ["r1", "r2", "run"])
+    edges = cells[0]
+    for more in cells[1:]:
+        edges = edges.union(more)
+    edges = scratch.table("edges", edges)
+    scratch.keep("edges")
+    wanted = edges.select("r1", "r2", "k").union(edges.select("p1", "p2", "pk")).distinct()
+    texts = scratch.table("cells", _cut_cells(source, wanted, units))
+    own = edges.join(texts, ["r1", "r2", "k"])
+    own = scratch.table("own", own)
+    partner = texts.select(F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.col("k").alias("pk"), F.col("cell").alias("partner"))
+    judged = _judged(own.join(partner, ["p1", "p2", "pk"]), units, judge, batch_bytes)
+    spans = scratch.table("spans", judged.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("span")).alias("spans")))
+    scratch.keep("spans")
+    return spans
+
+
+def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id", *more: str) -> DataFrame:
+    """(doc, r1, r2, more, text): r1 and r2, 128 bits of key and text, tell rows apart that differ in either."""
     body = text_of(text)
-    return docs.select(F.col(key).alias("doc"), F.hash(body).alias("th"), body.alias("text"))
+    one, two = F.xxhash64(body, F.col(key)), F.xxhash64(F.lit(7), F.col(key).isNull(), F.col(key), body)
+    return docs.select(F.col(key).alias("doc"), one.alias("r1"), two.alias("r2"), *more, body.alias("text"))
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(doc, th, text) with each text compressed by itself: what joins on doc then shuffles and spills less."""
-    kind = dict(docs.dtypes)["doc"]
+    """``docs`` with each text, its last column, compressed by itself: what is joined then shuffles and spills less."""
+    kinds = ", ".join(f"{c} {t}" for c, t in docs.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches):
-            raw, at = utf8(batch.column(2))
+            raw, at = utf8(batch.column(batch.num_columns - 1))
             view = memoryview(raw)
             small = pa.array([squeeze(view[p:q]) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small], names=["doc", "th", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], small], names=batch.schema.names)
 
-    return docs.mapInArrow(run, f"doc {kind}, th int, text binary")
+    return docs.mapInArrow(run, f"{kinds}, text binary")
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -384,9 +503,8 @@ def unpacked(column: pa.Array) -> pa.Array:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc, th and the packed text of ``docs``, and the spans of the text or null."""
-    spans = spans.withColumnsRenamed({"doc": "_doc", "th": "_th"})
-    return packed(docs).join(spans, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left").drop("_doc", "_th")
+    """(doc, text, spans): the packed text of every row of ``docs``, and the spans of the text or null."""
+    return packed(docs).join(spans, ["r1", "r2"], "left").select("doc", "text", "spans")
 
 
 def removed(n: int, spans) -> np.ndarray:
@@ -399,4 +517,4 @@ def removed(n: int, spans) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-__all__ = ["Units", "Block", "runs", "recurring_spans", "keyed", "with_spans", "unpacked", "removed", "spans_of"]
+__all__ = ["Units", "Block", "Batch", "runs", "recurring_spans", "keyed", "with_spans", "unpacked", "removed", "spans_of"]
