@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.recurrence import Units, keyed, recurring_spans, removed, unpacked, with_spans
-from chronofold.llm.shared import Scratch, slices, text_of, utf8, whole_row
+from chronofold.llm.recurrence import Batch, Units, keyed, recurring_spans, removed, unpacked, with_spans
+from chronofold.llm.shared import Scratch, slices, utf8, whole_row
 
 #: Symbols that are packed into one 63-bit number for the first sort, 9 bits each.
 _PACK = 7
@@ -125,8 +125,8 @@ def deep_boundaries(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.nd
     return ~known[:n]
 
 
-def recurring_windows(texts: list[bytes], times: list[int], window: int) -> list[np.ndarray]:
-    """For each text, which of its windows start anywhere else; a text met several times recurs in full."""
+def recurring_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
+    """For each text, which of its windows start anywhere else in all of them."""
     sizes = np.array([len(x) for x in texts], np.int64)
     line = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -137,47 +137,43 @@ def recurring_windows(texts: list[bytes], times: list[int], window: int) -> list
     shared[:-1] |= deep[1:]
     mark = np.zeros(len(line), bool)
     mark[order[shared]] = True
-    out = []
-    for k, (a, size) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=False)):
-        found = mark[a : a + max(0, size - window + 1)]
-        out.append(np.ones_like(found) if times[k] > 1 else found)
-    return out
+    return [mark[a : a + max(0, size - window + 1)] for a, size in zip(begin.tolist(), sizes.tolist(), strict=False)]
 
 
-def judge(groups, units: Units) -> list[list[np.ndarray]]:
-    """All groups of a batch share one array: what recurs, recurs within its own group."""
-    texts = [x for g, _ in groups for x in g]
-    times = [n for _, t in groups for n in t]
-    found = recurring_windows(texts, times, units.window)
-    out, at = [], 0
-    for g, _ in groups:
-        out.append(found[at : at + len(g)])
-        at += len(g)
-    return out
+def judge(batch: Batch, units: Units) -> list[np.ndarray]:
+    """All cells of a batch share one array, each once (the twins, of rows that are repeated, twice)."""
+    own = set(batch.own)
+    others = [x for key, x in batch.texts.items() if key not in own] + [batch.texts[key] for key in batch.twins]
+    found = recurring_windows([batch.texts[key] for key in batch.own] + others, units.window)
+    return found[: len(batch.own)]
 
 
-def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32, most: int = 20_000) -> DataFrame:
-    """Every row of ``docs`` as (doc, th, packed text, spans): the bytes that ``window``-byte strings which start anywhere else cover.
+#: Windows of the blocks that runs met once are cut into, and bytes of a cell.
+FINER, CELL = (16, 1), 512
+
+
+def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32) -> DataFrame:
+    """Every row of ``docs`` as (doc, packed text, spans): the bytes that ``window``-byte strings which start anywhere else cover.
 
     Matches stay within one text, texts are UTF-8, null is empty, and all is judged on the input.
     Empty table: no rows.  A text shorter than the window: no spans.  Rows repeated with key and
-    text: each is elsewhere for the other, so both lose all.  Other columns are ignored.
+    text: each is elsewhere for the other, so both lose all.  Very long texts: judged by cells of
+    ``CELL`` bytes.  Other columns are ignored, whatever their names.
     """
-    units = Units("bytes", window, anchor)
     source = keyed(docs, text, key)
-    return with_spans(source, recurring_spans(source, units, judge, scratch, most))
+    return with_spans(source, recurring_spans(source, Units("bytes", window, anchor, CELL, FINER), judge, scratch))
 
 
-def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32, most: int = 20_000) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept) for every row; kept is binary."""
-    marked = repeated_bytes(docs, scratch, window, text, key, anchor, most)
+    marked = repeated_bytes(docs, scratch, window, text, key, anchor)
     kind = dict(marked.dtypes)["doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            raw, at = utf8(unpacked(batch.column(2)))
+            raw, at = utf8(unpacked(batch.column(1)))
             sizes, gone, count, kept = [], [], [], []
-            for k, spans in enumerate(batch.column(3)):
+            for k, spans in enumerate(batch.column(2)):
                 part = raw[at[k] : at[k + 1]]
                 pairs = [(x["a"], x["n"]) for x in spans.as_py() or ()]
                 mask = removed(len(part), pairs)
@@ -193,19 +189,18 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200,
     return marked.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def strip_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", length: str = "n_chars", anchor: int = 32, most: int = 20_000) -> DataFrame:
+def strip_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", length: str = "n_chars", anchor: int = 32) -> DataFrame:
     """``docs`` with the repeated bytes taken out of its text; all columns and rows stay.
 
     Of a character that a removed span cuts, the remaining bytes go too.  ``length``, where there is
     such a column, becomes the new number of characters of a text that lost any.  Null text stays null.
     """
-    units = Units("bytes", window, anchor)
-    spans = recurring_spans(keyed(docs, text, key), units, judge, scratch, most)
+    source = keyed(docs, text, key)
+    spans = recurring_spans(source, Units("bytes", window, anchor, CELL, FINER), judge, scratch)
     columns = docs.columns
-    same = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash"))
-    spans = spans.withColumnsRenamed({"doc": "_doc", "th": "_th", "spans": "_spans"})
-    rows = docs.select(whole_row(docs), F.col(key).alias("_key"), F.hash(text_of(text)).alias("_hash"))
-    joined = rows.join(spans, same, "left").select("_row", "_spans")
+    spans = spans.withColumnsRenamed({"r1": "_r1", "r2": "_r2", "spans": "_spans"})
+    ids = keyed(docs.select(whole_row(docs), F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "_key", "_row")
+    joined = ids.withColumnsRenamed({"r1": "_r1", "r2": "_r2"}).join(spans, ["_r1", "_r2"], "left").select("_row", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
