@@ -276,29 +276,94 @@ def _brute_cover(seqs, w):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 2])
-def test_hot_runs(spark, docs, rows, monkeypatch, hot):
-    """Runs that are sent to every task give the same rows as runs that are joined."""
-    plain = suffix.remove_repeated_bytes(docs, Scratch(spark, "t")).select("doc_id", "n_removed", "kept").collect()
-    monkeypatch.setattr("chronofold.llm.recurrence.HOT", hot)
-    found = suffix.remove_repeated_bytes(docs, Scratch(spark, "t")).select("doc_id", "n_removed", "kept").collect()
-    assert sorted(map(repr, found)) == sorted(map(repr, plain)) and sum(r["n_removed"] for r in found) > 0
+_PERIODIC = ["ab" * 120, "a" * 5000, "a" * 700 + "b" + "a" * 700, "".join(f"{k} " for k in range(1000, 1700)) * 3, "word " * 400, "x y z " * 300 + "end " + "y z x " * 90]
 
 
-@pytest.mark.parametrize(("window", "anchor", "most"), [(200, 32, 20_000), (200, 32, 1), (40, 16, 2), (33, 32, 20_000)])
-def test_repeated_bytes(spark, docs, rows, empty, window, anchor, most):
+def _bytes_expected(rows, window):
     seqs = [(r[1] or "").encode() for r in rows]
-    marks = _brute_cover(seqs, window)
     expect = Counter()
-    for r, s, m in zip(rows, seqs, marks, strict=True):
+    for r, s, m in zip(rows, seqs, _brute_cover(seqs, window), strict=True):
         spans = sum(1 for i, x in enumerate(m) if x and (i == 0 or not m[i - 1]))
         expect[(r[0], len(s), sum(m), spans, bytes(b for b, x in zip(s, m, strict=True) if not x))] += 1
-    found = suffix.remove_repeated_bytes(docs, Scratch(spark, "t"), window=window, anchor=anchor, most=most)
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found.collect())
-    assert got == expect
+    return expect
+
+
+def _bytes_found(table, scratch, **how):
+    found = suffix.remove_repeated_bytes(table, scratch, **how).collect()
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found)
+
+
+def _words_expected(rows, window):
+    seqs = [tuple((r[1] or "").encode().split()) for r in rows]
+    marks = _brute_cover(seqs, window)
+    return Counter((r[0], len(s), sum(m), b" ".join(x for x, y in zip(s, m, strict=True) if not y).decode()) for r, s, m in zip(rows, seqs, marks, strict=True))
+
+
+@pytest.mark.parametrize(("window", "anchor", "cell"), [(200, 32, 512), (40, 16, 64), (33, 32, 50), (200, 32, 7)])
+def test_repeated_bytes(spark, docs, rows, empty, window, anchor, cell, monkeypatch):
+    monkeypatch.setattr(suffix, "CELL", cell)
+    assert _bytes_found(docs, Scratch(spark, "t"), window=window, anchor=anchor) == _bytes_expected(rows, window)
     assert suffix.remove_repeated_bytes(empty, Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("longest", [2048, 100])
+def test_repeats_in_periodic_text(spark, longest, monkeypatch):
+    """Each periodic text by itself, and all together; few runs stand for many windows."""
+    monkeypatch.setattr(recurrence, "LONGEST", longest)
+    for texts in (_PERIODIC[:1], _PERIODIC[2:3], _PERIODIC):
+        rows = list(enumerate(texts))
+        table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert _bytes_found(table, Scratch(spark, "t")) == _bytes_expected(rows, 200)
+        found = phrases.remove_repeated_words(table, Scratch(spark, "t"))
+        assert _rows(found, "doc_id", "n_words", "n_removed", "kept") == _words_expected(rows, 35)
+    block = recurrence.Block(np.frombuffer(b"a" * 100_000, np.uint8), np.array([0, 100_000]), "bytes")
+    assert len(recurrence.runs(block.values, block.first, 200, 32)[1]) <= 100_000 // longest + 1
+
+
+def _near_misses(n, seed, words=False):
+    """Many texts around one common passage: copies of it, cut and edited at every distance."""
+    rng = random.Random(seed)
+    core = [f"c{k}" for k in range(60)]
+    out = []
+    for _ in range(n):
+        a, b = rng.randrange(20), rng.randrange(30, 60)
+        part = core[a:b]
+        if rng.random() < 0.5:
+            part[rng.randrange(len(part))] = f"edit{rng.randrange(40)}"
+        left, right = ([f"{x}{rng.randrange(6)}" for _ in range(rng.randrange(4))] for x in "lr")
+        out.append(" ".join(left + part + right))
+    return list(enumerate(out))
+
+
+def test_many_surroundings_of_one_anchor(spark):
+    rows = _near_misses(1500, 1)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = phrases.remove_repeated_words(table, Scratch(spark, "t"), window=25)
+    assert _rows(found, "doc_id", "n_words", "n_removed", "kept") == _words_expected(rows, 25)
+    assert _bytes_found(table, Scratch(spark, "t"), window=100) == _bytes_expected(rows, 100)
+
+
+def test_judges_decide(spark, docs, monkeypatch):
+    """Nothing goes by hashes alone: without the judges' finds nothing is removed."""
+    blind = lambda batch, units, *more: [np.zeros(max(0, len(batch.texts[k])), bool) for k in batch.own]
+    monkeypatch.setattr(suffix, "judge", blind)
+    monkeypatch.setattr(phrases, "judge", blind)
+    assert suffix.remove_repeated_bytes(docs, Scratch(spark, "t")).where("n_removed > 0").isEmpty()
+    assert phrases.remove_repeated_words(docs, Scratch(spark, "t")).where("n_removed > 0").isEmpty()
+
+
+def test_clashing_hashes(spark, docs, rows, monkeypatch):
+    """Hashes of a few bits make cells meet for nothing, and remove nothing for it."""
+    expect = _bytes_expected(rows, 200)
+    found = _bytes_found(docs, Scratch(spark, "t"))
+    assert found == expect
+    weak = recurrence.find_runs
+    monkeypatch.setattr(recurrence, "find_runs", lambda d, u: weak(d, u).withColumn("s", F.pmod("s", F.lit(4))))
+    for r in suffix.remove_repeated_bytes(docs, Scratch(spark, "t")).collect():
+        whole = [x for x in expect if x[0] == r["doc_id"] and x[1] == r["n_bytes"]]
+        assert r["n_removed"] <= max(x[2] for x in whole)
+
+
 def test_strip_repeated_bytes(spark, docs, rows, empty):
     marks = _brute_cover([(r[1] or "").encode() for r in rows], 200)
     expect = Counter()
@@ -311,43 +376,56 @@ def test_strip_repeated_bytes(spark, docs, rows, empty):
     assert suffix.strip_repeated_bytes(empty, Scratch(spark, "t")).count() == 0
 
 
-@pytest.mark.parametrize(("window", "anchor", "most"), [(35, 8, 20_000), (35, 8, 1), (5, 4, 2)])
-def test_repeated_words(spark, docs, rows, empty, window, anchor, most):
-    seqs = [tuple((r[1] or "").encode().split()) for r in rows]
-    marks = _brute_cover(seqs, window)
-    expect = Counter((r[0], len(s), sum(m), b" ".join(x for x, y in zip(s, m, strict=True) if not y).decode()) for r, s, m in zip(rows, seqs, marks, strict=True))
-    found = phrases.remove_repeated_words(docs, Scratch(spark, "t"), window=window, anchor=anchor, most=most)
-    assert _rows(found, "doc_id", "n_words", "n_removed", "kept") == expect
+@pytest.mark.parametrize(("window", "anchor", "cell"), [(35, 8, 128), (5, 4, 16), (35, 8, 3)])
+def test_repeated_words(spark, docs, rows, empty, window, anchor, cell, monkeypatch):
+    monkeypatch.setattr(phrases, "CELL", cell)
+    found = phrases.remove_repeated_words(docs, Scratch(spark, "t"), window=window, anchor=anchor)
+    assert _rows(found, "doc_id", "n_words", "n_removed", "kept") == _words_expected(rows, window)
     assert phrases.remove_repeated_words(empty, Scratch(spark, "t")).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=60).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=6), st.integers(3, 12))
 def test_interval_expansion(texts, window):
-    texts = list(dict.fromkeys(texts))
     met = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
-    found = suffix.recurring_windows(texts, [1] * len(texts), window)
+    found = suffix.recurring_windows(texts, window)
     for t, mask in zip(texts, found, strict=True):
         assert mask.tolist() == [met[t[i : i + window]] > 1 for i in range(len(t) - window + 1)]
 
 
+def _cells_of(texts, own):
+    keys = [(k, 0, 0) for k in range(len(texts))]
+    return recurrence.Batch(dict(zip(keys, texts, strict=True)), keys[:own], set(keys), set())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([b"a", b"bb", b"c"]), min_size=4, max_size=30), min_size=1, max_size=5), st.integers(1, 3))
 def test_phrase_automata(lists, shard):
-    texts = list(dict.fromkeys(b" ".join(x) for x in lists))
-    units = recurrence.Units("words", 4, 2)
-    found = phrases.judge([(texts, [1] * len(texts))], units, shard)[0]
+    texts = [b" ".join(x) for x in lists]
+    units = recurrence.Units("words", 4, 2, 128, (1,))
+    found = phrases.judge(_cells_of(texts, len(texts)), units, shard)
     seqs = [tuple(t.split()) for t in texts]
     met = Counter(s[i : i + 4] for s in seqs for i in range(len(s) - 3))
     for s, mask in zip(seqs, found, strict=True):
         assert mask.tolist() == [met[s[i : i + 4]] > 1 for i in range(len(s) - 3)]
 
 
+def test_automata_tell_any_number_of_words_apart():
+    """More different words in one batch than there are code points."""
+    words = [b"w%d" % k for k in range(1_250_000)]
+    tail = words[-40:]
+    batch = _cells_of([b" ".join(words), b" ".join([b"x", *tail, b"y"])], 2)
+    batch.partners = {(1, 0, 0)}
+    units = recurrence.Units("words", 35, 8, 128, (1,))
+    first, second = phrases.judge(batch, units)
+    assert np.flatnonzero(first).tolist() == list(range(len(words) - 40, len(words) - 34)) and not second.any()
+
+
 def test_runs_see_every_window():
     rng = np.random.default_rng(1)
     values = rng.integers(0, 4, 5000).astype(np.uint64)
     first = np.array([0, 3, 3, 900, 2500, 5000])
-    _, at, size = recurrence.runs(recurrence._mixed(values + np.uint64(1)), first, 50, 8)
+    _, at, size, _ = recurrence.runs(recurrence._mixed(values + np.uint64(1)), first, 50, 8)
     covered = sorted(i for a, n in zip(at, size, strict=True) for i in range(a, a + n))
     assert covered == [i for a, b in zip(first, first[1:], strict=False) for i in range(a, b - 49)]
 
