@@ -15,7 +15,7 @@ from chronofold.llm.shared import Scratch, slices
 #: Phrases in one automaton; more go to further automata, so memory is bounded.
 SHARD = 20_000
 #: Windows of the blocks that runs met once are cut into, and words of a cell.
-FINER, CELL = (1,), 128
+FINER, CELL = (8, 1), 512
 
 
 def judge(batch: Batch, units: Units, shard: int = SHARD) -> list[np.ndarray]:

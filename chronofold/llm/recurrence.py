@@ -113,6 +113,10 @@ class Block:
         x = (sums[self.ends] - sums[self.starts]) * back[self.starts] + sizes.astype(np.uint64) * _MIX
         self.values = _mixed(x)
 
+    def bounds(self, unit: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the line that n units from each unit take up."""
+        return (unit, unit + n) if self.starts is None else (self.starts[unit], self.ends[unit + n - 1])
+
     def cut(self, unit: int, n: int) -> tuple[int, int]:
         if self.starts is None:
             return unit, unit + n
@@ -248,14 +252,18 @@ def _partners(rows: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _cells(partners: DataFrame, cell: int) -> DataFrame:
-    """(r1, r2, k, p1, p2, pk, twin): the cells of windows and of their partners, each pair once; twin: of one place."""
+    """(r1, r2, k, p1, p2, pk, a, b, twin): the cells of windows and of their partners, each pair once.
+
+    a and b: the least and, past it, the greatest window of the cell; twin: both are of one place.
+    """
     div = lambda x: F.floor(x / cell).cast("int")
     stop = F.col("start") + F.col("nwin")
     rows = partners.select("*", F.explode(F.sequence(div(F.col("start")), div(stop - 1))).alias("k"))
+    low, high = F.greatest("start", F.col("k") * cell), F.least(stop, (F.col("k") + 1) * cell)
     shift = F.col("pstart") - F.col("start")
-    low, high = F.greatest("start", F.col("k") * cell) + shift, F.least(stop, (F.col("k") + 1) * cell) + shift
-    rows = rows.select("r1", "r2", "k", "p1", "p2", F.explode(F.sequence(div(low), div(high - 1))).alias("pk"), ((F.col("r1") == F.col("p1")) & (F.col("r2") == F.col("p2")) & (shift == 0)).alias("twin"))
-    return rows.groupBy("r1", "r2", "k", "p1", "p2", "pk").agg(F.max("twin").alias("twin"))
+    same = (F.col("r1") == F.col("p1")) & (F.col("r2") == F.col("p2")) & (shift == 0)
+    rows = rows.select("r1", "r2", "k", "p1", "p2", low.alias("a"), high.alias("b"), same.alias("twin"), F.explode(F.sequence(div(low + shift), div(high + shift - 1))).alias("pk"))
+    return rows.groupBy("r1", "r2", "k", "p1", "p2", "pk").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("twin").alias("twin"))
 
 
 def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -309,56 +317,62 @@ def _finer(pieces: DataFrame, units: Units, size: int) -> DataFrame:
     """
     w = units.window
 
-    def cut(piece: bytes, ranges: list | None, run_: int) -> Iterator[tuple]:
-        raw = np.frombuffer(piece, np.uint8)
-        block = Block(raw, np.array([0, len(raw)]), units.kind)
-        least = _least(anchors(block.values, units.anchor))
-        at = np.flatnonzero(least == least.min())
-        n = len(block.values) - w + 1
-        window = np.arange(n)
-        nearest = np.searchsorted(at, window)
-        place = (at[nearest] - window) // size
-        group = nearest * (w + 1) + place
-        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        wanted = np.ones(n, bool)
-        if ranges is not None:
-            wanted[:] = False
-            for x in ranges:
-                wanted[x["start"] - run_ : x["start"] - run_ + x["nwin"]] = True
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), n], strict=True):
-            if wanted[a]:
-                p, q = block.cut(a, b - a + w - 1)
-                if size == 1:
-                    both = xxhash.xxh3_128_intdigest(piece[p:q])
-                    yield both >> 64, both & _WRAP, a, b - a
-                    continue
-                # The core follows from the anchor, so that a block which the run cuts short has a whole one's.
-                x, y = block.cut(int(at[nearest[a]]) - size * int(place[a]), w - size + 1)
-                yield xxhash.xxh3_64_intdigest(piece[x:y], int(place[a]) + 1), xxhash.xxh3_64_intdigest(piece[p:q]), a, b - a
+    def cut(block: Block, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first unit, windows, anchor, distance to it in blocks) of the blocks of some pieces."""
+        n = len(block.values)
+        least = np.full(n, np.uint64(_WRAP))
+        found = _least(anchors(block.values, units.anchor))
+        least[: len(found)] = found
+        sizes = np.diff(block.first)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        to_end = block.first[1:][owner] - np.arange(n)
+        least[to_end < units.anchor] = _WRAP  # these reach into the next piece
+        lowest = np.minimum.reduceat(least, block.first[:-1])
+        place = np.where(least == lowest[owner], np.arange(n), n)
+        place = np.minimum.accumulate(place[::-1])[::-1]
+        ok = (to_end >= w) & wanted
+        part = (place - np.arange(n)) // size
+        edge = ok.copy()
+        edge[1:] &= ~ok[:-1] | (place[1:] != place[:-1]) | (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(edge)
+        return at, np.add.reduceat(ok.astype(np.int64), at) if len(at) else at, place[at], part[at], owner[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            ranges = batch.column(4).to_pylist()
-            found = [[*cut(p.as_py(), x, r)] for p, x, r in zip(batch.column(3), ranges, batch.column(2).to_pylist(), strict=True)]
-            own = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
-            flat = [x for y in found for x in y]
-            if not flat:
-                continue
-            h, s, a, n = zip(*flat, strict=True)
-            take = [batch.column(k).take(pa.array(own)) for k in range(3)]
-            start = take[2].to_numpy() + np.array(a, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [_signed(np.array(h, np.uint64)), _signed(np.array(s, np.uint64)), take[0], take[1], pa.array(start.astype(np.int32)), pa.array(np.array(n, np.int32)), take[2]],
-                names=["h", "s", "r1", "r2", "start", "nwin", "run"],
-            )
+        whole, core = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
+        for batch in slices(batches):
+            ranges, starts = batch.column(4).to_pylist(), batch.column(2).to_numpy()
+            for block, row, count in blocks(batch.column(3), units.kind):
+                wanted = np.ones(len(block.values), bool)
+                for r in range(count):
+                    if ranges[row + r] is not None:
+                        base = int(block.first[r]) - int(starts[row + r])
+                        wanted[block.first[r] : block.first[r + 1]] = False
+                        for x in ranges[row + r]:
+                            wanted[base + x["start"] : base + x["start"] + x["nwin"]] = True
+                at, n, place, part, owner = cut(block, wanted)
+                if not len(at):
+                    continue
+                view = memoryview(block.line)
+                p, q = block.bounds(at, n + w - 1)
+                pairs = zip(p.tolist(), q.tolist(), strict=True)
+                if size == 1:
+                    both = [xxhash.xxh3_128_intdigest(view[x:y]) for x, y in pairs]
+                    h, s = [x >> 64 for x in both], [x & _WRAP for x in both]
+                else:
+                    s = [whole(view[x:y]) for x, y in pairs]
+                    # The core follows from the anchor, so that a block which the run cuts short has a whole one's.
+                    p, q = block.bounds(place - size * part, np.full(len(at), w - size + 1))
+                    h = [core(view[x:y], k + 1) for x, y, k in zip(p.tolist(), q.tolist(), part.tolist(), strict=True)]
+                take = [batch.column(k).take(pa.array(owner + row)) for k in range(3)]
+                start = take[2].to_numpy() + (at - block.first[owner])
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(np.array(h, np.uint64)), _signed(np.array(s, np.uint64)), take[0], take[1], pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), take[2]],
+                    names=["h", "s", "r1", "r2", "start", "nwin", "run"],
+                )
 
     return pieces.select("r1", "r2", "run", "piece", "ranges").mapInArrow(run, "h long, s long, r1 long, r2 long, start int, nwin int, run int")
 
 
-#: Judges one batch: (places, texts, pairs) -> for each of the first ``own`` cells which windows start anywhere else.
-Judge = Callable[["Batch", Units], list[np.ndarray]]
-
-
 @dataclass
 class Batch:
     """Cells that meet: texts by (r1, r2, k), those in ``own`` to be judged, in ``twins`` met twice, in ``partners`` of others."""
@@ -369,6 +383,10 @@ class Batch:
     twins: set[tuple]
 
 
+#: Judges one batch: for each of its own cells which windows start anywhere else.
+Judge = Callable[[Batch, Units], list[np.ndarray]]
+
+
 def spans_of(mask: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Runs of marked windows as (first unit, units)."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
@@ -376,61 +394,65 @@ def spans_of(mask: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _cut_cells(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """(r1, r2, k, cell) of the cells ``wanted`` (r1, r2, k): windows that start in one lie in it whole."""
-    places = wanted.groupBy("r1", "r2").agg(F.collect_set("k").alias("places"))
+    """(r1, r2, k, a, cell) of the cells ``wanted`` (r1, r2, k, a, b): the text of the windows from a to b."""
+    places = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("k", "a", "b")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             r1, r2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
             def rows(batch=batch, r1=r1, r2=r2):
-                for r, places, block, first, n in _texts(batch, units):
-                    for k in places:
-                        a = k * units.cell
-                        p, q = block.cut(first + a, min(n - a, units.cell + units.window - 1))
-                        yield r1[r], r2[r], k, block.line[p:q].tobytes()
+                for r, places, block, first, _ in _texts(batch, units):
+                    for x in places:
+                        p, q = block.cut(first + x["a"], x["b"] - x["a"] + units.window - 1)
+                        yield r1[r], r2[r], x["k"], x["a"], block.line[p:q].tobytes()
 
-            yield from _batched(rows(), ["r1", "r2", "k", "cell"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()], lambda x: len(x[3]))
+            yield from _batched(rows(), ["r1", "r2", "k", "a", "cell"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], lambda x: len(x[4]))
 
-    return _with_places(docs, places).mapInArrow(run, "r1 long, r2 long, k int, cell binary")
+    return _with_places(docs, places).mapInArrow(run, "r1 long, r2 long, k int, a int, cell binary")
 
 
-def _judged(pairs: DataFrame, units: Units, judge: Judge, batch_bytes: int) -> DataFrame:
-    """(r1, r2, span) of the windows that a judge finds, of rows (r1, r2, k, cell, p1, p2, pk, partner, twin)."""
+def _judged(cells: DataFrame, partners: DataFrame, units: Units, judge: Judge, batch_bytes: int) -> DataFrame:
+    """(r1, r2, span) of the windows that a judge finds in ``cells`` (r1, r2, k, a, cell).
+
+    ``partners``: (r1, r2, k, p1, p2, pk, twin, cell), the texts that each cell meets.  Cells of a text come
+    one after the other (a longer text in parts), so that what its cells meet is there once for all.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    own = cells.select("r1", "r2", "k", none("long").alias("p1"), none("long").alias("p2"), none("int").alias("pk"), F.lit(False).alias("twin"), "a", "cell")
+    rows = own.union(partners.select("r1", "r2", "k", "p1", "p2", "pk", "twin", F.lit(0).alias("a"), "cell"))
+    rows = rows.repartition("r1", "r2", F.floor(F.col("k") / 64)).sortWithinPartitions("r1", "r2", "k", "p1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, size = Batch({}, [], set(), set()), 0
+        now, first, size = Batch({}, [], set(), set()), {}, 0
 
         def verdicts() -> Iterator[tuple]:
-            for (r1, r2, k), mask in zip(now.own, judge(now, units), strict=True):
+            for key, mask in zip(now.own, judge(now, units), strict=True):
                 for a, n in spans_of(mask, units.window):
-                    yield r1, r2, {"a": k * units.cell + a, "n": n}
+                    yield key[0], key[1], {"a": first[key] + a, "n": n}
 
         kinds = [pa.int64(), pa.int64(), pa.struct([("a", pa.int32()), ("n", pa.int32())])]
         for batch in slices(batches):
-            columns = [batch.column(k).to_pylist() for k in range(9)]
-            judged: set[tuple] = set(now.own)
-            for r1, r2, k, cell, p1, p2, pk, partner, twin in zip(*columns, strict=True):
-                own, other = (r1, r2, k), (p1, p2, pk)
-                if own not in judged:
-                    judged.add(own)
-                    now.own.append(own)
-                for key, text in ((own, cell), (other, partner)):
-                    if key not in now.texts:
-                        now.texts[key] = text
-                        size += len(text)
-                now.partners.add(other)
-                if twin:
-                    now.twins.add(own)
-                if size >= batch_bytes:
-                    yield from _batched(verdicts(), ["r1", "r2", "span"], kinds, lambda x: 32)
-                    now, size = Batch({}, [], set(), set()), 0
-                    judged = set()
+            for r1, r2, k, p1, p2, pk, twin, a, cell in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                key = (r1, r2, k)
+                if p1 is None:  # nulls come first: a cell, then what it meets
+                    if size >= batch_bytes:
+                        yield from _batched(verdicts(), ["r1", "r2", "span"], kinds, lambda x: 32)
+                        now, first, size = Batch({}, [], set(), set()), {}, 0
+                    now.own.append(key)
+                    first[key] = a
+                else:
+                    if twin:
+                        now.twins.add(key)
+                    key = (p1, p2, pk)
+                    now.partners.add(key)
+                if key not in now.texts:
+                    now.texts[key] = cell
+                    size += len(cell)
         if now.own:
             yield from _batched(verdicts(), ["r1", "r2", "span"], kinds, lambda x: 32)
 
-    columns = ["r1", "r2", "k", "cell", "p1", "p2", "pk", "partner", "twin"]
-    return pairs.select(*columns).mapInArrow(run, "r1 long, r2 long, span struct<a:int,n:int>")
+    return rows.mapInArrow(run, "r1 long, r2 long, span struct<a:int,n:int>")
 
 
 def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratch, batch_bytes: int = 384 << 10) -> DataFrame:
@@ -464,12 +486,11 @@ def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratc
         edges = edges.union(more)
     edges = scratch.table("edges", edges)
     scratch.keep("edges")
-    wanted = edges.select("r1", "r2", "k").union(edges.select("p1", "p2", "pk")).distinct()
+    # A partner's windows met others too, so its cell is among the own ones, and holds them.
+    wanted = edges.groupBy("r1", "r2", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     texts = scratch.table("cells", _cut_cells(source, wanted, units))
-    own = edges.join(texts, ["r1", "r2", "k"])
-    own = scratch.table("own", own)
-    partner = texts.select(F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.col("k").alias("pk"), F.col("cell").alias("partner"))
-    judged = _judged(own.join(partner, ["p1", "p2", "pk"]), units, judge, batch_bytes)
+    partner = texts.select(F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.col("k").alias("pk"), "cell")
+    judged = _judged(texts, edges.select("r1", "r2", "k", "p1", "p2", "pk", "twin").join(partner, ["p1", "p2", "pk"]), units, judge, batch_bytes)
     spans = scratch.table("spans", judged.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("span")).alias("spans")))
     scratch.keep("spans")
     return spans

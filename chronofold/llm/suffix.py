@@ -25,7 +25,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | padded[k : k + n]
     ends = np.concatenate([np.cumsum(padded == 0), [0]])
     single = ends[_PACK - 1 : _PACK - 1 + n] != np.concatenate([[0], ends[: n - 1]])  # an end is within reach
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     new = np.ones(n, bool)
     new[1:] = (sorted_[1:] != sorted_[:-1]) | single[order[1:]] | single[order[:-1]]
@@ -39,7 +39,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         at = np.flatnonzero(tied)
         who = order[at]
         nxt = rank[np.minimum(who + size, n - 1)]
-        again = np.argsort(rank[who] * (n + 1) + nxt, kind="stable")
+        again = np.argsort(rank[who] * (n + 1) + nxt)
         who, nxt = who[again], nxt[again]
         order[at] = who
         old = rank[who]
@@ -149,7 +149,7 @@ def judge(batch: Batch, units: Units) -> list[np.ndarray]:
 
 
 #: Windows of the blocks that runs met once are cut into, and bytes of a cell.
-FINER, CELL = (16, 1), 512
+FINER, CELL = (16, 1), 2048
 
 
 def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32) -> DataFrame:
