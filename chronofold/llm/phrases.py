@@ -19,33 +19,40 @@ FINER, CELL = (8, 1), 512
 
 
 def judge(batch: Batch, units: Units, shard: int = SHARD) -> list[np.ndarray]:
-    """Compile automata of the partners' phrases and stream every cell of the batch through each.
+    """Compile automata of the phrases that cells may hold and stream the cells through each.
 
-    A phrase is ``window`` words in a row of a partner's cell.  Words are numbered, so a phrase is a
+    A phrase is ``window`` words in a row of what a cell meets.  Words are numbered, so a phrase is a
     sequence of numbers, and any number of words can be told apart.  A phrase knows its place, or that
-    it has several; an occurrence at any other place than its own recurs.
+    it has several; an occurrence at any other place than its own recurs.  A cell whose whole text lies
+    at another place is left out.
     """
     w = units.window
     numbers: dict[bytes, int] = {}
-    lines = {key: tuple([numbers.setdefault(x, len(numbers)) for x in text.split(b" ")]) for key, text in batch.texts.items()}
+    number = lambda text: tuple([numbers.setdefault(x, len(numbers)) for x in text.split(b" ")])
+    open_ = [k for k in range(len(batch.own)) if not batch.whole(k)]
     phrases: dict[tuple, tuple | None] = {}
-    for key in sorted(batch.partners):
-        line, twin = lines[key], key in batch.twins
+    for r1, r2, a, text in sorted({x for k in open_ for x in batch.partners[k]}):
+        line = number(text)
         for k in range(len(line) - w + 1):
-            phrase = line[k : k + w]
-            place = None if twin else (key, k)
-            phrases[phrase] = place if phrases.setdefault(phrase, place) == place else None
-    out = [np.zeros(max(0, len(lines[key]) - w + 1), bool) for key in batch.own]
+            phrase, place = line[k : k + w], (r1, r2, a + k)
+            if phrases.setdefault(phrase, place) != place:
+                phrases[phrase] = None
+    out = [np.ones(max(0, text.count(b" ") - w + 2), bool) for *_, text in batch.own]
+    lines = []
+    for k in open_:
+        out[k][:] = False
+        lines.append(number(batch.own[k][3]))
     every = list(phrases)
-    for a in range(0, len(every), shard):
+    for begin in range(0, len(every), shard):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase in every[a : a + shard]:
+        for phrase in every[begin : begin + shard]:
             automaton.add_word(phrase, phrases[phrase])
         automaton.make_automaton()
-        for key, mask in zip(batch.own, out, strict=True):
-            for end, place in automaton.iter(lines[key]):
-                if place != (key, end - w + 1):
-                    mask[end - w + 1] = True
+        for k, line in zip(open_, lines, strict=True):
+            r1, r2, a, _ = batch.own[k]
+            for end, place in automaton.iter(line):
+                if place != (r1, r2, a + end - w + 1):
+                    out[k][end - w + 1] = True
     return out
 
 

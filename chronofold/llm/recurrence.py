@@ -252,18 +252,24 @@ def _partners(rows: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _cells(partners: DataFrame, cell: int) -> DataFrame:
-    """(r1, r2, k, p1, p2, pk, a, b, twin): the cells of windows and of their partners, each pair once.
+    """(r1, r2, k, p1, p2, pk, a, b, pa, pb, twin): the cells of windows and of their partners, each pair once.
 
-    a and b: the least and, past it, the greatest window of the cell; twin: both are of one place.
+    a and b: the least and, past it, the greatest window of the cell, pa and pb of the partner's; twin:
+    both are of one place.
     """
     div = lambda x: F.floor(x / cell).cast("int")
     stop = F.col("start") + F.col("nwin")
-    rows = partners.select("*", F.explode(F.sequence(div(F.col("start")), div(stop - 1))).alias("k"))
-    low, high = F.greatest("start", F.col("k") * cell), F.least(stop, (F.col("k") + 1) * cell)
     shift = F.col("pstart") - F.col("start")
     same = (F.col("r1") == F.col("p1")) & (F.col("r2") == F.col("p2")) & (shift == 0)
-    rows = rows.select("r1", "r2", "k", "p1", "p2", low.alias("a"), high.alias("b"), same.alias("twin"), F.explode(F.sequence(div(low + shift), div(high + shift - 1))).alias("pk"))
-    return rows.groupBy("r1", "r2", "k", "p1", "p2", "pk").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.max("twin").alias("twin"))
+    rows = partners.select("r1", "r2", "p1", "p2", "start", stop.alias("stop"), shift.alias("shift"), same.alias("twin"), F.explode(F.sequence(div(F.col("start")), div(stop - 1))).alias("k"))
+    low, high = F.greatest("start", F.col("k") * cell), F.least("stop", (F.col("k") + 1) * cell)
+    rows = rows.select("r1", "r2", "k", "p1", "p2", "twin", "shift", low.alias("low"), high.alias("high"))
+    first, last = F.col("low") + F.col("shift"), F.col("high") + F.col("shift")
+    rows = rows.select("*", F.explode(F.sequence(div(first), div(last - 1))).alias("pk"))
+    first, last = F.greatest(first, F.col("pk") * cell), F.least(last, (F.col("pk") + 1) * cell)
+    return rows.groupBy("r1", "r2", "k", "p1", "p2", "pk").agg(
+        F.min("low").alias("a"), F.max("high").alias("b"), F.min(first).alias("pa"), F.max(last).alias("pb"), F.max("twin").alias("twin")
+    )
 
 
 def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -373,14 +379,22 @@ def _finer(pieces: DataFrame, units: Units, size: int) -> DataFrame:
     return pieces.select("r1", "r2", "run", "piece", "ranges").mapInArrow(run, "h long, s long, r1 long, r2 long, start int, nwin int, run int")
 
 
+#: The text of some windows: (r1, r2, first window, units).
+Piece = tuple[int, int, int, bytes]
+
+
 @dataclass
 class Batch:
-    """Cells that meet: texts by (r1, r2, k), those in ``own`` to be judged, in ``twins`` met twice, in ``partners`` of others."""
+    """Cells to be judged, the pieces of other places that each meets, and the cells of rows that are repeated."""
+
+    own: list[Piece]
+    partners: list[list[Piece]]
+    twins: set[int]
 
-    texts: dict[tuple, bytes]
-    own: list[tuple]
-    partners: set[tuple]
-    twins: set[tuple]
+    def whole(self, k: int) -> bool:
+        """Whether the cell's text as a whole is that of another place: then all of its windows recur."""
+        own = self.own[k]
+        return k in self.twins or any(x[3] == own[3] and x[:3] != own[:3] for x in self.partners[k])
 
 
 #: Judges one batch: for each of its own cells which windows start anywhere else.
@@ -415,46 +429,50 @@ def _cut_cells(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
 def _judged(cells: DataFrame, partners: DataFrame, units: Units, judge: Judge, batch_bytes: int) -> DataFrame:
     """(r1, r2, span) of the windows that a judge finds in ``cells`` (r1, r2, k, a, cell).
 
-    ``partners``: (r1, r2, k, p1, p2, pk, twin, cell), the texts that each cell meets.  Cells of a text come
-    one after the other (a longer text in parts), so that what its cells meet is there once for all.
+    ``partners``: (r1, r2, k, p1, p2, pa, twin, cell), the texts that each cell meets.  Cells of a text come
+    one after the other (a longer text in parts), so that what they meet lies together too.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    own = cells.select("r1", "r2", "k", none("long").alias("p1"), none("long").alias("p2"), none("int").alias("pk"), F.lit(False).alias("twin"), "a", "cell")
-    rows = own.union(partners.select("r1", "r2", "k", "p1", "p2", "pk", "twin", F.lit(0).alias("a"), "cell"))
+    own = cells.select("r1", "r2", "k", none("long").alias("p1"), none("long").alias("p2"), "a", F.lit(False).alias("twin"), "cell")
+    rows = own.union(partners.select("r1", "r2", "k", "p1", "p2", "pa", "twin", "cell"))
     rows = rows.repartition("r1", "r2", F.floor(F.col("k") / 64)).sortWithinPartitions("r1", "r2", "k", "p1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, size = Batch({}, [], set(), set()), {}, 0
+        now, size = Batch([], [], set()), 0
 
         def verdicts() -> Iterator[tuple]:
-            for key, mask in zip(now.own, judge(now, units), strict=True):
+            for (r1, r2, first, _), mask in zip(now.own, judge(now, units), strict=True):
                 for a, n in spans_of(mask, units.window):
-                    yield key[0], key[1], {"a": first[key] + a, "n": n}
+                    yield r1, r2, {"a": first + a, "n": n}
 
         kinds = [pa.int64(), pa.int64(), pa.struct([("a", pa.int32()), ("n", pa.int32())])]
         for batch in slices(batches):
-            for r1, r2, k, p1, p2, pk, twin, a, cell in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                key = (r1, r2, k)
+            for r1, r2, _, p1, p2, a, twin, cell in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if p1 is None:  # nulls come first: a cell, then what it meets
                     if size >= batch_bytes:
                         yield from _batched(verdicts(), ["r1", "r2", "span"], kinds, lambda x: 32)
-                        now, first, size = Batch({}, [], set(), set()), {}, 0
-                    now.own.append(key)
-                    first[key] = a
+                        now, size = Batch([], [], set()), 0
+                    now.own.append((r1, r2, a, cell))
+                    now.partners.append([])
+                elif twin:
+                    now.twins.add(len(now.own) - 1)
                 else:
-                    if twin:
-                        now.twins.add(key)
-                    key = (p1, p2, pk)
-                    now.partners.add(key)
-                if key not in now.texts:
-                    now.texts[key] = cell
-                    size += len(cell)
+                    now.partners[-1].append((p1, p2, a, cell))
+                size += len(cell)
         if now.own:
             yield from _batched(verdicts(), ["r1", "r2", "span"], kinds, lambda x: 32)
 
     return rows.mapInArrow(run, "r1 long, r2 long, span struct<a:int,n:int>")
 
 
+def _part(units: Units):
+    """The units of the windows from pa to pb, of a partner's cell whose first window is ``first``."""
+    begin, size = F.col("pa") - F.col("first"), F.col("pb") - F.col("pa") + (units.window - 1)
+    if units.kind == "bytes":
+        return F.substr("cell", begin + 1, size)
+    return F.array_join(F.slice(F.split(F.col("cell").cast("string"), " "), begin + 1, size), " ").cast("binary")
+
+
 def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratch, batch_bytes: int = 384 << 10) -> DataFrame:
     """(r1, r2, spans): for texts that have any, the units covered by a window that starts anywhere else."""
     source = docs.select("r1", "r2", "text")
@@ -489,8 +507,9 @@ def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratc
     # A partner's windows met others too, so its cell is among the own ones, and holds them.
     wanted = edges.groupBy("r1", "r2", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     texts = scratch.table("cells", _cut_cells(source, wanted, units))
-    partner = texts.select(F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.col("k").alias("pk"), "cell")
-    judged = _judged(texts, edges.select("r1", "r2", "k", "p1", "p2", "pk", "twin").join(partner, ["p1", "p2", "pk"]), units, judge, batch_bytes)
+    partner = texts.select(F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.col("k").alias("pk"), F.col("a").alias("first"), "cell")
+    partner = edges.drop("a", "b").join(partner, ["p1", "p2", "pk"]).select("r1", "r2", "k", "p1", "p2", "pa", "twin", _part(units).alias("cell"))
+    judged = _judged(texts, partner, units, judge, batch_bytes)
     spans = scratch.table("spans", judged.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("span")).alias("spans")))
     scratch.keep("spans")
     return spans

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +126,7 @@ def deep_boundaries(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.nd
     return ~known[:n]
 
 
-def recurring_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
+def recurring_windows(texts: list[bytes | bytearray], window: int) -> list[np.ndarray]:
     """For each text, which of its windows start anywhere else in all of them."""
     sizes = np.array([len(x) for x in texts], np.int64)
     line = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
@@ -141,11 +142,27 @@ def recurring_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
 
 
 def judge(batch: Batch, units: Units) -> list[np.ndarray]:
-    """All cells of a batch share one array, each once (the twins, of rows that are repeated, twice)."""
-    own = set(batch.own)
-    others = [x for key, x in batch.texts.items() if key not in own] + [batch.texts[key] for key in batch.twins]
-    found = recurring_windows([batch.texts[key] for key in batch.own] + others, units.window)
-    return found[: len(batch.own)]
+    """One array for the cells of a batch and what they meet; a cell whose whole text lies at another place is left out.
+
+    Pieces of one text that overlap are put together first, so that no place is in the array twice.
+    """
+    open_ = [k for k in range(len(batch.own)) if not batch.whole(k)]
+    pieces = sorted({x for k in open_ for x in (batch.own[k], *batch.partners[k])})
+    texts: list[bytearray] = []
+    begins: list[tuple[int, int, int]] = []
+    for r1, r2, a, text in pieces:
+        if begins and begins[-1][:2] == (r1, r2) and a <= begins[-1][2] + len(texts[-1]):
+            texts[-1] += text[begins[-1][2] + len(texts[-1]) - a :]
+        else:
+            begins.append((r1, r2, a))
+            texts.append(bytearray(text))
+    found = recurring_windows(texts, units.window) if texts else []
+    out = [np.ones(max(0, len(x[3]) - units.window + 1), bool) for x in batch.own]
+    for k in open_:
+        r1, r2, a, text = batch.own[k]
+        at = bisect.bisect_right(begins, (r1, r2, a)) - 1
+        out[k] = found[at][a - begins[at][2] :][: len(out[k])]
+    return out
 
 
 #: Windows of the blocks that runs met once are cut into, and bytes of a cell.
