@@ -393,9 +393,25 @@ def test_interval_expansion(texts, window):
         assert mask.tolist() == [met[t[i : i + window]] > 1 for i in range(len(t) - window + 1)]
 
 
-def _cells_of(texts, own):
-    keys = [(k, 0, 0) for k in range(len(texts))]
-    return recurrence.Batch(dict(zip(keys, texts, strict=True)), keys[:own], set(keys), set())
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=80).map(lambda b: bytes(x % 3 + 97 for x in b)), min_size=1, max_size=4), st.integers(3, 12), st.randoms())
+def test_pieces_of_one_text(texts, window, rng):
+    """Cells and partners cut anywhere from the same texts: no place counts for itself."""
+    units = recurrence.Units("bytes", window, 2, 64, (1,))
+    met = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    pieces = [(k, 0, a, t[a : a + 20 + window - 1]) for k, t in enumerate(texts) for a in range(0, max(1, len(t) - window + 1), 20)]
+    partners = []
+    for _ in pieces:
+        n = rng.randrange(1, 9)  # windows of a cut, which may reach into the next
+        partners.append([(k, 0, a, t[a : a + n + window - 1 + rng.randrange(5)]) for k, t in enumerate(texts) for a in range(0, len(t) - window + 1, n)])
+    for (k, _, a, text), mask in zip(pieces, suffix.judge(recurrence.Batch(pieces, partners, set()), units), strict=True):
+        assert mask.tolist() == [met[text[i : i + window]] > 1 for i in range(len(text) - window + 1)], (k, a)
+
+
+def _batch_of(texts):
+    """Every text meets all; the first windows are 0."""
+    own = [(k, 0, 0, x) for k, x in enumerate(texts)]
+    return recurrence.Batch(own, [own] * len(own), set())
 
 
 @settings(max_examples=40, deadline=None)
@@ -403,7 +419,7 @@ def _cells_of(texts, own):
 def test_phrase_automata(lists, shard):
     texts = [b" ".join(x) for x in lists]
     units = recurrence.Units("words", 4, 2, 128, (1,))
-    found = phrases.judge(_cells_of(texts, len(texts)), units, shard)
+    found = phrases.judge(_batch_of(texts), units, shard)
     seqs = [tuple(t.split()) for t in texts]
     met = Counter(s[i : i + 4] for s in seqs for i in range(len(s) - 3))
     for s, mask in zip(seqs, found, strict=True):
@@ -414,8 +430,8 @@ def test_automata_tell_any_number_of_words_apart():
     """More different words in one batch than there are code points."""
     words = [b"w%d" % k for k in range(1_250_000)]
     tail = words[-40:]
-    batch = _cells_of([b" ".join(words), b" ".join([b"x", *tail, b"y"])], 2)
-    batch.partners = {(1, 0, 0)}
+    texts = [(0, 0, 0, b" ".join(words)), (1, 0, 0, b" ".join([b"x", *tail, b"y"]))]
+    batch = recurrence.Batch(texts, [[texts[1]], [texts[1]]], set())
     units = recurrence.Units("words", 35, 8, 128, (1,))
     first, second = phrases.judge(batch, units)
     assert np.flatnonzero(first).tolist() == list(range(len(words) - 40, len(words) - 34)) and not second.any()
