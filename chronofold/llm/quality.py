@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import chunks, slices, utf8, whole_row
+from chronofold.llm.shared import chunks, slices, small_batches, utf8, whole_row
 
 #: Character classes of the metadata view: small or non-ASCII letter, capital, digit, space, line end, common mark, other.
 _CLASSES = np.zeros(256, np.int64)
@@ -284,6 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), ke
     Labels of a key that differ count as their least, those of other keys not at all.  Each round is one
     pass over ``docs``; what it brings back are a few dozen mean vectors, whatever the number of rows.
     """
+    small_batches(docs.sparkSession)
     given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
     ids = docs.select(F.col(key).alias("_id"))
     chosen = given.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(how.labelled)

@@ -37,6 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch that goes to a Python worker: of long texts 10,000 take up tens of MB on either side.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send at most ``BATCH_ROWS`` rows at a time to Python workers, which they keep all through a job."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder.
 
@@ -49,6 +60,7 @@ class Scratch:
     _made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         Scratch._made.append(self)
@@ -101,6 +113,7 @@ def _release_at_exit() -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
