@@ -62,7 +62,9 @@ class Filterbank:
 
     @cached_property
     def data(self) -> np.ndarray:
-        return np.ascontiguousarray(fb._rows(self.path, self.header, self._turn, 0, self.header.nsamples))
+        source, _ = fb._open(self.path)
+        with source:
+            return np.ascontiguousarray(fb._rows(source, self.header, self._turn, 0, self.header.nsamples))
 
     def __repr__(self) -> str:
         return f"Filterbank(shape={self.shape}, dtype={self.dtype})"

@@ -166,11 +166,9 @@ def read_header(path: str, order: str = "frequency_ascending") -> tuple[Header,
     return h, turn
 
 
-def _rows(path: str, h: Header, turn: bool, begin: int, end: int) -> np.ndarray:
-    source, _ = _open(path)
-    with source:
-        source.seek(h.header_size + begin * h.row_bytes)
-        data = source.read((end - begin) * h.row_bytes)
+def _rows(source, h: Header, turn: bool, begin: int, end: int) -> np.ndarray:
+    source.seek(h.header_size + begin * h.row_bytes)
+    data = source.read((end - begin) * h.row_bytes)
     out = np.frombuffer(data, h.dtype).reshape(end - begin, h.nifs, h.nchans)
     return out[:, :, ::-1] if turn else out
 
@@ -196,19 +194,21 @@ class _Reader(DataSourceReader):
         per = h.nifs * h.nchans
         step = max(1, (1 << 18) // per)
         kind = {8: np.int16, 16: np.int32, 32: np.float32}[h.nbits]
-        for a in range(partition.begin, partition.end, step):
-            b = min(partition.end, a + step)
-            block = _rows(self.path, h, self.turn, a, b)
-            n = b - a
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.arange(a, b), per)),
-                    pa.array(np.tile(np.repeat(np.arange(h.nifs, dtype=np.int32), h.nchans), n)),
-                    pa.array(np.tile(np.arange(h.nchans, dtype=np.int32), n * h.nifs)),
-                    pa.array(np.ascontiguousarray(block).astype(kind).ravel()),
-                ],
-                names=["t", "ifno", "chan", "value"],
-            )
+        source, _ = _open(self.path)
+        with source:
+            for a in range(partition.begin, partition.end, step):
+                b = min(partition.end, a + step)
+                block = _rows(source, h, self.turn, a, b)
+                n = b - a
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.arange(a, b), per)),
+                        pa.array(np.tile(np.repeat(np.arange(h.nifs, dtype=np.int32), h.nchans), n)),
+                        pa.array(np.tile(np.arange(h.nchans, dtype=np.int32), n * h.nifs)),
+                        pa.array(np.ascontiguousarray(block).astype(kind).ravel()),
+                    ],
+                    names=["t", "ifno", "chan", "value"],
+                )
 
 
 class FilterbankSource(DataSource):
@@ -271,29 +271,48 @@ def header_bytes(h: Header) -> bytes:
     return out.getvalue()
 
 
-def write_filterbank(samples: DataFrame, h: Header, path: str, chunk_bytes: int = 4 << 20) -> None:
+def write_filterbank(samples: DataFrame, h: Header, path: str, chunk_bytes: int = 4 << 20, nsamples: int | None = None) -> None:
     """Samples (t, ifno, chan, value) as one file.
 
-    Tasks put whole rows of the file together, a chunk of time each; the driver passes the finished
-    chunks on in order and never holds more than a few.  A sample that is missing is written as 0.
+    Tasks put whole rows of the file together, a chunk of time each.  On a file system that allows it (any
+    mounted one) they write their chunks in place, so no sample passes the driver, and a task that runs
+    again writes the same bytes again.  Object stores have no such writes: there the driver passes the
+    chunks on in order and holds one at a time.  A sample that is missing is written as 0.
     """
-    store, name = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+    store, name = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
     step = max(1, chunk_bytes // h.row_bytes)
+    head = header_bytes(h)
+    n = samples.agg(F.max("t")).first()[0] + 1 if nsamples is None else nsamples
+    in_place = isinstance(store, pyarrow.fs.LocalFileSystem)
 
     def pack(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         t = table["t"].to_numpy() - chunk * step
-        rows = np.zeros((int(t.max()) + 1 if chunk == last else step, h.nifs, h.nchans), h.dtype)
+        rows = np.zeros((min(step, n - chunk * step), h.nifs, h.nchans), h.dtype)
         rows[t, table["ifno"].to_numpy(), table["chan"].to_numpy()] = table["value"].to_numpy().astype(h.dtype)
-        return pa.table({"chunk": [chunk], "data": pa.array([rows.tobytes()], pa.binary())})
+        data = rows.tobytes()
+        if in_place:
+            with open(name, "r+b") as out:
+                out.seek(len(head) + chunk * step * h.row_bytes)
+                out.write(data)
+            data = None
+        return pa.table({"chunk": [chunk], "data": pa.array([data], pa.binary())})
 
     rows = samples.select(F.floor(F.col("t") / step).cast("long").alias("chunk"), "t", "ifno", "chan", "value")
-    last = rows.agg(F.max("chunk")).first()[0]
-    packed = rows.groupBy("chunk").applyInArrow(pack, "chunk long, data binary").orderBy("chunk")
+    packed = rows.groupBy("chunk").applyInArrow(pack, "chunk long, data binary")
+    if in_place:
+        with open(name, "wb") as out:
+            out.write(head)
+            out.truncate(len(head) + n * h.row_bytes)
+        packed.agg(F.count("*")).collect()
+        return
+    at = 0
     with store.open_output_stream(name) as out:
-        out.write(header_bytes(h))
-        for row in packed.toLocalIterator():
-            out.write(row["data"])
+        out.write(head)
+        for row in packed.orderBy("chunk").toLocalIterator():
+            out.write(bytes((row["chunk"] * step - at) * h.row_bytes) + row["data"])
+            at = min(n, (row["chunk"] + 1) * step)
+        out.write(bytes((n - at) * h.row_bytes))
 
 
 def header_frame(spark: SparkSession, h: Header) -> DataFrame:

@@ -15,12 +15,17 @@ def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_series(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
-    """(event_type, t, value): events by hour since the first hour of all, hours without any as 0."""
+    """(event_type, t, value): events by hour since the first hour of all, hours without any as 0.
+
+    An event beyond ``hours`` is an error: none drops out silently.
+    """
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.date_trunc("hour", "ts").alias("h"))
     counts = rows.groupBy("event_type", "h").agg(F.count("*").alias("n"))
     start = rows.agg(F.min("h").alias("h0"))
     seconds = F.unix_timestamp(F.col("h").cast("timestamp")) - F.unix_timestamp(F.col("h0").cast("timestamp"))
     hourly = counts.crossJoin(F.broadcast(start)).select("event_type", F.floor(seconds / 3600).cast("long").alias("t"), "n")
+    beyond = F.raise_error(F.lit(f"events go on beyond {hours} hours")).cast("long")
+    hourly = hourly.withColumn("t", F.when(F.col("t") < hours, F.col("t")).otherwise(beyond))
     grid = counts.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(hours - 1).cast("long"))).alias("t"))
     return grid.join(hourly, ["event_type", "t"], "left").select("event_type", "t", F.coalesce("n", F.lit(0)).cast("long").alias("value"))
 
