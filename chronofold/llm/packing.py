@@ -221,8 +221,12 @@ def pieces(docs: DataFrame, capacity: int = 2048, path: str = VOCABULARY, text:
     return coded.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _islands(blocks: DataFrame, capacity: int, search: Search, scratch: Scratch, name: str) -> DataFrame:
-    """(block, pids, sizes, bins): each block's best grouping after all epochs."""
+def _islands(blocks: DataFrame, n: int, capacity: int, search: Search, scratch: Scratch, name: str) -> DataFrame:
+    """(block, pids, sizes, bins): the best grouping of each of ``n`` blocks after all epochs.
+
+    Where there are several blocks, their badly filled bins are packed again, so half the epochs do.
+    """
+    epochs = search.epochs if n == 1 else -(-search.epochs // 2)
 
     def run(epoch: int):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +242,7 @@ def _islands(blocks: DataFrame, capacity: int, search: Search, scratch: Scratch,
 
     split = F.explode(F.sequence(F.lit(0), F.lit(search.islands - 1)))
     found = None
-    for epoch in range(search.epochs):
+    for epoch in range(epochs):
         alive = blocks.select("block", "sizes", split.alias("island"))
         if found is None:
             alive = alive.withColumn("elites", F.lit(None).cast("array<array<int>>"))
@@ -248,7 +252,8 @@ def _islands(blocks: DataFrame, capacity: int, search: Search, scratch: Scratch,
             other = found.select("block", ((F.col("island") + 1) % search.islands).alias("island"), F.col("bins").alias("other"))
             both = own.join(other, ["block", "island"])
             alive = alive.join(both, ["block", "island"]).select("block", "sizes", "island", F.array("own", "other").alias("elites"))
-        alive = alive.repartition("block", "island").select("block", "island", "sizes", "elites")
+        # A block is a few kB and many milliseconds of work: without a number they would be put into few tasks.
+        alive = alive.repartition(min(n * search.islands, 4096), "block", "island").select("block", "island", "sizes", "elites")
         found = scratch.table(f"{name}-{epoch}", alive.mapInArrow(run(epoch), "block long, island int, n int, bins array<int>"))
     best = found.groupBy("block").agg(F.min_by("bins", F.struct("n", "island")).alias("bins"))
     return blocks.join(best, "block")
@@ -273,7 +278,7 @@ def pack_pieces(parts: DataFrame, scratch: Scratch, capacity: int = 2048, search
         dealt = todo.select(F.pmod(F.xxhash64("pid", F.lit(level)), F.lit(blocks)).alias("block"), F.struct("pid", "length").alias("x"))
         dealt = dealt.groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("x"))
         dealt = scratch.table(f"blocks{level}", dealt.select("block", F.col("x.pid").alias("pids"), F.col("x.length").cast("array<int>").alias("sizes")))
-        grouped = _islands(dealt, capacity, search, scratch, f"islands{level}")
+        grouped = _islands(dealt, blocks, capacity, search, scratch, f"islands{level}")
         base = level << 58
 
         def place(batches: Iterator[pa.RecordBatch], base: int = base) -> Iterator[pa.RecordBatch]:
