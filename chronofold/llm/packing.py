@@ -45,21 +45,20 @@ class Bins:
         self.sizes, self.capacity = sizes, capacity
         self.items: list[list[int]] = []
         self.room: list[int] = []
-        self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.by_room: dict[int, list[int]] = {}
         self.open = 0
 
-    def add_bin(self, items: list[int]) -> None:
-        room = self.capacity - sum(self.sizes[i] for i in items)
+    def add_bin(self, items: list[int], room: int) -> None:
         self.items.append(items)
         self.room.append(room)
-        self.by_room[room].append(len(self.items) - 1)
+        self.by_room.setdefault(room, []).append(len(self.items) - 1)
         self.open |= 1 << room
 
     def best_fit(self, item: int) -> None:
         size = self.sizes[item]
         fits = self.open >> size
         if not fits:
-            self.add_bin([item])
+            self.add_bin([item], self.capacity - size)
             return
         room = (fits & -fits).bit_length() - 1 + size
         b = self.by_room[room].pop()
@@ -68,7 +67,7 @@ class Bins:
         self.items[b].append(item)
         room -= size
         self.room[b] = room
-        self.by_room[room].append(b)
+        self.by_room.setdefault(room, []).append(b)
         self.open |= 1 << room
 
     def fitness(self) -> float:
@@ -77,10 +76,11 @@ class Bins:
         return float((fill**2).mean()) if len(fill) else 1.0
 
 
-def pack(sizes: list[int], order: list[int], capacity: int, keep: list[list[int]] = ()) -> Bins:
+def pack(sizes: list[int], order: list[int], capacity: int, keep: list[list[int]] = (), rooms: list[int] | None = None) -> Bins:
+    """Best fit in the given order, after the bins to keep (``rooms``: their room, where it is known)."""
     bins = Bins(sizes, capacity)
-    for items in keep:
-        bins.add_bin(list(items))
+    for k, items in enumerate(keep):
+        bins.add_bin(list(items), capacity - sum([sizes[i] for i in items]) if rooms is None else rooms[k])
     for i in order:
         bins.best_fit(i)
     return bins
@@ -90,21 +90,23 @@ def _down(sizes: list[int], items) -> list[int]:
     return sorted(items, key=lambda i: (-sizes[i], i))
 
 
-def fill_better(sizes: list[int], bins: list[list[int]], loose: list[int], capacity: int, order) -> None:
+def fill_better(sizes: list[int], bins: list[list[int]], loose: list[int], rooms: list[int], order) -> None:
     """Exchange one or two pieces of a bin for one or two loose ones that fill it more, in place.
 
     A better filled bin dominates the worse one, and the loose pieces become smaller, so that they fit
     best into what is left.  Each of the bins in ``order`` is looked at once.
     """
+    ways: list[tuple[int, tuple]] = []  # one or two loose pieces and their size, until these change
+    sums: list[int] = []
     for b in order:
-        items = bins[b]
-        room = capacity - sum(sizes[i] for i in items)
+        items, room = bins[b], rooms[b]
         if not room:
             continue
-        ways = [(sizes[i], (i,)) for i in loose]
-        ways += [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(loose) for j in loose[:k]]
-        ways.sort(key=lambda x: x[0])
-        sums = [x[0] for x in ways]
+        if not ways:
+            ways = [(sizes[i], (i,)) for i in loose]
+            ways += [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(loose) for j in loose[:k]]
+            ways.sort(key=lambda x: x[0])
+            sums = [x[0] for x in ways]
         best, out, into = 0, (), ()
         leave = [(0, ())] + [(sizes[i], (i,)) for i in items] + [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(items) for j in items[:k]]
         for gone, who in leave:
@@ -112,8 +114,9 @@ def fill_better(sizes: list[int], bins: list[list[int]], loose: list[int], capac
             if at >= 0 and sums[at] - gone > best:
                 best, out, into = sums[at] - gone, who, ways[at][1]
         if best:
-            bins[b] = [i for i in items if i not in out] + list(into)
+            bins[b], rooms[b] = [i for i in items if i not in out] + list(into), room - best
             loose[:] = [i for i in loose if i not in into] + list(out)
+            ways = []
 
 
 def crossover(first: Bins, second: Bins, rng: np.random.Generator, search: Search) -> Bins:
@@ -138,16 +141,17 @@ def crossover(first: Bins, second: Bins, rng: np.random.Generator, search: Searc
 
 def _refit(parent: Bins, bins: list[list[int]], loose: list[int], rng: np.random.Generator, search: Search) -> Bins:
     sizes, capacity = parent.sizes, parent.capacity
-    room = [capacity - sum(sizes[i] for i in items) for items in bins]
-    worst = np.argsort([-r for r in room], kind="stable")[: max(1, search.loosened // 2)].tolist()
+    rooms = [capacity - sum([sizes[i] for i in items]) for items in bins]
+    worst = np.argsort([-r for r in rooms], kind="stable")[: max(1, search.loosened // 2)].tolist()
     gone = {*worst, *rng.integers(0, len(bins), search.loosened - len(worst)).tolist()} if bins else set()
     loose = loose + [i for b in sorted(gone) for i in bins[b]]
-    bins = [list(x) for b, x in enumerate(bins) if b not in gone]
+    rooms = [r for b, r in enumerate(rooms) if b not in gone]
+    bins = [x for b, x in enumerate(bins) if b not in gone]
     rest = _down(sizes, loose)
     # The largest loose pieces are hardest to place: a bounded number of them is exchanged.
     some, rest = rest[:40], rest[40:]
-    fill_better(sizes, bins, some, capacity, rng.permutation(len(bins))[: search.swept].tolist())
-    return pack(sizes, _down(sizes, some + rest), capacity, bins)
+    fill_better(sizes, bins, some, rooms, rng.permutation(len(bins))[: search.swept].tolist())
+    return pack(sizes, _down(sizes, some + rest), capacity, bins, rooms)
 
 
 def mutate(bins: Bins, rng: np.random.Generator, search: Search) -> Bins:
