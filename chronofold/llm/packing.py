@@ -256,8 +256,8 @@ def _islands(blocks: DataFrame, n: int, capacity: int, search: Search, scratch:
             other = found.select("block", ((F.col("island") + 1) % search.islands).alias("island"), F.col("bins").alias("other"))
             both = own.join(other, ["block", "island"])
             alive = alive.join(both, ["block", "island"]).select("block", "sizes", "island", F.array("own", "other").alias("elites"))
-        # A block is a few kB and many milliseconds of work: without a number they would be put into few tasks.
-        alive = alive.repartition(min(n * search.islands, 4096), "block", "island").select("block", "island", "sizes", "elites")
+        # A block is a few kB and many milliseconds of work: without a number they would be put into very few tasks.
+        alive = alive.repartition(max(search.islands, min(n * search.islands // 4, 4096)), "block", "island").select("block", "island", "sizes", "elites")
         found = scratch.table(f"{name}-{epoch}", alive.mapInArrow(run(epoch), "block long, island int, n int, bins array<int>"))
     best = found.groupBy("block").agg(F.min_by("bins", F.struct("n", "island")).alias("bins"))
     return blocks.join(best, "block")
