@@ -41,9 +41,11 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _WRAP = (1 << 64) - 1
 _LOW = np.uint64(0xFFFFFF)
 #: Windows looked at together; places within must fit in 24 bits.
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
 #: Windows of a run at most.
 LONGEST = 2048
+#: Cells in a row whose partners lead to one place, and cells judged at one place before it is split.
+STRETCH, CROWD = 16, 256
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -66,6 +68,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The hash of each byte.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -79,7 +85,7 @@ class Block:
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, kind: str):
         if kind == "bytes":
             self.line, self.first = raw, offsets
-            self.values = _mixed(raw.astype(np.uint64) + np.uint64(1))
+            self.values = _BYTES[raw]
             self.starts = self.ends = None
             return
         space = _IS_SPACE[raw]
@@ -180,7 +186,7 @@ def runs(values: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tup
 
 
 def blocks(column, kind: str) -> Iterator[tuple[Block, int, int]]:
-    """(block, first row, rows): about half a million bytes of texts at a time, and a longer text by itself."""
+    """(block, first row, rows): so many bytes of texts at a time that their arrays stay in a cache, and a longer text by itself."""
     raw, offsets = utf8(column)
     for a, b in chunks(offsets, _BLOCK):
         yield Block(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], kind), a, b - a
@@ -252,7 +258,7 @@ def _partners(rows: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def _cells(partners: DataFrame, cell: int) -> DataFrame:
-    """(r1, r2, k, p1, p2, pk, a, b, pa, pb, twin): the cells of windows and of their partners, each pair once.
+    """(r1, r2, k, p1, p2, pk, a, b, pa, pb, twin): the cells of windows and of their partners.
 
     a and b: the least and, past it, the greatest window of the cell, pa and pb of the partner's; twin:
     both are of one place.
@@ -267,9 +273,29 @@ def _cells(partners: DataFrame, cell: int) -> DataFrame:
     first, last = F.col("low") + F.col("shift"), F.col("high") + F.col("shift")
     rows = rows.select("*", F.explode(F.sequence(div(first), div(last - 1))).alias("pk"))
     first, last = F.greatest(first, F.col("pk") * cell), F.least(last, (F.col("pk") + 1) * cell)
-    return rows.groupBy("r1", "r2", "k", "p1", "p2", "pk").agg(
-        F.min("low").alias("a"), F.max("high").alias("b"), F.min(first).alias("pa"), F.max(last).alias("pb"), F.max("twin").alias("twin")
+    return rows.select("r1", "r2", "k", "p1", "p2", "pk", F.col("low").alias("a"), F.col("high").alias("b"), first.alias("pa"), last.alias("pb"), "twin")
+
+
+def _edges(cells: DataFrame) -> DataFrame:
+    """(r1, r2, k, a, b, lead, meets) of every cell: all of its windows, and the partners' cells, each once.
+
+    lead: where the cell is judged, a stretch of ``STRETCH`` cells of one of its partners.  Cells that
+    meet the same text then come together, and that text is looked at once for many of them.
+    """
+    pairs = cells.groupBy("r1", "r2", "k", "p1", "p2", "pk").agg(
+        F.min("a").alias("a"), F.max("b").alias("b"), F.min("pa").alias("pa"), F.max("pb").alias("pb"), F.max("twin").alias("twin")
     )
+    lead = F.min(F.xxhash64("p1", "p2", F.floor(F.col("pk") / STRETCH)))
+    meets = F.collect_list(F.struct("p1", "p2", "pk", "pa", "pb", "twin"))
+    return pairs.groupBy("r1", "r2", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"), lead.alias("lead"), meets.alias("meets"))
+
+
+def _dealt(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``edges`` with ``deal``: its lead, which beyond ``CROWD`` cells is split by text into parts of about as many."""
+    crowds = edges.groupBy("lead").agg(F.count("*").alias("c")).where(F.col("c") > CROWD)
+    crowds = scratch.table("crowds", crowds)
+    parts = F.coalesce(F.ceil(F.col("c") / CROWD), F.lit(1))
+    return edges.join(crowds, "lead", "left").withColumn("deal", F.xxhash64("lead", F.pmod(F.xxhash64("r1", "r2"), parts)))
 
 
 def _with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -408,8 +434,8 @@ def spans_of(mask: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _cut_cells(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
-    """(r1, r2, k, a, cell) of the cells ``wanted`` (r1, r2, k, a, b): the text of the windows from a to b."""
-    places = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("k", "a", "b")).alias("places"))
+    """(r1, r2, k, a, deal, cell) of the cells ``wanted`` (r1, r2, k, a, b, deal): the text of the windows from a to b."""
+    places = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("k", "a", "b", "deal")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -419,23 +445,23 @@ def _cut_cells(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
                 for r, places, block, first, _ in _texts(batch, units):
                     for x in places:
                         p, q = block.cut(first + x["a"], x["b"] - x["a"] + units.window - 1)
-                        yield r1[r], r2[r], x["k"], x["a"], block.line[p:q].tobytes()
+                        yield r1[r], r2[r], x["k"], x["a"], x["deal"], block.line[p:q].tobytes()
 
-            yield from _batched(rows(), ["r1", "r2", "k", "a", "cell"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], lambda x: len(x[4]))
+            yield from _batched(rows(), ["r1", "r2", "k", "a", "deal", "cell"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()], lambda x: len(x[5]))
 
-    return _with_places(docs, places).mapInArrow(run, "r1 long, r2 long, k int, a int, cell binary")
+    return _with_places(docs, places).mapInArrow(run, "r1 long, r2 long, k int, a int, deal long, cell binary")
 
 
 def _judged(cells: DataFrame, partners: DataFrame, units: Units, judge: Judge, batch_bytes: int) -> DataFrame:
-    """(r1, r2, span) of the windows that a judge finds in ``cells`` (r1, r2, k, a, cell).
+    """(r1, r2, span) of the windows that a judge finds in ``cells`` (r1, r2, k, a, deal, cell).
 
-    ``partners``: (r1, r2, k, p1, p2, pa, twin, cell), the texts that each cell meets.  Cells of a text come
-    one after the other (a longer text in parts), so that what they meet lies together too.
+    ``partners``: (r1, r2, k, p1, p2, pa, deal, twin, cell), the texts that each cell meets.  Cells of one
+    deal come one after the other, of a text in their order, so that what they meet lies together too.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    own = cells.select("r1", "r2", "k", none("long").alias("p1"), none("long").alias("p2"), "a", F.lit(False).alias("twin"), "cell")
-    rows = own.union(partners.select("r1", "r2", "k", "p1", "p2", "pa", "twin", "cell"))
-    rows = rows.repartition("r1", "r2", F.floor(F.col("k") / 64)).sortWithinPartitions("r1", "r2", "k", "p1")
+    own = cells.select("deal", "r1", "r2", "k", none("long").alias("p1"), none("long").alias("p2"), "a", F.lit(False).alias("twin"), "cell")
+    rows = own.union(partners.select("deal", "r1", "r2", "k", "p1", "p2", "pa", "twin", "cell"))
+    rows = rows.repartition("deal").sortWithinPartitions("deal", "r1", "r2", "k", "p1").drop("deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, size = Batch([], [], set()), 0
@@ -502,13 +528,14 @@ def recurring_spans(docs: DataFrame, units: Units, judge: Judge, scratch: Scratc
     edges = cells[0]
     for more in cells[1:]:
         edges = edges.union(more)
-    edges = scratch.table("edges", edges)
+    edges = scratch.table("edges", _edges(edges))
     scratch.keep("edges")
+    edges = _dealt(edges, scratch)
     # A partner's windows met others too, so its cell is among the own ones, and holds them.
-    wanted = edges.groupBy("r1", "r2", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    texts = scratch.table("cells", _cut_cells(source, wanted, units))
+    texts = scratch.table("cells", _cut_cells(source, edges, units))
     partner = texts.select(F.col("r1").alias("p1"), F.col("r2").alias("p2"), F.col("k").alias("pk"), F.col("a").alias("first"), "cell")
-    partner = edges.drop("a", "b").join(partner, ["p1", "p2", "pk"]).select("r1", "r2", "k", "p1", "p2", "pa", "twin", _part(units).alias("cell"))
+    meets = edges.select("deal", "r1", "r2", "k", F.inline("meets"))
+    partner = meets.join(partner, ["p1", "p2", "pk"]).select("deal", "r1", "r2", "k", "p1", "p2", "pa", "twin", _part(units).alias("cell"))
     judged = _judged(texts, partner, units, judge, batch_bytes)
     spans = scratch.table("spans", judged.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("span")).alias("spans")))
     scratch.keep("spans")
