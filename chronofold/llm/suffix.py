@@ -13,46 +13,49 @@ from pyspark.sql import functions as F
 from chronofold.llm.recurrence import Batch, Units, keyed, recurring_spans, removed, unpacked, with_spans
 from chronofold.llm.shared import Scratch, slices, utf8, whole_row
 
-#: Symbols that are packed into one 63-bit number for the first sort, 9 bits each.
-_PACK = 7
-
-
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of suffixes sorted by their first ``depth`` symbols; symbol 0 ends a text and equals no other end."""
+    """Starts of suffixes sorted by their first ``depth`` symbols; symbol 0 ends a text and equals no other end.
+
+    The first sort is by as many symbols as one 63-bit number holds.  Each further one sorts the suffixes
+    that still share a rank by the ranks of those two and three steps on: the length known triples.
+    """
     n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(_PACK, np.int64)])
+    kinds = np.bincount(symbols, minlength=1) > 0
+    kinds[0] = True
+    bits = max(1, int(kinds.sum() - 1).bit_length())
+    pack = min(depth, 63 // bits)
+    padded = np.concatenate([(np.cumsum(kinds) - 1)[symbols], np.zeros(pack, np.int64)])
     key = np.zeros(n, np.int64)
-    for k in range(_PACK):
-        key = (key << 9) | padded[k : k + n]
-    ends = np.concatenate([np.cumsum(padded == 0), [0]])
-    single = ends[_PACK - 1 : _PACK - 1 + n] != np.concatenate([[0], ends[: n - 1]])  # an end is within reach
+    for k in range(pack):
+        key = (key << bits) | padded[k : k + n]
+    ends = np.concatenate([[0], np.cumsum(padded == 0)])
+    single = ends[pack : pack + n] != ends[:n]  # an end is within reach
     order = np.argsort(key)
     sorted_ = key[order]
     new = np.ones(n, bool)
     new[1:] = (sorted_[1:] != sorted_[:-1]) | single[order[1:]] | single[order[:-1]]
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new) - 1
-    size = _PACK
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the place of a group's first suffix
+    wide = max(1, n.bit_length())
+    steps = 3 if 3 * wide <= 63 else 2
+    size = pack
     while size < depth and not new.all():
         # Only suffixes that still share a rank are sorted again.
         tied = ~new
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
         who = order[at]
-        nxt = rank[np.minimum(who + size, n - 1)]
-        again = np.argsort(rank[who] * (n + 1) + nxt)
-        who, nxt = who[again], nxt[again]
+        key = rank[who]
+        for k in range(1, steps):
+            key = (key << wide) | rank[np.minimum(who + k * size, n - 1)]
+        again = np.argsort(key)
+        who, key = who[again], key[again]
         order[at] = who
-        old = rank[who]
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (old[1:] != old[:-1]) | (nxt[1:] != nxt[:-1])
+        fresh[1:] = key[1:] != key[:-1]
         new[at] = fresh
-        begin = np.maximum.accumulate(np.where(fresh, at, 0))
-        rank[who] = begin  # ranks are places of a group's first suffix from here on
-        if size == _PACK:
-            rest = np.flatnonzero(~tied)
-            rank[order[rest]] = rest
-        size *= 2
+        rank[who] = np.maximum.accumulate(np.where(fresh, at, 0))
+        size *= steps
     return order
 
 
@@ -69,46 +72,48 @@ def deep_boundaries(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.nd
     bwt = symbols[order - 1]  # the symbol before; before the first stands an end
     bwt[order == 0] = 0
     lf_order = np.argsort(bwt.astype(np.uint16), kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[lf_order] = np.arange(n)
+    lf_order = lf_order.astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[lf_order] = np.arange(n, dtype=np.int32)
     same = bwt[lf_order]
-    after = np.full(n, n, np.int64)
-    before = np.full(n, -1, np.int64)
+    lf[bwt == 0] = -1  # nothing stands before a text
+    after = np.full(n, n, np.int32)
+    before = np.full(n, -1, np.int32)
     pair = same[1:] == same[:-1]
     after[lf_order[:-1][pair]] = lf_order[1:][pair]
     before[lf_order[1:][pair]] = lf_order[:-1][pair]
-    kinds, first = np.unique(same, return_index=True)
+    kinds = np.flatnonzero(np.bincount(same))
     keys = same.astype(np.int64) * (n + 1) + lf_order  # sorted: places of each symbol
     kinds = kinds[kinds > 0]
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     ends = int((symbols == 0).sum())
     known[1 : ends + 1] = True  # ends sort first, and share nothing
-    left = np.concatenate([[0], np.arange(ends)])
-    right = np.concatenate([[n], np.arange(1, ends + 1)])
-    del first
+    left = np.concatenate([[0], np.arange(ends)]).astype(np.int32)
+    right = np.concatenate([[n], np.arange(1, ends + 1)]).astype(np.int32)
 
     def children(left, right):
         size = right - left
         one = size == 1
-        at = left[one]
-        at = at[bwt[at] > 0]
-        lows, highs = [lf[at]], [lf[at] + 1]
+        at = lf[left[one]]
+        at = at[at >= 0]
+        lows, highs = [at], [at + 1]
         few = ~one & (size <= 64)
         if few.any():
             lo, hi, count = left[few], right[few], size[few]
-            at = np.arange(int(count.sum())) + np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            lo, hi = np.repeat(lo, count), np.repeat(hi, count)
-            real = bwt[at] > 0
-            lows.append(np.sort(lf[at[real & (before[at] < lo)]]))
-            highs.append(np.sort(lf[at[real & (after[at] >= hi)]]) + 1)
+            total = np.cumsum(count)
+            at = np.arange(total[-1], dtype=np.int32) + np.repeat((lo - (total - count)).astype(np.int32), count)
+            to = lf[at]
+            real = to >= 0
+            lows.append(np.sort(to[real & (before[at] < np.repeat(lo, count))]))
+            highs.append(np.sort(to[real & (after[at] >= np.repeat(hi, count))]) + 1)
         wide = size > 64
         if wide.any():
             lo = np.searchsorted(keys, (kinds[:, None] * (n + 1) + left[wide][None, :]).ravel())
             hi = np.searchsorted(keys, (kinds[:, None] * (n + 1) + right[wide][None, :]).ravel())
             some = hi > lo
-            lows.append(lo[some])
-            highs.append(hi[some])
+            lows.append(lo[some].astype(np.int32))
+            highs.append(hi[some].astype(np.int32))
         return np.concatenate(lows), np.concatenate(highs)
 
     # Level 0 holds the empty string; its children and the ends, which are strings of one symbol, make level 1.
@@ -167,6 +172,8 @@ def judge(batch: Batch, units: Units) -> list[np.ndarray]:
 
 #: Windows of the blocks that runs met once are cut into, and bytes of a cell.
 FINER, CELL = (16, 1), 2048
+#: Bytes of cells, and of what they meet, that are judged in one array.
+BATCH = 3 << 19
 
 
 def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32) -> DataFrame:
@@ -178,7 +185,7 @@ def repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: s
     ``CELL`` bytes.  Other columns are ignored, whatever their names.
     """
     source = keyed(docs, text, key)
-    return with_spans(source, recurring_spans(source, Units("bytes", window, anchor, CELL, FINER), judge, scratch))
+    return with_spans(source, recurring_spans(source, Units("bytes", window, anchor, CELL, FINER), judge, scratch, BATCH))
 
 
 def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, text: str = "text", key: str = "doc_id", anchor: int = 32) -> DataFrame:
@@ -193,8 +200,13 @@ def remove_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200,
             for k, spans in enumerate(batch.column(2)):
                 part = raw[at[k] : at[k + 1]]
                 pairs = [(x["a"], x["n"]) for x in spans.as_py() or ()]
-                mask = removed(len(part), pairs)
                 sizes.append(len(part))
+                if not pairs:
+                    gone.append(0)
+                    count.append(0)
+                    kept.append(part.tobytes())
+                    continue
+                mask = removed(len(part), pairs)
                 gone.append(int(mask.sum()))
                 count.append(int(np.count_nonzero(np.diff(np.concatenate([[0], mask.astype(np.int8)])) == 1)))
                 kept.append(part[~mask].tobytes())
@@ -213,7 +225,7 @@ def strip_repeated_bytes(docs: DataFrame, scratch: Scratch, window: int = 200, t
     such a column, becomes the new number of characters of a text that lost any.  Null text stays null.
     """
     source = keyed(docs, text, key)
-    spans = recurring_spans(source, Units("bytes", window, anchor, CELL, FINER), judge, scratch)
+    spans = recurring_spans(source, Units("bytes", window, anchor, CELL, FINER), judge, scratch, BATCH)
     columns = docs.columns
     spans = spans.withColumnsRenamed({"r1": "_r1", "r2": "_r2", "spans": "_spans"})
     ids = keyed(docs.select(whole_row(docs), F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "_key", "_row")
