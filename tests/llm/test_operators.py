@@ -254,6 +254,59 @@ def test_pipeline_leaves_no_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(_similar(texts)))
 
 
+def test_crowded_near_copies_make_few_pairs(spark, monkeypatch):
+    """Copies with edits of their own: what the last comparison confirms doesn't grow with the square of their number."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for n in range(160):
+        text = [*base]
+        for k in rng.sample(range(5, 145), 1 + n % 6):
+            text[k] = f"own{n}-{k}"
+        texts.append(" ".join(text))
+    # An edit of a far copy links to that copy only.
+    texts += [texts[n].replace("w149", "other") for n in range(5, 160, 12)]
+    met = {}
+    confirmed = similar._confirmed
+
+    def count(pairs, nodes, own, scratch, name, size):
+        met[name] = pairs.distinct().count()
+        return confirmed(pairs, nodes, own, scratch, name, size)
+
+    monkeypatch.setattr(similar, "_confirmed", count)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(table, Scratch(spark, "t")).collect()}
+    assert found == dict(enumerate(_similar(texts)))
+    assert 30 < len(set(found.values())) < len(texts)
+    assert met[f"turn{similar.TURNS}"] < 2 * len(texts)
+
+
+def test_families_by_their_centre(spark):
+    """Links and candidates connect what is similar, in families of any mixture, whatever the component of the centre."""
+    rng = random.Random(6)
+    for _ in range(4):
+        sets, base = [], [rng.sample(range(1, 1 << 40), rng.choice([4, 20, 60])) for _ in range(3)]
+        for _ in range(70):
+            own = [*rng.choice(base)]
+            for _ in range(rng.randrange(1 + len(own) // 6)):
+                own[rng.randrange(len(own))] = rng.choice([rng.randrange(1, 1 << 40), rng.choice(rng.choice(base))])
+            sets.append(frozenset(own[: rng.randrange(len(own) - len(own) // 8, len(own) + 1)]))
+        sets = sorted(set(sets), key=sorted)
+        root = [rng.choice([0, 0, k]) for k in range(len(sets))]
+        rows = spark.createDataFrame([(0, k, root[k], len(x)) for k, x in enumerate(sets)], "family long, node long, root long, size int")
+        values = spark.createDataFrame([(k, np.array(sorted(x), np.uint64).tobytes()) for k, x in enumerate(sets)], "node long, value binary")
+        stars, pairs = similar._by_centre(rows, values, Scratch(spark, "t"))
+        alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+        stars, pairs = ({(r["u"], r["v"]) for r in x.collect()} for x in (stars, pairs))
+        assert all(alike(*x) for x in stars)
+        reach = list(range(len(sets)))
+        joined = [(k, r) for k, r in enumerate(root)] + [*stars] + [x for x in pairs if alike(*x)]
+        for _ in reach:
+            for a, b in joined:
+                reach[a] = reach[b] = min(reach[a], reach[b])
+        assert all(reach[a] == reach[b] for a in range(len(sets)) for b in range(a) if alike(a, b))
+
+
 def test_components_of_a_long_chain(spark):
     from chronofold.llm.graph import components
 
