@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.shared import chunks, slices, small_batches, utf8, whole_row
+from chronofold.llm.shared import Scratch, chunks, slices, utf8, whole_row
 
 #: Character classes of the metadata view: small or non-ASCII letter, capital, digit, space, line end, common mark, other.
 _CLASSES = np.zeros(256, np.int64)
@@ -32,7 +32,8 @@ PART = 1 << 20
 
 @dataclass(frozen=True)
 class CoTraining:
-    """labelled: bound of the labelled rows that are fitted on, chosen by a hash of the key over all rows;
+    """labelled: rows that the driver fits on by itself; where there are more, that fit is where passes over all of them start;
+    passes: bound of those passes for each fit;
     dims: buckets of the content view; rounds: exchanges; sure: least probability of a pseudo-label;
     trust: weight of all pseudo-labels, the labels' being 1; keep_good: least share of the calibration
     fold's good documents that must stay.
@@ -45,6 +46,7 @@ class CoTraining:
     trust: float = 0.5
     keep_good: float = 0.995
     steps: int = 300
+    passes: int = 8
 
 
 def content_view(raw: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
@@ -169,19 +171,36 @@ def _side(x: np.ndarray, y: np.ndarray, fold: np.ndarray, means, how: CoTraining
         rows, target = np.concatenate([rows, means[0]]), np.concatenate([target, means[1]])
         weight = np.concatenate([weight, how.trust * _balanced(means[1], means[2])])
     side = Side(fit_logistic(rows, target, weight, how.steps))
-    z = side.logit(x[fold])
-    scale = max(float(z.std()), 1e-9)
-    w = _platt(z[:, None] / scale, y[fold].astype(float))
+    return _calibrated(side.weights, side.logit(x[fold]), y[fold], np.ones(fold.sum()))
+
+
+def _calibrated(weights: np.ndarray, z: np.ndarray, y: np.ndarray, n: np.ndarray) -> Side:
+    """The side of these weights, by the logits of the calibration fold's rows; n rows have the same."""
+    side = Side(weights)
+    scale = max(float(np.sqrt(np.average((z - np.average(z, weights=n)) ** 2, weights=n))), 1e-9)
+    w = _platt(z[:, None] / scale, y.astype(float), n)
     # A view that tells nothing, or tells it upside down, says the prior.
     side.slope = max(0.0, w[0] / scale)
-    side.intercept = w[1] if w[0] > 0 else _log_odds(y[fold])
-    p = np.clip(_sigmoid(side.logit(x[fold])), 1e-6, 1 - 1e-6)
-    side.loss = float(-np.where(y[fold] > 0, np.log(p), np.log(1 - p)).mean())
+    side.intercept = w[1] if w[0] > 0 else _log_odds(y, n)
+    p = np.clip(_sigmoid(side.slope * z + side.intercept), 1e-6, 1 - 1e-6)
+    side.loss = float(-np.average(np.where(y > 0, np.log(p), np.log(1 - p)), weights=n))
     return side
 
 
-def _log_odds(y: np.ndarray) -> float:
-    return float(np.log((y > 0).sum() + 0.5) - np.log((y <= 0).sum() + 0.5))
+def _log_odds(y: np.ndarray, n: np.ndarray | int = 1) -> float:
+    return float(np.log(((y > 0) * n).sum() + 0.5) - np.log(((y <= 0) * n).sum() + 0.5))
+
+
+def _exchanged(fit: Callable, exchange: Callable[[list[Side]], Means], how: CoTraining) -> list[Side]:
+    """Both sides after the rounds; ``fit`` takes each view's means, at first none, and the sides so far."""
+    sides = fit([None, None], None)
+    for _ in range(how.rounds):
+        new = fit(exchange(sides), sides)
+        taken = [n.loss <= s.loss for n, s in zip(new, sides, strict=True)]
+        sides = [n if t else s for n, s, t in zip(new, sides, taken, strict=True)]
+        if not any(taken):
+            break
+    return sides
 
 
 def co_train(views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, exchange: Callable[[list[Side]], Means], how: CoTraining) -> Model:
@@ -197,14 +216,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, exchange:
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:  # too few to set some aside
         views, y = [np.concatenate([x, x]) for x in views], np.concatenate([y, y])
         fold = np.arange(len(y)) < len(fold)
-    sides = [_side(x, y, fold, None, how) for x in views]
-    for _ in range(how.rounds):
-        means = exchange(sides)
-        new = [_side(x, y, fold, m, how) for x, m in zip(views, means, strict=True)]
-        taken = [n.loss <= s.loss for n, s in zip(new, sides, strict=True)]
-        sides = [n if t else s for n, s, t in zip(new, sides, taken, strict=True)]
-        if not any(taken):
-            break
+    sides = _exchanged(lambda means, _: [_side(x, y, fold, m, how) for x, m in zip(views, means, strict=True)], exchange, how)
     model = Model(sides, _log_odds(y), 0.5)
     right = np.sort(model.score([x[fold & (y > 0)] for x in views]))
     model.bound = float(min(0.5, right[int((1 - how.keep_good) * len(right))] - 1e-9))
@@ -221,17 +233,156 @@ def given_away(views: list[np.ndarray], sides: list[Side], lang: list, how: CoTr
                 yield 1 - giver, label, k, np.flatnonzero(chosen & (stratum == k))
 
 
-def _platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Logistic regression on a few columns by Newton's method: probabilities, not only an order."""
+def _platt(z: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Logistic regression on a few columns by Newton's method: probabilities, not only an order.  n: rows of each."""
     x = np.hstack([z, np.ones((len(z), 1))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = _sigmoid(x @ w)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w = w - np.linalg.solve(hess, x.T @ (p - y) + 1e-2 * w)
+        hess = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        w = w - np.linalg.solve(hess, x.T @ (n * (p - y)) + 1e-2 * w)
     return w
 
 
+#: Logits of the calibration fold are counted in bins of this width, so that all of its rows take part.
+BIN = 1 / 1024
+RIDGE = 1e-4
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(y, fold, both views) of rows (y, fold, x)."""
+    for batch in slices(batches, 512):
+        raw, at = utf8(batch.column(2))
+        x = raw[at[0] : at[-1]].view(np.float16).astype(np.float32).reshape(batch.num_rows, -1)
+        yield batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), [x[:, :edge], x[:, edge:]]
+
+
+class Descent:
+    """Limited-memory quasi-Newton steps down one view's loss; the curvature of the driver's rows is the first guess."""
+
+    def __init__(self, w: np.ndarray, curvature: np.ndarray):
+        self.curvature, self.trial = curvature, w
+        self.w = self.loss = self.grad = self.step = None
+        self.size, self.seen, self.done = 1.0, [], False
+
+    def told(self, loss: float, grad: np.ndarray) -> None:
+        """Loss and gradient at ``trial``, over all rows: take it, or half the step, and set the next ``trial``."""
+        if self.w is not None and loss > self.loss + 1e-4 * self.size * float(self.grad @ self.step):
+            self.size /= 2
+            self.done = self.size < 1e-3
+        else:
+            if self.w is not None:
+                self.done = self.loss - loss <= 1e-4 * self.loss
+                s, y = self.trial - self.w, grad - self.grad
+                if s @ y > 1e-12 * (y @ y):
+                    self.seen.append((s, y))
+            self.w, self.loss, self.grad, self.size = self.trial, loss, grad, 1.0
+            q, used = grad.copy(), []
+            for s, y in reversed(self.seen):
+                used.append((s @ q) / (s @ y))
+                q -= used[-1] * y
+            q = np.linalg.solve(self.curvature, q)
+            for (s, y), a in zip(self.seen, reversed(used), strict=True):
+                q += (a - (y @ q) / (s @ y)) * s
+            self.step = -q
+        self.trial = self.w + self.size * self.step
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+
+
+def co_train_all(rows: DataFrame, views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, exchange: Callable[[list[Side]], Means], how: CoTraining) -> Model:
+    """``co_train`` on all of ``rows`` (y, fold, x), of which the driver holds some (views, y, fold).
+
+    The driver's fit is only where the passes start: weights, calibration, the prior and the bound are of
+    all rows.  A pass brings back one vector of sums from each task, or counts by bin.
+    """
+    edge = how.dims + REPEATS
+    counts = {(r["fold"], r["good"]): r["n"] for r in rows.groupBy("fold", (F.col("y") > 0).alias("good")).agg(F.count("*").alias("n")).collect()}
+    good, bad = (sum(n for k, n in counts.items() if k[1] == g) for g in (True, False))
+    if not good or not bad:
+        return co_train(views, y, fold, exchange, how)
+    apart = len(counts) == 4  # else too few to set some aside
+    share = [1 / (2 * sum(n for k, n in counts.items() if k[1] == g and not (apart and k[0]))) for g in (False, True)]
+
+    def losses(tried: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        """Weighted loss over all rows to fit on, and its gradient, for each view."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(sum(len(w) + 1 for w in tried))
+            for target, held, both in _matrices(batches, edge):
+                use = np.flatnonzero(~held) if apart else np.arange(len(target))
+                g = (target[use] > 0).astype(np.float64)
+                weight, at = np.where(g > 0, share[1], share[0]), 0
+                for x, w in zip(both, tried, strict=True):
+                    x = _ones(x[use])
+                    z = x @ w
+                    sums[at] += (weight * np.logaddexp(0, np.where(g > 0, -z, z))).sum()
+                    sums[at + 1 : at + 1 + len(w)] += x.T @ (weight * (_sigmoid(z) - g))
+                    at += len(w) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+        found = rows.select("y", "fold", "x").mapInArrow(run, "sums binary").toArrow()["sums"].to_pylist()
+        total = np.sum([np.frombuffer(x) for x in sorted(found)], 0)
+        first = len(tried[0]) + 1
+        return [(total[0], total[1:first]), (total[first], total[first + 1 :])]
+
+    def binned(logits: Callable) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(logit, label, rows) by bin, over the calibration fold, of each array that ``logits`` gives for the views."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for target, held, both in _matrices(batches, edge):
+                use = np.flatnonzero(held) if apart else np.arange(len(target))
+                for k, z in enumerate(logits([x[use] for x in both])):
+                    cell = np.floor(np.clip(z, -512, 512) / BIN).astype(np.int64)
+                    names = [pa.array(np.full(len(use), k), pa.int32()), pa.array(cell), pa.array((target[use] > 0).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(names, names=["k", "cell", "y"])
+
+        found = rows.select("y", "fold", "x").mapInArrow(run, "k int, cell long, y int").groupBy("k", "cell", "y").agg(F.count("*").alias("n")).orderBy("k", "cell", "y").toArrow()
+        k, cell, label, n = (found[c].to_numpy() for c in ("k", "cell", "y", "n"))
+        return [(cell[k == j] * BIN, label[k == j], n[k == j].astype(np.float64)) for j in range(int(k.max()) + 1)]
+
+    curvature: list[np.ndarray] = []
+
+    def fit(means, sides) -> list[Side]:
+        fitted = ~fold if apart else np.ones(len(y), bool)
+        target, weight = (y[fitted] > 0).astype(float), _balanced(y[fitted], np.ones(fitted.sum()))
+        if sides is None:
+            for x in views:
+                w = fit_logistic(x[fitted], target, weight, how.steps, RIDGE)
+                p, one = _sigmoid(_ones(x[fitted]) @ w), _ones(x[fitted])
+                curvature.append((one * (weight * p * (1 - p))[:, None]).T @ one + RIDGE * np.eye(len(w)))
+                starts.append(w)
+        ways = [Descent(w, c) for w, c in zip(starts if sides is None else [s.weights for s in sides], curvature, strict=True)]
+        for _ in range(how.passes):
+            for way, m, (loss, grad) in zip(ways, means, losses([way.trial for way in ways]), strict=True):
+                if way.done:
+                    continue
+                w = way.trial
+                free = np.append(w[:-1], 0)
+                loss, grad = loss + RIDGE / 2 * free @ free, grad + RIDGE * free
+                if m is not None and len(set(m[1])) == 2:
+                    x, own = _ones(m[0]), how.trust * _balanced(m[1], m[2])
+                    z = x @ w
+                    loss, grad = loss + own @ np.logaddexp(0, np.where(m[1] > 0, -z, z)), grad + x.T @ (own * (_sigmoid(z) - m[1]))
+                way.told(loss, grad)
+            if all(way.done for way in ways):
+                break
+        found = [way.w for way in ways]
+        both = binned(lambda x: [v.astype(np.float64) @ w[:-1] + w[-1] for v, w in zip(x, found, strict=True)])
+        return [_calibrated(w, *b) for w, b in zip(found, both, strict=True)]
+
+    starts: list[np.ndarray] = []
+    model = Model(_exchanged(fit, exchange, how), _log_odds(np.array([1, 0]), np.array([good, bad])), 0.5)
+    z, label, n = binned(lambda x: [sum(s.logit(v) for s, v in zip(model.sides, x, strict=True)) - model.prior])[0]
+    z, n = z[label > 0], n[label > 0]
+    # The lower end of the bin, so that no fewer stay.
+    at = np.searchsorted(np.cumsum(n), int((1 - how.keep_good) * n.sum()), side="right")
+    model.bound = float(min(0.5, _sigmoid(z[at]) - 1e-9))
+    return model
+
+
 def _source(docs: DataFrame, key: str) -> DataFrame:
     """key, text, source and lang; columns that are absent count as null."""
     column = lambda c: (F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c)
@@ -242,8 +393,8 @@ def _source(docs: DataFrame, key: str) -> DataFrame:
 _UNIT = 1_000_000
 
 
-def _exchange(rows: DataFrame, ids: set, sides: list[Side], how: CoTraining) -> Means:
-    """One pass over all rows but those of ``ids``: sums by task, then by Spark, of what the views give away.
+def _exchange(rows: DataFrame, sides: list[Side], how: CoTraining) -> Means:
+    """One pass over all unlabelled rows: sums by task, then by Spark, of what the views give away.
 
     A task sends at most one vector for each view, label and stratum, so the result does not grow.
     """
@@ -252,11 +403,9 @@ def _exchange(rows: DataFrame, ids: set, sides: list[Side], how: CoTraining) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
         for batch in slices(batches):
-            keys, langs = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            langs = batch.column(3).to_pylist()
             for a, both in views(batch, how.dims):
-                free = np.array([k not in ids for k in keys[a : a + len(both[0])]])
-                both = [x[free] for x in both]
-                lang = [x for x, f in zip(langs[a : a + len(free)], free, strict=True) if f]
+                lang = langs[a : a + len(both[0])]
                 for taker, label, stratum, at in given_away(both, sides, lang, how):
                     x = np.rint(both[taker][at].astype(np.float64) * _UNIT).astype(np.int64)
                     old = sums.get((taker, label, stratum), 0)
@@ -279,34 +428,40 @@ def _exchange(rows: DataFrame, ids: set, sides: list[Side], how: CoTraining) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), key: str = "doc_id", label: str = "quality") -> Model:
-    """A model of ``docs``: fitted on a bounded sample of its labelled rows, with pseudo-labels of all other rows.
+    """A model of ``docs``: fitted on all its labelled rows, with pseudo-labels of all other rows.
 
-    Labels of a key that differ count as their least, those of other keys not at all.  Each round is one
-    pass over ``docs``; what it brings back are a few dozen mean vectors, whatever the number of rows.
+    Labels of a key that differ count as their least, those of other keys not at all.  Up to ``labelled``
+    rows are fitted on in the driver; more stay where they are (``co_train_all``).  Each round is one pass
+    over ``docs``; what it brings back are a few dozen mean vectors, whatever the number of rows.
     """
-    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "quality")
     given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
-    ids = docs.select(F.col(key).alias("_id"))
-    chosen = given.join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(how.labelled)
-    # At most ``labelled`` rows of two numbers.
+    given = scratch.table("labels", given)
     source = _source(docs, key)
-    rows = source.join(F.broadcast(chosen), F.col(key) == F.col("_id")).select("_id", "_y", "text", "source", "lang")
+    rows = source.join(given, F.col(key) == F.col("_id")).select("_id", "_y", "text", "source", "lang")
     kind = dict(rows.dtypes)["_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for a, both in views(batch, how.dims):
                 data = [np.concatenate(x).astype(np.float16).tobytes() for x in zip(*both, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(data)), batch.column(1).slice(a, len(data)), pa.array(data, pa.binary())], names=["id", "y", "x"])
-
-    found = rows.mapInArrow(run, f"id {kind}, y int, x binary").toArrow()
-    found = sorted(zip(found["id"].to_pylist(), found["y"].to_pylist(), found["x"].to_pylist(), strict=True))
+                ids, y = batch.column(0).slice(a, len(data)), batch.column(1).slice(a, len(data))
+                held = pa.array([in_fold(k) for k in ids.to_pylist()], pa.bool_())
+                yield pa.RecordBatch.from_arrays([ids, y, held, pa.array(data, pa.binary())], names=["id", "y", "fold", "x"])
+
+    fitted = scratch.table("features", rows.mapInArrow(run, f"id {kind}, y int, fold boolean, x binary"))
+    several = fitted.count() > how.labelled
+    found = (fitted.orderBy(F.xxhash64("id"), "id").limit(how.labelled) if several else fitted).toArrow()
+    found = sorted(zip(*(found[c].to_pylist() for c in ("id", "y", "x", "fold")), strict=True))
     x = np.array([np.frombuffer(r[2], np.float16) for r in found], np.float32).reshape(len(found), how.dims + REPEATS + METADATA)
     y = np.array([r[1] for r in found], int)
-    fold = np.array([in_fold(r[0]) for r in found], bool)
-    known = {r[0] for r in found}
+    fold = np.array([r[3] for r in found], bool)
     edge = how.dims + REPEATS
-    return co_train([x[:, :edge], x[:, edge:]], y, fold, lambda sides: _exchange(source, known, sides, how), how)
+    both, free = [x[:, :edge], x[:, edge:]], source.join(given, F.col(key) == F.col("_id"), "left_anti")
+    exchange = lambda sides: _exchange(free, sides, how)
+    model = co_train_all(fitted, both, y, fold, exchange, how) if several else co_train(both, y, fold, exchange, how)
+    scratch.keep()
+    return model
 
 
 def in_fold(key) -> bool:
