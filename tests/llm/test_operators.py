@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronofold.llm import bpe, chat, exact, langid, media, packing, phrases, quality, recurrence, simhash, similar, suffix
+from chronofold.llm import bpe, chat, exact, graph, langid, media, packing, phrases, quality, recurrence, simhash, similar, suffix
 from chronofold.llm.shared import Scratch, mark, release, shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, u long, _low string, _text string, h string, doc string, th int, spans string, _row int"
@@ -794,6 +794,26 @@ def test_profiles_equal_plain_binding():
     assert (vectors[0] == expect).all() and some.tolist() == [True, False, False]
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+def test_components_by_blocks(spark, block, monkeypatch):
+    """The same components whatever the block; a graph of one block takes no steps."""
+    rng = np.random.default_rng(5)
+    path = rng.permutation(np.arange(-40, 40))
+    edges = [(int(a), int(b)) for a, b in zip(path, path[1:], strict=False)][::-1] + [(100 + k, 100) for k in range(30)] + [(int(a), int(b)) for a, b in rng.integers(200, 300, (60, 2))]
+    low = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in low:
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    rounds = []
+    monkeypatch.setattr(graph, "_large_star", lambda e, f=graph._large_star: (rounds.append(1), f(e))[1])
+    found = graph.components(spark.createDataFrame(edges + edges[:9], "u long, v long").repartition(3), Scratch(spark, "blocks"), block=block)
+    assert sorted(map(tuple, found.collect())) == sorted(low.items())
+    assert bool(rounds) == (block < len(edges))
+    none = graph.components(spark.createDataFrame([(3, 3)], "u long, v long"), Scratch(spark, "blocks"), block=block)
+    assert none.count() == 0
+
+
 def test_quality(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
