@@ -119,7 +119,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int, r
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     seen = w.copy()
-    rate = 4 / max(1e-9, (x**2).sum(1).max() * weight.sum())
+    rate = 4 / max(1e-9, np.einsum("ij,ij->i", x, x).max() * weight.sum())
     for k in range(steps):
         grad = x.T @ (weight * (_sigmoid(x @ seen) - y)) + ridge * np.append(seen[:-1], 0)
         new = seen - rate * grad
@@ -144,7 +144,8 @@ class Side:
     loss: float = np.inf  # on the calibration fold
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * (x.astype(np.float64) @ self.weights[:-1] + self.weights[-1]) + self.intercept
+        """Row by row, so that a row's is the same to the last bit whatever rows come with it."""
+        return self.slope * ((x.astype(np.float64) * self.weights[:-1]).sum(1) + self.weights[-1]) + self.intercept
 
 
 @dataclass
@@ -223,9 +224,16 @@ def co_train(views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, exchange:
     return model
 
 
+def strata(lang: list) -> np.ndarray:
+    return np.array([zlib.crc32((x or "").encode()) % LANGS for x in lang], np.int32)
+
+
 def given_away(views: list[np.ndarray], sides: list[Side], lang: list, how: CoTraining) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(taker, label, stratum, rows) of what either view is sure of, by language so that means stay of a kind."""
-    stratum = np.array([zlib.crc32((x or "").encode()) % LANGS for x in lang])
+    yield from _given_away(views, sides, strata(lang), how)
+
+
+def _given_away(views: list[np.ndarray], sides: list[Side], stratum: np.ndarray, how: CoTraining) -> Iterator[tuple[int, int, int, np.ndarray]]:
     for giver in (0, 1):
         p = _sigmoid(sides[giver].logit(views[giver]))
         for label, chosen in ((1, p >= how.sure), (0, p <= 1 - how.sure)):
@@ -250,7 +258,7 @@ RIDGE = 1e-4
 
 
 def _matrices(batches: Iterator[pa.RecordBatch], edge: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(y, fold, both views) of rows (y, fold, x)."""
+    """(y, fold, both views) of rows (y, fold, x), whatever the first two are."""
     for batch in slices(batches, 512):
         raw, at = utf8(batch.column(2))
         x = raw[at[0] : at[-1]].view(np.float16).astype(np.float32).reshape(batch.num_rows, -1)
@@ -351,8 +359,10 @@ def co_train_all(rows: DataFrame, views: list[np.ndarray], y: np.ndarray, fold:
         if sides is None:
             for x in views:
                 w = fit_logistic(x[fitted], target, weight, how.steps, RIDGE)
-                p, one = _sigmoid(_ones(x[fitted]) @ w), _ones(x[fitted])
-                curvature.append((one * (weight * p * (1 - p))[:, None]).T @ one + RIDGE * np.eye(len(w)))
+                one = _ones(x[fitted])
+                p = _sigmoid(one @ w)
+                one *= np.sqrt(weight * p * (1 - p))[:, None]
+                curvature.append(one.T @ one + RIDGE * np.eye(len(w)))
                 starts.append(w)
         ways = [Descent(w, c) for w, c in zip(starts if sides is None else [s.weights for s in sides], curvature, strict=True)]
         for _ in range(how.passes):
@@ -393,40 +403,92 @@ def _source(docs: DataFrame, key: str) -> DataFrame:
 _UNIT = 1_000_000
 
 
-def _exchange(rows: DataFrame, sides: list[Side], how: CoTraining) -> Means:
-    """One pass over all unlabelled rows: sums by task, then by Spark, of what the views give away.
+def _exchange(rows: DataFrame, labelled: DataFrame, sides: list[Side], how: CoTraining) -> Means:
+    """Sums, by task and then by Spark, of what the views give away of all unlabelled rows.
 
-    A task sends at most one vector for each view, label and stratum, so the result does not grow.
+    They are those of all rows (key, text, source, lang), read where they are, less those of ``labelled``
+    (x, stratum).  Sums are of whole numbers and a row's logit does not depend on its batch, so what is taken
+    off is exactly what was added, and no text moves.  A task sends at most one vector for each view, label
+    and stratum, so the result does not grow.
     """
     widths = [how.dims + REPEATS, METADATA]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
+    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
         for batch in slices(batches):
-            langs = batch.column(3).to_pylist()
+            own = strata(batch.column(3).to_pylist())
             for a, both in views(batch, how.dims):
-                lang = langs[a : a + len(both[0])]
-                for taker, label, stratum, at in given_away(both, sides, lang, how):
+                yield 1, own[a : a + len(both[0])], both
+
+    def taken_off(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        for _, own, both in _matrices(batches, widths[0]):
+            yield -1, own, both
+
+    def summed(parts: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple, np.ndarray] = {}
+            for sign, own, both in parts(batches):
+                for taker, label, stratum, at in _given_away(both, sides, own, how):
                     x = np.rint(both[taker][at].astype(np.float64) * _UNIT).astype(np.int64)
                     old = sums.get((taker, label, stratum), 0)
-                    sums[taker, label, stratum] = old + np.append(x.sum(0), len(at))
-        if sums:
-            keys = [pa.array(k, pa.int32()) for k in zip(*sums, strict=True)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["taker", "label", "stratum", "v"])
+                    sums[taker, label, stratum] = old + sign * np.append(x.sum(0), len(at))
+            if sums:
+                keys = [pa.array(k, pa.int32()) for k in zip(*sums, strict=True)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["taker", "label", "stratum", "v"])
+
+        return run
 
     by = ["taker", "label", "stratum"]
-    found = rows.mapInArrow(run, "taker int, label int, stratum int, v array<long>").select(*by, F.posexplode("v").alias("d", "x"))
-    found = found.groupBy(*by, "d").agg(F.sum("x").alias("x")).orderBy(*by, "d").toArrow()
+    kind = "taker int, label int, stratum int, v array<long>"
+    found = rows.mapInArrow(summed(everywhere), kind).union(labelled.select(F.lit(0), "stratum", "x").mapInArrow(summed(taken_off), kind))
+    found = found.select(*by, F.posexplode("v").alias("d", "x")).groupBy(*by, "d").agg(F.sum("x").alias("x")).orderBy(*by, "d").toArrow()
     taker, label, d, x = (found[c].to_numpy() for c in ("taker", "label", "d", "x"))
     means = []
     for t in (0, 1):
         mine = taker == t
         vectors = x[mine].reshape(-1, widths[t] + 1)
-        rows_ = vectors[:, -1].astype(np.float64)
-        means.append((vectors[:, :-1] / rows_[:, None] / _UNIT, label[mine][d[mine] == 0].astype(float), rows_))
+        some = vectors[:, -1] > 0
+        rows_ = vectors[some, -1].astype(np.float64)
+        means.append((vectors[some, :-1] / rows_[:, None] / _UNIT, label[mine][d[mine] == 0][some].astype(float), rows_))
     return means
 
 
+#: Bits of the sieve at most: 8 MB.
+SIEVE = 1 << 26
+
+
+def _sieve(given: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of hashed keys that all keys of ``given`` (_id) pass, and few others; the join decides.
+
+    Eight bits for each key or more, up to ``SIEVE``; with more keys than that others pass more often.
+    """
+    bits = 64
+    most = 8 * given.count()
+    while bits < min(most, SIEVE):
+        bits *= 2
+    h = F.xxhash64("_id")
+    words = given.groupBy((F.shiftrightunsigned(h, 6) % (bits // 64)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(_id) & 63 as int))")).alias("set")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["set"].to_numpy()
+
+    def may(h: np.ndarray) -> np.ndarray:
+        h = h.view(np.uint64)
+        word = table[((h >> np.uint64(6)) % np.uint64(len(table))).astype(np.int64)].view(np.uint64)
+        return (word >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+    return may
+
+
+def _first(fitted: DataFrame, n: int, most: int) -> DataFrame:
+    """The ``most`` of n rows whose ids have the least hashes.
+
+    Rows beyond a hash that some twice as many lie below stay out of the sort, which one task ends.
+    """
+    h = F.xxhash64("id")
+    low = fitted.where(h < F.lit(-(1 << 63) + (1 << 64) * 2 * most // n)) if n > 4 * most else fitted
+    low = low if n <= 4 * most or low.count() >= most else fitted
+    return low.select("id", "y", "x", "fold").orderBy(h, "id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), key: str = "doc_id", label: str = "quality") -> Model:
     """A model of ``docs``: fitted on all its labelled rows, with pseudo-labels of all other rows.
 
@@ -436,29 +498,37 @@ def train(docs: DataFrame, labels: DataFrame, how: CoTraining = CoTraining(), ke
     """
     scratch = Scratch(docs.sparkSession, "quality")
     given = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
-    given = scratch.table("labels", given)
     source = _source(docs, key)
-    rows = source.join(given, F.col(key) == F.col("_id")).select("_id", "_y", "text", "source", "lang")
-    kind = dict(rows.dtypes)["_id"]
+    kind = given.select("_id").union(source.select(key)).dtypes[0][1]  # of both keys, so that equal ones have equal hashes
+    given = scratch.table("labels", given.withColumn("_id", F.col("_id").cast(kind)))
+    source = source.withColumn(key, F.col(key).cast(kind))
+    may = _sieve(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            batch = batch.filter(pa.array(may(batch.column(0).to_numpy()))).select([1, 2, 3, 4])
+            stratum = strata(batch.column(3).to_pylist())
             for a, both in views(batch, how.dims):
                 data = [np.concatenate(x).astype(np.float16).tobytes() for x in zip(*both, strict=True)]
-                ids, y = batch.column(0).slice(a, len(data)), batch.column(1).slice(a, len(data))
+                ids = batch.column(0).slice(a, len(data))
                 held = pa.array([in_fold(k) for k in ids.to_pylist()], pa.bool_())
-                yield pa.RecordBatch.from_arrays([ids, y, held, pa.array(data, pa.binary())], names=["id", "y", "fold", "x"])
-
-    fitted = scratch.table("features", rows.mapInArrow(run, f"id {kind}, y int, fold boolean, x binary"))
-    several = fitted.count() > how.labelled
-    found = (fitted.orderBy(F.xxhash64("id"), "id").limit(how.labelled) if several else fitted).toArrow()
+                yield pa.RecordBatch.from_arrays([ids, held, pa.array(stratum[a : a + len(data)]), pa.array(data, pa.binary())], names=["id", "fold", "stratum", "x"])
+
+    # Texts stay where they are; the views of labelled rows move once, by the same plan at any size.
+    seen = source.select(F.xxhash64(key), *source.columns).mapInArrow(run, f"id {kind}, fold boolean, stratum int, x binary")
+    fitted = seen.join(given.hint("merge"), F.col("id") == F.col("_id")).select("id", F.col("_y").alias("y"), "fold", "stratum", "x")
+    fitted = scratch.table("features", fitted)
+    n = fitted.count()
+    several = n > how.labelled
+    found = (_first(fitted, n, how.labelled) if several else fitted.select("id", "y", "x", "fold")).toArrow()
     found = sorted(zip(*(found[c].to_pylist() for c in ("id", "y", "x", "fold")), strict=True))
     x = np.array([np.frombuffer(r[2], np.float16) for r in found], np.float32).reshape(len(found), how.dims + REPEATS + METADATA)
     y = np.array([r[1] for r in found], int)
     fold = np.array([r[3] for r in found], bool)
     edge = how.dims + REPEATS
-    both, free = [x[:, :edge], x[:, edge:]], source.join(given, F.col(key) == F.col("_id"), "left_anti")
-    exchange = lambda sides: _exchange(free, sides, how)
+    both = [x[:, :edge], x[:, edge:]]
+    del found  # thrice the size of x
+    exchange = lambda sides: _exchange(source, fitted, sides, how)
     model = co_train_all(fitted, both, y, fold, exchange, how) if several else co_train(both, y, fold, exchange, how)
     scratch.keep()
     return model

@@ -939,6 +939,39 @@ def test_quality_equals_plain_python(spark):
             assert r["keep"] == (expect[r["doc_id"]] >= model.bound)
 
 
+def test_quality_moves_no_texts(spark):
+    """However many labels there are: only views of labelled rows are shuffled, and pseudo-labels are of the unlabelled ones."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice([*"abcdefghijklmnopqrst \n"], 20_000)) if k % 2 else "".join(rng.choice([*"ABC 123."], 20_000)) for k in range(400)]
+    rows = [(k, x, "web", "de" if k % 3 else None) for k, x in enumerate(texts)] + [(7, texts[7], "web", "de"), (None, texts[0], None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id int, quality int")
+    store, before = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def written():
+        store.listenerBus().waitUntilEmpty()
+        return store.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    docs = docs.localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        begin = written()
+        model = quality.train(docs, labels, quality.CoTraining(dims=64, steps=60, rounds=1))
+        assert written() - begin < 0.2 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    how = quality.CoTraining(dims=64, steps=60, rounds=1)
+    parts = [[np.concatenate(x) for x in zip(*(v for b in docs.where(w).select("text", "source", "lang").toArrow().combine_chunks().to_batches() for _, v in quality.views(b, 64)), strict=True)] for w in ("doc_id >= 60 or doc_id is null", "doc_id < 60")]
+    lang = docs.where("doc_id >= 60 or doc_id is null").toArrow()["lang"].to_pylist()
+    fitted = [(np.concatenate(x).astype(np.float16).tobytes(), int(s)) for *x, s in zip(*parts[1], quality.strata(docs.where("doc_id < 60").toArrow()["lang"].to_pylist()), strict=True)]
+    found = quality._exchange(quality._source(docs, "doc_id"), spark.createDataFrame(fitted, "x binary, stratum int"), model.sides, how)
+    expect = [[(parts[0][t][at].astype(np.float64).mean(0), label, len(at)) for taker, label, _, at in quality.given_away(parts[0], model.sides, lang, how) if taker == t] for t in (0, 1)]
+    assert len(fitted) == 61 and any(expect)
+    for (x, y, n), own in zip(found, expect, strict=True):
+        assert sorted(zip(y, n, strict=True)) == sorted((float(label), float(k)) for _, label, k in own)
+        assert np.allclose(sorted(x.sum(1)), sorted(v.sum() for v, _, _ in own), atol=1e-4)
+
+
 def test_exchange_helps():
     """With few labels the exchange makes fewer errors on the whole, and no calibration loss rises."""
     import dataclasses
